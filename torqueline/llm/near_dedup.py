@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FOLD, stored, workspace
@@ -289,21 +289,24 @@ class Graph:
         compared = self.keep(ordered(first))
         components = self.components(links)
         open_members = self.keep(self.unsettled(members.withColumn("led", F.lit(False)), components))
-        leaders_at_once = 1
+        at_once = 16
         while not open_members.isEmpty():
-            ranks = [F.min(F.when(~F.col("led") & (F.col("c") != F.col("anchor")), F.struct(F.xxhash64("bucket", "node", F.lit(leaders_at_once * 64 + s)), "node"))).alias(f"s{s}") for s in range(leaders_at_once)]
-            picked = open_members.groupBy("bucket").agg(*ranks)
-            picked = self.keep(picked.select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"s{s}.node") for s in range(leaders_at_once)]))).alias("a")).where(F.col("a").isNotNull()))
-            of_leader = picked.join(open_members.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")), ["bucket", "a"])
-            new = of_leader.join(open_members, "bucket").where("c <> ca").select("a", F.col("node").alias("b"))
+            # The next leaders of each bucket; Spark cuts to so many per bucket before it shuffles.
+            order = Window.partitionBy("bucket").orderBy("node")
+            idle = open_members.where(~F.col("led") & (F.col("c") != F.col("anchor")))
+            picked = idle.withColumn("place", F.row_number().over(order)).where(F.col("place") <= at_once)
+            picked = self.keep(picked.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")))
+            new = picked.join(open_members, "bucket").where("c <> ca").select("a", F.col("node").alias("b"))
             new = self.keep(ordered(new).join(compared, ["a", "b"], "left_anti"))
-            links = self.keep(self.links(new, texts).unionByName(components.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-            compared = self.keep(compared.unionByName(new))
-            components = self.components(links)
-            led = open_members.join(picked.withColumn("now", F.lit(True)), (open_members["bucket"] == picked["bucket"]) & (open_members["node"] == picked["a"]), "left")
-            led = led.select(open_members["bucket"], open_members["node"], (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
+            found = self.links(new, texts)
+            compared = compared.unionByName(new)
+            if not found.isEmpty():
+                components = self.components(found.unionByName(components.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            led = picked.select(F.col("bucket").alias("pb"), F.col("a").alias("pa"))
+            led = open_members.join(led, (F.col("bucket") == F.col("pb")) & (F.col("node") == F.col("pa")), "left")
+            led = led.select("bucket", "node", (F.col("led") | F.col("pa").isNotNull()).alias("led"))
             open_members = self.keep(self.unsettled(led, components))
-            leaders_at_once = min(32, leaders_at_once * 2)
+            at_once = min(256, at_once * 4)
         return components
 
     def unsettled(self, members: DataFrame, components: DataFrame) -> DataFrame:

@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import stored, workspace
 
+#: Most digests (8 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_HITS = 2_000_000
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Many small state stores should not reserve disk ahead.
+FALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -39,18 +45,20 @@ def keyed_state(entries: DataFrame, folder: str) -> DataFrame:
         # A batch that runs again after a failure replaces its own output.
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
-    # The provider is chosen once, when the stream starts; the session gets its own setting back.
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    # Both are read once, when the stream starts; the session gets its own settings back.
+    own = {PROVIDER: ROCKSDB, FALLOCATE: "false"}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         query = (
             state.writeStream.outputMode("update").foreachBatch(emit)
             .option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
         )
+        query.awaitTermination()
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-    query.awaitTermination()
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     schema = f"digest string, best {entries.select(F.struct('id', 'n_bytes').alias('s')).schema['s'].dataType.simpleString()}, group_size long, batch int"
     if query.lastProgress is None or not batches(spark, f"{folder}/state"):
         return spark.createDataFrame([], schema).select("digest", F.col("best.id").alias("keep_id"), "group_size", F.col("best.n_bytes").alias("n_bytes"))
@@ -78,12 +86,13 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", digest: Callable[
     rows = entries.groupBy("digest", "id").agg(F.count("*").alias("n_rows"))
     rows = rows.join(state.drop("n_bytes"), "digest")
 
-    # Full bytes on hits. Texts that no other row shares by digest are not read again.
-    hits = state.where("group_size > 1").select("digest", "keep_id")
-    hit_rows = docs.join(hits, "digest")
-    kept = hit_rows.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("text").alias("kept_text"))
-    differs = hit_rows.join(kept, "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct()
-    differs = stored(differs, f"{folder}/collisions")
+    # Full bytes on hits. The smallest and the largest text of a digest are the same text if and only if all are; copies
+    # meet within their tasks first, so no group is large. Only texts with a hit move: few digests are sent to all tasks.
+    hits = stored(state.where("group_size > 1").select(F.xxhash64("digest").alias("hit")).distinct(), f"{folder}/hits")
+    few = hits.count() <= BROADCAST_HITS
+    shared = docs.join(F.broadcast(hits) if few else hits, F.xxhash64("digest") == F.col("hit"), "left_semi")
+    ends = shared.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    differs = stored(ends.where("low <> high").select("digest"), f"{folder}/collisions")
     if differs.isEmpty():
         return rows.select("id", "digest", "keep_id", "group_size", "n_rows")
     apart = docs.join(differs, "digest", "left_semi")

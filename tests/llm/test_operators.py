@@ -287,7 +287,7 @@ def test_token_store(spark, docs, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     folder = workspace(spark, "test-store")
-    more = [(300, "A<|endoftext|>b  c\n\n d e f é İ ΑΣ"), (301, "it's 12 o'clock\tnow")]
+    more = [(302, "It'S ²3 \x85\xa0 µÀß''s x'D\x1c1"), (300, "A<|endoftext|>b  c\n\n d e f é İ ΑΣ"), (301, "it's 12 o'clock\tnow")]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     token_store.write(rows, folder, path, end_id=2, keys_per_bucket=50)
     out = token_store.checksums(token_store.read(token_store.lookup(rows, folder, "doc_id"), folder)).orderBy("start").collect()

@@ -13,7 +13,7 @@ No group is ever expanded into all its pairs. Texts with equal words are one nod
 with leaders; after each round linked nodes are one component, and only nodes outside a bucket's largest component lead
 further rounds, against nodes of other components, until each bucket is one component or all its pairs between components
 have been compared. A pair is compared exactly unless its signatures agree on so few registers that a similarity of
-``threshold`` is out of the question (ten standard deviations).
+``threshold`` is out of the question (six standard deviations, one pair in a thousand million).
 
 Defined cases: a null text or one without words is in a class of its own; a text of fewer than five words is one shingle of
 all of them; repeated rows each get a row; the class id is the smallest document id of the class (null ids last); an empty
@@ -194,18 +194,38 @@ def alike(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
+def packed(words: list[bytes]) -> bytes | None:
+    """The shingle multiset of words: 64-bit hashes, then 32-bit multiplicities."""
+    if not words:
+        return None
+    hashes, counts = shingles(words)
+    return hashes.astype("<u8").tobytes() + counts.astype("<u4").tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n)
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """``node, bag`` of ``text``: the shingle multiset, counted once for all comparisons."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                words = [folded(x.as_py()) for x in batch.column("text")[at : at + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(map(hash_of, words), pa.binary()), pa.array(map(packed, words), pa.binary())], ["node", "bag"])
+
+    return texts.select("text").mapInArrow(run, "node binary, bag binary").where(F.col("node").isNotNull())
+
+
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b, text_a, text_b) whose shingle multisets overlap by ``threshold`` or more."""
+    """The pairs (a, b, bag_a, bag_b) whose shingle multisets overlap by ``threshold`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for batch in batches:
-            near = []
-            for a, x, y in zip(batch.column("a"), batch.column("text_a"), batch.column("text_b"), strict=True):
-                if last[0] != (a := a.as_py()):
-                    last = (a, shingles(folded(x.as_py())))
-                near.append(overlap(last[1], shingles(folded(y.as_py()))) >= threshold)
-            near = pa.array(near, pa.bool_())
+            both = zip(batch.column("bag_a"), batch.column("bag_b"), strict=True)
+            near = pa.array([overlap(unpacked(x.as_py()), unpacked(y.as_py())) >= threshold for x, y in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a binary, b binary")
@@ -217,7 +237,7 @@ class Graph:
     def __init__(self, docs: DataFrame, folder: str, threshold: float) -> None:
         self.spark, self.folder, self.threshold, self.tables = docs.sparkSession, folder, threshold, 0
         spread = math.sqrt(threshold * (1 - threshold) / REGISTERS)
-        self.least = max(0.0, threshold - 10 * spread)
+        self.least = max(0.0, threshold - 6 * spread)
         self.signed = self.keep(sign(docs))
         nodes = self.signed.where(F.col("node").isNotNull()).groupBy("node")
         self.nodes = self.keep(nodes.agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig")))
@@ -236,28 +256,23 @@ class Graph:
         return self.keep(rows.join(shared, "bucket").select("bucket", "node"))
 
     def candidate_texts(self, members: DataFrame) -> DataFrame:
-        """``node, text, sig`` of the nodes that share a bucket."""
+        """``node, bag, sig`` of the nodes that share a bucket."""
         wanted = self.keep(members.select("node").distinct().join(self.nodes, "node").select("node", "id", "sig"))
         small = wanted.count() <= BROADCAST_NODES
         ids = wanted.select("id").distinct()
         texts = self.docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
-        @F.pandas_udf("binary")
-        def node(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda text: hash_of(folded(text)))
-
-        texts = texts.select(node("text").alias("node"), "text").where(F.col("node").isNotNull())
-        one = texts.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        one = bags(texts).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag"))
         return self.keep(one.join(wanted.select("node", "sig"), "node"))
 
     def links(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The links among ``pairs`` (a, b): signatures first, then texts."""
+        """The links among ``pairs`` (a, b): signatures first, then multisets."""
         sig_a = texts.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
         sig_b = texts.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
         near = self.keep(alike(pairs.join(sig_a, "a").join(sig_b, "b"), self.least))
-        text_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        text_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return self.keep(verified(near.join(text_b, "b").join(text_a, "a"), self.threshold))
+        bag_a = texts.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
+        bag_b = texts.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
+        return self.keep(verified(near.join(bag_b, "b").join(bag_a, "a"), self.threshold))
 
     def components(self, edges: DataFrame) -> DataFrame:
         """``node, root`` of all nodes in ``edges`` (a, b), by alternating large and small stars."""

@@ -10,9 +10,9 @@ Registers are banded; texts that share a band are candidates, and a candidate pa
 its shingle multisets is ``threshold`` or more. Classes are the connected components of the links.
 
 No group is ever expanded into all its pairs. Texts with equal words are one node. Within a band bucket nodes are compared
-with leaders; after each round linked nodes are one component, and only nodes outside a bucket's largest component lead
-further rounds, against nodes of other components, until each bucket is one component or all its pairs between components
-have been compared. A pair is compared exactly unless its signatures agree on so few registers that a similarity of
+with leaders, those first that meet most nodes over all bands: the text that copies were made from meets most. After each
+round linked nodes are one component, and from the second round on only nodes outside a bucket's largest component lead,
+against nodes of other components, until each bucket is one component or all its pairs between components have been compared. A pair is compared exactly unless its signatures agree on so few registers that a similarity of
 ``threshold`` is out of the question (six standard deviations, one pair in a thousand million).
 
 Defined cases: a null text or one without words is in a class of its own; a text of fewer than five words is one shingle of
@@ -181,13 +181,15 @@ def hash_of(words: list[bytes]) -> bytes | None:
 
 
 def alike(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, sig_a, sig_b) whose signatures agree on a share of at least ``least`` registers."""
+    """The pairs (a, b, sig_a, sig_b) whose signatures agree on a share of at least ``least`` registers.
+
+    Signatures have one byte a register here: unequal registers can seem equal, equal ones never differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
             near = pa.array((a == b).mean(1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
 
@@ -248,16 +250,18 @@ class Graph:
         return stored(df, f"{self.folder}/{self.tables}")
 
     def members(self) -> DataFrame:
-        """``bucket, node`` of each bucket with two nodes at least."""
+        """``bucket, node, meets`` of each bucket with two nodes at least; a node meets so many nodes over all its buckets."""
         size = 4 * ROWS
         bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr(F.col("sig"), i * size + 1, F.lit(size))))
         rows = self.nodes.select("node", F.explode(bands).alias("bucket"))
-        shared = rows.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-        return self.keep(rows.join(shared, "bucket").select("bucket", "node"))
+        shared = rows.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+        rows = self.keep(rows.join(shared, "bucket").select("bucket", "node", "k"))
+        return self.keep(rows.join(rows.groupBy("node").agg(F.sum("k").alias("meets")), "node").select("bucket", "node", "meets"))
 
     def candidate_texts(self, members: DataFrame) -> DataFrame:
-        """``node, bag, sig`` of the nodes that share a bucket."""
-        wanted = self.keep(members.select("node").distinct().join(self.nodes, "node").select("node", "id", "sig"))
+        """``node, bag, sig`` of the nodes that share a bucket; ``sig`` is cut to the low byte of each register."""
+        low = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))
+        wanted = self.keep(members.select("node").distinct().join(self.nodes, "node").select("node", "id", low.alias("sig")))
         small = wanted.count() <= BROADCAST_NODES
         ids = wanted.select("id").distinct()
         texts = self.docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
@@ -295,7 +299,7 @@ class Graph:
     def roots(self) -> DataFrame:
         """``node, root`` of all nodes that have a link."""
         members = self.members()
-        leaders = members.groupBy("bucket").agg(F.min("node").alias("a"))
+        leaders = members.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("s")).select("bucket", F.col("s.node").alias("a"))
         pairs = members.join(leaders, "bucket").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"))
         texts = self.candidate_texts(members)
         # First each node with the leader that it meets most often: most buckets are one component after that.
@@ -304,11 +308,13 @@ class Graph:
         compared = self.keep(ordered(first))
         components = self.components(links)
         open_members = self.keep(self.unsettled(members.withColumn("led", F.lit(False)), components))
-        at_once = 16
+        at_once, later = 16, False
         while not open_members.isEmpty():
             # The next leaders of each bucket; Spark cuts to so many per bucket before it shuffles.
-            order = Window.partitionBy("bucket").orderBy("node")
-            idle = open_members.where(~F.col("led") & (F.col("c") != F.col("anchor")))
+            order = Window.partitionBy("bucket").orderBy(F.desc("meets"), "node")
+            idle = open_members.where(~F.col("led"))
+            if later:
+                idle = idle.where(F.col("c") != F.col("anchor"))
             picked = idle.withColumn("place", F.row_number().over(order)).where(F.col("place") <= at_once)
             picked = self.keep(picked.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")))
             new = picked.join(open_members, "bucket").where("c <> ca").select("a", F.col("node").alias("b"))
@@ -319,14 +325,16 @@ class Graph:
                 components = self.components(found.unionByName(components.select(F.col("node").alias("a"), F.col("root").alias("b"))))
             led = picked.select(F.col("bucket").alias("pb"), F.col("a").alias("pa"))
             led = open_members.join(led, (F.col("bucket") == F.col("pb")) & (F.col("node") == F.col("pa")), "left")
-            led = led.select("bucket", "node", (F.col("led") | F.col("pa").isNotNull()).alias("led"))
+            led = led.select("bucket", "node", "meets", (F.col("led") | F.col("pa").isNotNull()).alias("led"))
             open_members = self.keep(self.unsettled(led, components))
-            at_once = min(256, at_once * 4)
+            if later:
+                at_once = min(256, at_once * 4)
+            later = True
         return components
 
     def unsettled(self, members: DataFrame, components: DataFrame) -> DataFrame:
         """Members of buckets where a node outside the largest component has not led yet: ``bucket, node, led, c, anchor``."""
-        rows = members.join(components, "node", "left").select("bucket", "node", "led", F.coalesce("root", "node").alias("c"))
+        rows = members.join(components, "node", "left").select("bucket", "node", "meets", "led", F.coalesce("root", "node").alias("c"))
         sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.count_if(~F.col("led")).alias("idle"))
         anchor = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c", "idle")).alias("s"), F.sum("idle").alias("idle"))
         anchor = anchor.where(F.col("idle") > F.col("s.idle")).select("bucket", F.col("s.c").alias("anchor"))

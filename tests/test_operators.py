@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from torqueline import queries
-from torqueline.operators import evaluation, graph, lifecycle, retrieval, usage
+from torqueline.operators import evaluation, graph, knowledge, lifecycle, retrieval, usage
 from torqueline.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -138,3 +138,33 @@ def test_streams(spark, tmp_path):
     merge(then, 1)
     merge(then, 1)  # a batch that runs again changes nothing
     assert {(r["name"], r["content"]) for r in spark.read.parquet(f"{tmp_path}/out/generation=1").collect()} == {("a", "y"), ("b", "z")}
+
+
+def test_toc_paths(spark):
+    rows = [("d", 0, 1, "A"), ("d", 1, 2, "A1"), ("d", 2, 3, "A1x"), ("d", 3, 2, "A2"), ("d", 4, 1, "B"), ("d", 5, 3, "Bx"), ("d", 6, 3, " "), ("e", 0, 2, "C")]
+    out = knowledge.toc_paths(spark.createDataFrame(rows, "document string, pos int, level int, title string")).orderBy("document", "pos").collect()
+    assert ["/".join(r["path"]) for r in out] == ["A", "A/A1", "A/A1/A1x", "A/A2", "B", "B/Bx", "C"]
+    deep = spark.createDataFrame([("d", 0, 9, "A")], "document string, pos int, level int, title string")
+    with pytest.raises(Exception, match="no such level"):
+        knowledge.toc_paths(deep).collect()
+
+
+def test_match_procedure(spark):
+    devices = spark.createDataFrame([(1, "engine pump", "L1"), (2, "engine", "L2"), (3, " ", "L1"), (4, None, "L1"), (5, "valve", None)], "device int, name string, level string")
+    rows = [(1, "pump", "L1", 1, "PUBLISHED"), (2, "engine", None, 3, "PUBLISHED"), (3, "engine", "", 2, "PUBLISHED"), (4, "engine", "L2", 9, "DRAFT"), (5, " ", None, 9, "PUBLISHED")]
+    procedures = spark.createDataFrame(rows, "procedure int, type string, level string, version int, status string")
+    out = knowledge.match_procedure(devices, procedures).orderBy("device").collect()
+    assert [tuple(r) for r in out] == [(1, 1, True), (2, 2, False)]
+    assert knowledge.match_procedure(devices, procedures.limit(0)).count() == 0
+
+
+def test_records_history_and_tasks(spark):
+    rows = [("d", "step", 1, "a", None, 3), ("d", "step_raw", 2, "a", None, None), ("d", "text", 3, "", "b", 1), ("d", "text", 4, None, "", 1), ("d", "text", 5, " ", None, 2)]
+    records = spark.createDataFrame(rows, "document string, chunk_type string, seq int, source_chunk_id string, chunk_uid string, page int")
+    out = knowledge.dedupe_records(records, ["source_chunk_id", "chunk_uid"], ["document", "page"], ["page"]).orderBy("place").collect()
+    assert [r["seq"] for r in out] == [4, 3, 5, 2]
+    steps = spark.createDataFrame([(1, "COMPLETED"), (1, "SKIPPED"), (2, "COMPLETED"), (2, None)], "task int, status string")
+    assert [tuple(r) for r in knowledge.promote_tasks(steps).collect()] == [(1, 2, 1, "DRAFT")]
+    tasks = spark.createDataFrame([("u", i, i) for i in range(8)], "user string, id int, at int")
+    out = knowledge.history(tasks, tasks).orderBy("place").collect()
+    assert [(r["kind"], r["id"]) for r in out][6:] == [("maintenance_task", 1), ("maintenance_task", 0), ("approved_case", 7), ("approved_case", 6)]

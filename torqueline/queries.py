@@ -7,7 +7,7 @@ writes, embeddings = vector records, documents = manuals, labels = judged runs,
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import corpus, evaluation, graph, lifecycle, retrieval, usage
+from .operators import corpus, evaluation, graph, knowledge, lifecycle, retrieval, usage
 from .sources.tables import table
 
 QUERIES: dict = {}
@@ -758,3 +758,129 @@ def a5_section_gate(spark, d):
 @query("SELECT md5(text) AS text_md5, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def l8_distinct_for_model(spark, d):
     return corpus.distinct_for_model(table(spark, d, "documents"))
+
+
+# Manuals, procedures, rules -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT s_suppkey AS manual, s_name AS name, p_partkey AS document, p_name AS file, p_type AS status FROM supplier JOIN part ON p_partkey = s_suppkey * 7 WHERE p_type = 'ECONOMY'""")
+def j1_inventory(spark, d):
+    manuals = table(spark, d, "supplier").select(F.col("s_suppkey").alias("manual"), F.col("s_name").alias("name"), (F.col("s_suppkey") * 7).alias("active_document"))
+    documents = table(spark, d, "part").select(F.col("p_partkey").alias("document"), F.col("p_name").alias("file"), F.col("p_type").alias("status"))
+    return knowledge.inventory(manuals, documents, "ECONOMY")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS procedure, substr(s_name, 17, 2) AS type, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE (s_suppkey % 3)::VARCHAR END AS lvl, s_suppkey % 5 AS version FROM supplier WHERE s_suppkey % 4 <> 0),
+m AS (SELECT p_partkey AS device, procedure, coalesce(lvl = (p_size % 3)::VARCHAR, false) AS exact, lvl, version FROM part JOIN p ON contains(p_brand, type))
+SELECT device, procedure, exact FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY exact DESC, version DESC, procedure) AS n FROM m WHERE exact OR lvl IS NULL) WHERE n = 1""")
+def j12_match_procedure(spark, d):
+    key = F.col("s_suppkey")
+    level = F.when(key % 3 != 0, (key % 3).cast("string"))
+    procedures = table(spark, d, "supplier").select(
+        key.alias("procedure"), F.substring("s_name", 17, 2).alias("type"), level.alias("level"), (key % 5).alias("version"), F.when(key % 4 == 0, "DRAFT").otherwise("PUBLISHED").alias("status")
+    )
+    devices = table(spark, d, "part").select(F.col("p_partkey").alias("device"), F.col("p_brand").alias("name"), (F.col("p_size") % 3).cast("string").alias("level"))
+    return knowledge.match_procedure(devices, procedures)
+
+
+@query("SELECT count(*) AS referenced, count(*) FILTER (chunk IN (SELECT doc_id FROM documents)) AS resolved FROM (SELECT DISTINCT doc_id + 20 AS chunk FROM labels)")
+def j18_round_trip(spark, d):
+    references = table(spark, d, "labels").select((F.col("doc_id") + 20).alias("chunk"))
+    return knowledge.round_trip(references, table(spark, d, "documents").select(F.col("doc_id").alias("chunk")))
+
+
+@query("""WITH a AS (SELECT DISTINCT conv_id AS session, conv_id % 10 AS "user", turn AS answer, turn - 1 AS question, conv_id::VARCHAR AS scope FROM conversations WHERE role = 'assistant'),
+m AS (SELECT DISTINCT conv_id AS session, turn AS question, text AS question_text FROM conversations WHERE role = 'user')
+SELECT session, "user", question, answer, scope, question_text FROM a LEFT JOIN m USING (session, question)""")
+def j20_pair_feedback(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), (F.col("conv_id") % 10).alias("user"), "turn", "role", "text").distinct()
+    direct, nested = F.concat(F.lit('{"scope":"'), "session", F.lit('"}')), F.concat(F.lit('{"meta":{"scope":"'), "session", F.lit('"}}'))
+    response = F.when(F.col("session") % 2 == 0, direct).otherwise(nested)
+    answers = rows.where("role = 'assistant'").select(F.col("turn").alias("answer"), "session", "user", (F.col("turn") - 1).alias("question"), response.alias("response")).distinct()
+    return knowledge.pair_feedback(answers, rows.withColumnRenamed("turn", "message"))
+
+
+@query("""WITH g AS (SELECT DISTINCT l_orderkey AS query, l_suppkey AS id FROM lineitem), v AS (SELECT DISTINCT l_orderkey AS query, l_partkey AS id FROM lineitem)
+SELECT query, id, 'g' || id AS name, 'graph' AS route FROM g UNION ALL SELECT query, id, 'v' || id, 'vector' FROM v WHERE (query, id) NOT IN (SELECT query, id FROM g)""")
+def u2_prefer_graph(spark, d):
+    rows, key = table(spark, d, "lineitem"), F.col("id").cast("string")
+    found = lambda column, prefix: rows.select(F.col("l_orderkey").alias("query"), F.col(column).alias("id")).withColumn("name", F.concat(F.lit(prefix), key))
+    return knowledge.prefer_graph(found("l_suppkey", "g"), found("l_partkey", "v"))
+
+
+@query("""WITH b AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en'), c AS (SELECT DISTINCT doc_id FROM labels)
+SELECT doc_id, 'left' AS side FROM b WHERE doc_id NOT IN (SELECT doc_id FROM c) UNION ALL SELECT doc_id, 'right' FROM c WHERE doc_id NOT IN (SELECT doc_id FROM b)""")
+def u3_in_one_only(spark, d):
+    return knowledge.in_one_only(table(spark, d, "documents").where("lang = 'en'"), table(spark, d, "labels"), "doc_id")
+
+
+@query("""WITH r AS (SELECT o_custkey AS "user", o_orderkey AS id, o_orderdate AS "at", CASE o_orderstatus WHEN 'F' THEN 'maintenance_task' ELSE 'approved_case' END AS kind FROM orders WHERE o_orderstatus IN ('F', 'O')),
+t AS (SELECT *, row_number() OVER (PARTITION BY "user", kind ORDER BY "at" DESC, id DESC) AS n FROM r)
+SELECT * FROM (SELECT "user", id, kind, row_number() OVER (PARTITION BY "user" ORDER BY kind DESC, n) AS place FROM t WHERE n <= 10) WHERE place <= 10""")
+def u6_history(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("user"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), "o_orderstatus")
+    of = lambda status: rows.where(F.col("o_orderstatus") == status).drop("o_orderstatus")
+    return knowledge.history(of("F"), of("O"))
+
+
+@query("""WITH e AS (SELECT user_id AS document, event_id AS pos, event_id * 7 % 11 % 4 + 1 AS level, event_type AS title FROM events),
+s AS (SELECT *, [max(pos) FILTER (level = 1) OVER w, max(pos) FILTER (level = 2) OVER w, max(pos) FILTER (level = 3) OVER w] AS l FROM e
+  WINDOW w AS (PARTITION BY document ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT document, pos, title, level > 1 AND l[1] IS NOT NULL AS a, level > 2 AND l[2] > coalesce(l[1], -1) AS b, level > 3 AND l[3] > greatest(coalesce(l[1], -1), coalesce(l[2], -1)) AS c, l FROM s)
+SELECT o.document, o.pos, concat_ws('/', CASE WHEN a THEN x.title END, CASE WHEN b THEN y.title END, CASE WHEN c THEN z.title END, o.title) AS path
+FROM o LEFT JOIN e x ON x.document = o.document AND x.pos = l[1] LEFT JOIN e y ON y.document = o.document AND y.pos = l[2] LEFT JOIN e z ON z.document = o.document AND z.pos = l[3]""")
+def w5_toc_paths(spark, d):
+    level = F.col("event_id") * 7 % 11 % 4 + 1
+    entries = table(spark, d, "events").select(F.col("user_id").alias("document"), F.col("event_id").alias("pos"), level.alias("level"), F.col("event_type").alias("title"))
+    return knowledge.toc_paths(entries, 4).withColumn("path", F.array_join("path", "/"))
+
+
+@query("""WITH r AS (SELECT user_id AS document, event_id AS seq, CASE WHEN event_id % 10 > 0 THEN (event_id * 13 % 997)::VARCHAR END AS chunk, (event_type = 'click')::INT AS raw,
+  CASE WHEN event_id % 3 > 0 THEN event_id % 50 END AS page, CASE WHEN event_id % 4 > 0 THEN event_id % 9 END AS section FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY raw DESC, 1 + (page IS NOT NULL)::INT + (section IS NOT NULL)::INT DESC, seq) AS n FROM r)
+SELECT document, chunk, seq, row_number() OVER (PARTITION BY document ORDER BY section NULLS LAST, page NULLS LAST, coalesce(chunk, ''), seq) AS place FROM k WHERE n = 1 OR chunk IS NULL""")
+def w12_dedupe_records(spark, d):
+    n = F.col("event_id")
+    uid = F.when(n % 10 > 0, (n * 13 % 997).cast("string"))
+    rows = table(spark, d, "events").select(
+        F.col("user_id").alias("document"), n.alias("seq"), F.when(n % 2 == 0, uid).otherwise("").alias("source_chunk_id"), uid.alias("chunk_uid"),
+        F.when(F.col("event_type") == "click", "step_raw").alias("chunk_type"), F.when(n % 3 > 0, n % 50).alias("page"), F.when(n % 4 > 0, n % 9).alias("section"),
+    )
+    return knowledge.dedupe_records(rows, ["source_chunk_id", "chunk_uid"], ["document", "section", "page"], ["section", "page"])
+
+
+@query("SELECT source AS kind, count(*) AS n FROM documents GROUP BY source")
+def a29_storage_stats(spark, d):
+    return knowledge.storage_stats(table(spark, d, "documents").select(F.concat("source", F.lit(":"), F.col("doc_id").cast("string")).alias("key")))
+
+
+@query("""WITH t AS (SELECT o_orderstatus AS variant, o_custkey AS "case", o_orderkey % 2 AS repetition, o_orderkey % 3 AS turn, max_by(o_orderpriority, o_orderkey) AS sig FROM orders WHERE o_orderpriority NOT LIKE '5%' GROUP BY ALL)
+SELECT "case", repetition, turn, concat_ws(',', CASE WHEN NOT bool_or(variant = 'F') THEN 'F' END, CASE WHEN NOT bool_or(variant = 'O') THEN 'O' END, CASE WHEN NOT bool_or(variant = 'P') THEN 'P' END) AS missing, count(DISTINCT sig) AS n_signatures
+FROM t GROUP BY 1, 2, 3 HAVING count(DISTINCT variant) < 3 OR count(DISTINCT sig) > 1""")
+def a37_signature_violations(spark, d):
+    key = F.col("o_orderkey")
+    signature = F.when(F.col("o_orderpriority").startswith("5"), " ").otherwise(F.col("o_orderpriority"))
+    turns = table(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("variant"), F.col("o_custkey").alias("case"), (key % 2).alias("repetition"), (key % 3).alias("turn"), signature.alias("signature"), key.alias("seq")
+    )
+    return knowledge.signature_violations(turns, ["F", "O", "P"])
+
+
+@query("""WITH h AS (SELECT doc_id AS query, doc_id % 2 AS device, regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\r]+', '', 'g') AS t, p_partkey AS rule, (doc_id + p_partkey) % 10 / 10.0::DOUBLE AS relevance, split(p_name, ' ') AS keys
+  FROM documents JOIN part ON p_partkey BETWEEN doc_id % 50 AND doc_id % 50 + 4 WHERE p_partkey % 3 = 0 OR p_partkey % 3 - 1 = doc_id % 2),
+r AS (SELECT *, len(list_filter(keys, lambda k: contains(t, k[1:2]))) / len(keys) AS ratio FROM h),
+s AS (SELECT query, rule, round(relevance * 0.7 + ratio * 0.3, 6) AS score, round(ratio, 6) AS ratio FROM r WHERE ratio > 0 AND (relevance >= 0.5 OR ratio >= 0.5))
+SELECT query, rule, score, ratio FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rule) AS n FROM s) WHERE n = 1""")
+def k10_best_rule(spark, d):
+    docs, key = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("doc_id")
+    near = F.explode(F.sequence(key % 50, key % 50 + 4))
+    hits = docs.select(key.alias("query"), "text", (key % 2).cast("string").alias("device"), near.alias("rule")).withColumn("rank", F.col("rule")).withColumn("relevance", (F.col("query") + F.col("rule")) % 10 / 10)
+    own = F.when(F.col("p_partkey") % 3 > 0, (F.col("p_partkey") % 3 - 1).cast("string"))
+    keys = F.transform(F.split("p_name", " "), lambda k: F.substring(k, 1, 2))
+    return knowledge.best_rule(hits, table(spark, d, "part").select(F.col("p_partkey").alias("rule"), own.alias("rule_device"), keys.alias("keys")))
+
+
+@query("SELECT l_orderkey AS task, count(*) AS total_steps, 1 AS version, 'DRAFT' AS status FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_returnflag <> 'R')")
+def l12_promote_tasks(spark, d):
+    status = F.when(F.col("l_returnflag") == "A", "COMPLETED").when(F.col("l_returnflag") == "N", "SKIPPED").otherwise("PENDING")
+    return knowledge.promote_tasks(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), status.alias("status")))

@@ -190,3 +190,25 @@ def dataset_issues(cases: DataFrame) -> DataFrame:
         F.when(F.col("answerable") & (F.size("nuggets") <= 0), "missing_nuggets"),
     ]
     return cases.select("case", F.explode(F.array_compact(F.array(*rules))).alias("code"))
+
+
+def graph_recall(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """Per case type the cases, those that pass and, for recall types, the mean share of expected nodes found.
+
+    An isolation case passes on an empty result, a negative one always, any other when all its expected components, one at
+    least, are found. cases: case, case_type, should_be_empty, components, solutions; found: case, component, solution."""
+    got = found.groupBy("case").agg(F.collect_set("component").alias("got_components"), F.collect_set("solution").alias("got_solutions"), F.count("*").alias("n_found"))
+    none = F.array().cast("array<string>")
+    rows = cases.join(got, "case", "left")
+    hits = lambda wanted, have: F.size(F.filter(F.coalesce(wanted, none), lambda x: F.array_contains(F.coalesce(F.col(have), none), x)))
+    size = lambda wanted: F.size(F.coalesce(wanted, none))
+    component_hits, expected = hits("components", "got_components"), size("components") + size("solutions")
+    passed = (
+        F.when(F.col("should_be_empty"), F.col("n_found").isNull()).when(F.col("case_type") == "negative", True)
+        .otherwise((component_hits == size("components")) & (size("components") > 0))
+    )
+    share = F.when(expected > 0, (component_hits + hits("solutions", "got_solutions")) / expected).otherwise(1.0)
+    weak = F.coalesce("should_be_empty", F.lit(False)) | (F.col("case_type") == "negative")
+    share = F.when(F.col("case_type").startswith("recall"), F.when(weak, F.lit(0.0)).otherwise(share))
+    scored = rows.select("case_type", passed.alias("passed"), share.alias("share"))
+    return scored.groupBy("case_type").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.round(F.avg("share"), 6).alias("recall"))

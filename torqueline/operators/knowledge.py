@@ -152,3 +152,56 @@ def promote_tasks(steps: DataFrame, done=("COMPLETED", "AI_PASSED", "SKIPPED"))
     all_done = F.bool_and(F.coalesce(F.col("status").isin(*done), F.lit(False)))
     drafts = steps.groupBy("task").agg(F.count("*").alias("total_steps"), all_done.alias("done")).where("done").drop("done")
     return drafts.select("task", "total_steps", F.lit(1).alias("version"), F.lit("DRAFT").alias("status"))
+
+
+# Labels and words that tell diagnostic chunks.
+EXPLICIT_LABELS = ["troubleshooting", "fault_diagnosis", "error_code"]
+CONDITIONAL_LABELS = ["step", "procedure", "safety"]
+EXCLUDED_LABELS = ["step", "procedure", "parameter", "specification", "toc", "table_of_contents", "image", "image_title", "figure", "caption", "table_row"]
+SYMPTOM = (
+    "故障|异常|失效|报警|报错|错误码|无法|不能|不工作|振动|抖动|异响|噪声|泄漏|漏油|过热|冒烟|熄火|卡滞|磨损|断裂|松动|偏高|偏低|无响应|"
+    "不灵活|不顺畅|损坏|损伤|变形|开裂|硬化|弯曲|齿伤|干涉|发黑|腐蚀|划伤|刮痕|积碳|缺陷|卡住|相对滑动"
+)
+CAUSE_OR_ACTION = "原因|由于|导致|可能为|可能是|引起|处理|排除|解决|修复|更换|检查|检修|调整|清洁|紧固|重新安装|应当|应先|措施"
+CONDITION = "若|如|如果|否则|超出|高于|低于|小于|大于|不符合|未达到"
+
+
+def diagnostic_chunks(chunks: DataFrame, symptom=SYMPTOM, cause_or_action=CAUSE_OR_ACTION, condition=CONDITION) -> DataFrame:
+    """whether a chunk tells a diagnosis, and why. chunks: chunk, label, chunk_type, text; no label counts as text."""
+    label = F.lower(F.trim(F.coalesce("label", F.lit("text"))))
+    label = F.when(label == "", "text").otherwise(label)
+    kind, text = F.lower(F.trim(F.coalesce("chunk_type", F.lit("")))), F.coalesce("text", F.lit(""))
+    pair = text.rlike(symptom) & text.rlike(cause_or_action)
+    tables = ["table", "table_full"]
+    readable = (label == "text") | (label.isin(tables) & kind.isin(tables))
+    reason = (
+        F.when(label.isin(EXPLICIT_LABELS), "explicit_diagnostic_label")
+        .when(label.isin(CONDITIONAL_LABELS) & pair & text.rlike(condition), "conditional_diagnostic_signal_pair")
+        .when(label.isin(CONDITIONAL_LABELS + EXCLUDED_LABELS), "excluded_chunk_label")
+        .when(readable & pair, "diagnostic_signal_pair")
+        .otherwise("no_diagnostic_signal_pair")
+    )
+    out = chunks.select("chunk", reason.alias("reason"))
+    return out.withColumn("selected", ~F.col("reason").isin("excluded_chunk_label", "no_diagnostic_signal_pair"))
+
+
+def coverage(queries: DataFrame, aspects: DataFrame, conflicts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """How far the qualified evidence covers the aspects of each query, the first test that applies deciding.
+
+    queries: query, scope; aspects: query, aspect, supported; conflicts, evidence: query."""
+    of_query = aspects.groupBy("query").agg(
+        F.count("*").alias("n"), F.count_if("supported").alias("n_supported"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.coalesce("supported", F.lit(False)), F.col("aspect")))), ",").alias("missing"),
+    )
+    has = lambda rows, name: rows.select("query").distinct().withColumn(name, F.lit(True))
+    rows = queries.join(of_query, "query", "left").join(has(conflicts, "conflict"), "query", "left").join(has(evidence, "qualified"), "query", "left")
+    reason = (
+        F.when(F.col("scope") == "out_of_scope", "out_of_scope").when(F.col("n").isNull(), "no_valid_aspects").when(F.col("conflict"), "unresolved_conflict")
+        .when(F.col("qualified").isNull(), "zero_qualified_evidence").when(F.col("n_supported") == 0, "zero_supported_aspects")
+        .when(F.col("n_supported") == F.col("n"), "all_aspects_supported").otherwise("missing_aspects")
+    )
+    status = (
+        F.when(F.col("reason") == "unresolved_conflict", "conflict").when(F.col("reason") == "all_aspects_supported", "complete")
+        .when(F.col("reason") == "missing_aspects", "partial").otherwise("unsupported")
+    )
+    return rows.withColumn("reason", reason).select("query", status.alias("status"), "reason", F.coalesce("missing", F.lit("")).alias("missing"))

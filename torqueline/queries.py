@@ -884,3 +884,39 @@ def k10_best_rule(spark, d):
 def l12_promote_tasks(spark, d):
     status = F.when(F.col("l_returnflag") == "A", "COMPLETED").when(F.col("l_returnflag") == "N", "SKIPPED").otherwise("PENDING")
     return knowledge.promote_tasks(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), status.alias("status")))
+
+
+@query(r"""WITH c AS (SELECT doc_id AS chunk, ['text', 'step', 'figure', 'error_code', 'table', 'safety'][1 + doc_id % 6] AS label, CASE WHEN doc_id % 4 > 0 THEN 'table' ELSE '' END AS kind, coalesce(text, '') AS t FROM documents),
+p AS (SELECT *, regexp_matches(t, 'and|ist') AND regexp_matches(t, 'the|der') AS pair FROM c),
+r AS (SELECT chunk, CASE WHEN label = 'error_code' THEN 'explicit_diagnostic_label'
+  WHEN label IN ('step', 'safety') THEN CASE WHEN pair AND regexp_matches(t, 'ion') THEN 'conditional_diagnostic_signal_pair' ELSE 'excluded_chunk_label' END
+  WHEN label = 'figure' THEN 'excluded_chunk_label' WHEN (label = 'text' OR kind = 'table') AND pair THEN 'diagnostic_signal_pair' ELSE 'no_diagnostic_signal_pair' END AS reason FROM p)
+SELECT chunk, reason, reason NOT IN ('excluded_chunk_label', 'no_diagnostic_signal_pair') AS selected FROM r""")
+def f7_diagnostic_chunks(spark, d):
+    n = F.col("doc_id")
+    label = F.get(F.array(*map(F.lit, ["text", "step", "figure", "error_code", "table", "safety"])), (n % 6).cast("int"))
+    chunks = table(spark, d, "documents").select(n.alias("chunk"), label.alias("label"), F.when(n % 4 > 0, "table").otherwise("").alias("chunk_type"), "text")
+    return knowledge.diagnostic_chunks(chunks, "and|ist", "the|der", "ion")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS query, count(l_orderkey) AS n, count(*) FILTER (l_returnflag = 'N') AS ok,
+  coalesce(array_to_string(list_sort(list(DISTINCT l_partkey::VARCHAR) FILTER (l_returnflag <> 'N')), ','), '') AS missing, o_orderstatus AS s, o_custkey AS c FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+r AS (SELECT query, missing, CASE WHEN s = 'P' THEN 'out_of_scope' WHEN n = 0 THEN 'no_valid_aspects' WHEN query % 7 = 0 THEN 'unresolved_conflict' WHEN query % 5 = 0 THEN 'zero_qualified_evidence'
+  WHEN ok = 0 THEN 'zero_supported_aspects' WHEN ok = n THEN 'all_aspects_supported' ELSE 'missing_aspects' END AS reason FROM a)
+SELECT query, reason, missing, CASE reason WHEN 'unresolved_conflict' THEN 'conflict' WHEN 'all_aspects_supported' THEN 'complete' WHEN 'missing_aspects' THEN 'partial' ELSE 'unsupported' END AS status FROM r""")
+def a34_coverage(spark, d):
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), F.when(F.col("o_orderstatus") == "P", "out_of_scope").otherwise("in_scope").alias("scope"))
+    aspects = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_partkey").cast("string").alias("aspect"), (F.col("l_returnflag") == "N").alias("supported"))
+    return knowledge.coverage(asked, aspects, asked.where("query % 7 = 0"), asked.where("query % 5 <> 0"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS "case", list(DISTINCT l_suppkey::VARCHAR) AS gc, list(DISTINCT l_partkey::VARCHAR) AS gs FROM lineitem WHERE l_quantity > 10 GROUP BY 1),
+c AS (SELECT l_orderkey AS "case", ['isolation', 'negative', 'recall_device', 'recall_free'][1 + l_orderkey % 4] AS case_type, list(DISTINCT l_suppkey::VARCHAR) AS components, list(DISTINCT l_partkey::VARCHAR) AS solutions FROM lineitem WHERE l_quantity > 5 GROUP BY 1),
+h AS (SELECT case_type, gc IS NULL AS empty, len(list_intersect(components, coalesce(gc, []))) AS ch, len(list_intersect(solutions, coalesce(gs, []))) AS sh, len(components) AS nc, len(solutions) AS ns FROM c LEFT JOIN f USING ("case"))
+SELECT case_type, count(*) AS total, count(*) FILTER (CASE case_type WHEN 'isolation' THEN empty WHEN 'negative' THEN true ELSE ch = nc END) AS passed,
+  round(avg(CASE WHEN case_type LIKE 'recall%' THEN (ch + sh) / (nc + ns) END), 6) AS recall FROM h GROUP BY case_type""")
+def a27_graph_recall(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), F.col("l_suppkey").cast("string").alias("component"), F.col("l_partkey").cast("string").alias("solution"), "l_quantity")
+    kind = F.get(F.array(*map(F.lit, ["isolation", "negative", "recall_device", "recall_free"])), (F.col("case") % 4).cast("int"))
+    cases = rows.where("l_quantity > 5").groupBy("case").agg(F.collect_set("component").alias("components"), F.collect_set("solution").alias("solutions"))
+    return evaluation.graph_recall(cases.withColumn("case_type", kind).withColumn("should_be_empty", F.col("case_type") == "isolation"), rows.where("l_quantity > 10"))

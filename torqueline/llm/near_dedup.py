@@ -9,11 +9,15 @@ early points are ever visited, and weights that agree on an interval see the sam
 Registers are banded; texts that share a band are candidates, and a candidate pair becomes a link when the exact overlap of
 its shingle multisets is ``threshold`` or more. Classes are the connected components of the links.
 
-No group is ever expanded into all its pairs. Texts with equal words are one node. Within a band bucket nodes are compared
-with leaders, those first that meet most nodes over all bands: the text that copies were made from meets most. After each
-round linked nodes are one component, and from the second round on only nodes outside a bucket's largest component lead,
-against nodes of other components, until each bucket is one component or all its pairs between components have been compared. A pair is compared exactly unless its signatures agree on so few registers that a similarity of
-``threshold`` is out of the question (six standard deviations, one pair in a thousand million).
+No group is ever expanded into all its pairs. Texts with equal words are one node. Each band bucket has a leader, the node
+that meets most others over all bands (the text that copies were made from), and every member is compared exactly with it;
+members that are not linked to it get a leader of their own once more. What is left to find are links between a member x in
+another component than its leader L and a further member y of L's buckets. They are found by the differences from L: where
+x and y differ from L in no common shingle, each shingle stands in one of them as often as in L, so x and y have at most the
+similarity of x and L, which is below ``threshold``. With differences Dx and Dy, sizes X and Y and
+c = (1 - threshold) / (1 + threshold), a link needs |Dx| + |Dy| - 2 |Dx and Dy| <= c (X + Y); so it has a common difference
+among the first |D| - need + 1 of both, in any order kept by all. Added shingles come first in it, as they are the rarest.
+Only such pairs are compared, so no link between texts that share a bucket is lost and most pairs are never formed.
 
 Defined cases: a null text or one without words is in a class of its own; a text of fewer than five words is one shingle of
 all of them; repeated rows each get a row; the class id is the smallest document id of the class (null ids last); an empty
@@ -27,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLD, stored, workspace
@@ -180,22 +184,6 @@ def hash_of(words: list[bytes]) -> bytes | None:
     return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
 
 
-def alike(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, sig_a, sig_b) whose signatures agree on a share of at least ``least`` registers.
-
-    Signatures have one byte a register here: unequal registers can seem equal, equal ones never differ."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-            near = pa.array((a == b).mean(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
-
-    return pairs.mapInArrow(run, "a binary, b binary")
-
-
 def packed(words: list[bytes]) -> bytes | None:
     """The shingle multiset of words: 64-bit hashes, then 32-bit multiplicities."""
     if not words:
@@ -221,16 +209,53 @@ def bags(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "node binary, bag binary").where(F.col("node").isNotNull())
 
 
-def verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b, bag_a, bag_b) whose shingle multisets overlap by ``threshold`` or more."""
+def compared(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, near`` of the pairs (a, b, bag_a, bag_b): whether their multisets overlap by ``threshold`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(batch.column("bag_a"), batch.column("bag_b"), strict=True)
             near = pa.array([overlap(unpacked(x.as_py()), unpacked(y.as_py())) >= threshold for x, y in both], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), near], ["a", "b", "near"])
+
+    return pairs.mapInArrow(run, "a binary, b binary, near boolean")
+
+
+def occurrences(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The multiset as a sorted set: the n-th occurrence of a shingle is an element of its own."""
+    hashes, counts = bag[0].astype(U), bag[1].astype(np.int64)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    each = np.repeat(hashes, counts)
+    return np.sort(np.where(nth == 0, each, mix(each + nth.astype(U) * GOLDEN)))
+
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+def differences(leader: np.ndarray, member: np.ndarray, apart: bool, c: float) -> tuple[int, float, np.ndarray]:
+    """Number of elements in which ``member`` differs from ``leader``, its share of ``need``, and those that a link can meet first.
+
+    Two members at n, m differences need (share + share) / 2 common ones. The other share is at least ``-c * leader`` beside
+    any member, and above ``c * leader`` beside one that is apart from the leader, which one of the two always is."""
+    added, removed = np.setdiff1d(member, leader, assume_unique=True), np.setdiff1d(leader, member, assume_unique=True)
+    found = np.concatenate((added, removed))
+    share = len(found) - c * len(member)
+    need = max(1, math.ceil((share + (-c if apart else c) * len(leader)) / 2 - 1e-9))
+    return len(found), share, found[: max(0, len(found) - need + 1)].view(np.int64)
+
+
+def spread(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, root, apart, n, share, firsts`` of the pairs (a, b, root, apart, bag_a, bag_b); see ``differences``."""
+    c = (1 - threshold) / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                bags = zip(part.column("bag_a"), part.column("bag_b"), part.column("apart"), strict=True)
+                rows = [differences(occurrences(unpacked(x.as_py())), occurrences(unpacked(y.as_py())), f.as_py(), c) for x, y, f in bags]
+                n, share, firsts = zip(*rows, strict=True)
+                new = [pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in ("a", "b", "root", "apart")] + new, ["a", "b", "root", "apart", "n", "share", "firsts"])
+
+    return pairs.mapInArrow(run, "a binary, b binary, root binary, apart boolean, n long, share double, firsts array<long>")
 
 
 class Graph:
@@ -238,8 +263,6 @@ class Graph:
 
     def __init__(self, docs: DataFrame, folder: str, threshold: float) -> None:
         self.spark, self.folder, self.threshold, self.tables = docs.sparkSession, folder, threshold, 0
-        spread = math.sqrt(threshold * (1 - threshold) / REGISTERS)
-        self.least = max(0.0, threshold - 6 * spread)
         self.signed = self.keep(sign(docs))
         nodes = self.signed.where(F.col("node").isNotNull()).groupBy("node")
         self.nodes = self.keep(nodes.agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig")))
@@ -258,25 +281,20 @@ class Graph:
         rows = self.keep(rows.join(shared, "bucket").select("bucket", "node", "k"))
         return self.keep(rows.join(rows.groupBy("node").agg(F.sum("k").alias("meets")), "node").select("bucket", "node", "meets"))
 
-    def candidate_texts(self, members: DataFrame) -> DataFrame:
-        """``node, bag, sig`` of the nodes that share a bucket; ``sig`` is cut to the low byte of each register."""
-        low = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))
-        wanted = self.keep(members.select("node").distinct().join(self.nodes, "node").select("node", "id", low.alias("sig")))
+    def candidate_bags(self, members: DataFrame) -> DataFrame:
+        """``node, bag`` of the nodes that share a bucket."""
+        wanted = self.keep(members.select("node").distinct().join(self.nodes, "node").select("node", "id"))
         small = wanted.count() <= BROADCAST_NODES
         ids = wanted.select("id").distinct()
         texts = self.docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+        return self.keep(bags(texts).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag")))
 
-        one = bags(texts).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag"))
-        return self.keep(one.join(wanted.select("node", "sig"), "node"))
+    def with_bags(self, pairs: DataFrame, bags: DataFrame) -> DataFrame:
+        bag_a, bag_b = (bags.select(F.col("node").alias(k), F.col("bag").alias(f"bag_{k}")) for k in "ab")
+        return pairs.join(bag_b, "b").join(bag_a, "a")
 
-    def links(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The links among ``pairs`` (a, b): signatures first, then multisets."""
-        sig_a = texts.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-        sig_b = texts.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-        near = self.keep(alike(pairs.join(sig_a, "a").join(sig_b, "b"), self.least))
-        bag_a = texts.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
-        bag_b = texts.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-        return self.keep(verified(near.join(bag_b, "b").join(bag_a, "a"), self.threshold))
+    def compare(self, pairs: DataFrame, bags: DataFrame) -> DataFrame:
+        return self.keep(compared(self.with_bags(pairs, bags), self.threshold))
 
     def components(self, edges: DataFrame) -> DataFrame:
         """``node, root`` of all nodes in ``edges`` (a, b), by alternating large and small stars."""
@@ -299,46 +317,42 @@ class Graph:
     def roots(self) -> DataFrame:
         """``node, root`` of all nodes that have a link."""
         members = self.members()
-        leaders = members.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("s")).select("bucket", F.col("s.node").alias("a"))
-        pairs = members.join(leaders, "bucket").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"))
-        texts = self.candidate_texts(members)
-        # First each node with the leader that it meets most often: most buckets are one component after that.
-        first = pairs.groupBy("b").agg(F.max(F.struct("k", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
-        links = self.links(first, texts)
-        compared = self.keep(ordered(first))
+        bags = self.candidate_bags(members)
+        led = self.keep(self.led(members))
+        first = self.compare(led.select("a", F.col("node").alias("b")).distinct(), bags)
+        # Members apart from their leader get another one, so that a second cluster in a bucket becomes one component.
+        apart = first.where(~F.col("near")).select("a", F.col("b").alias("node"))
+        again = self.led(led.join(apart, ["a", "node"], "left_semi").select("bucket", "node", "meets"))
+        second = self.compare(ordered(again.select("a", F.col("node").alias("b"))), bags)
+        links = first.unionByName(second).where("near").select("a", "b")
         components = self.components(links)
-        open_members = self.keep(self.unsettled(members.withColumn("led", F.lit(False)), components))
-        at_once, later = 16, False
-        while not open_members.isEmpty():
-            # The next leaders of each bucket; Spark cuts to so many per bucket before it shuffles.
-            order = Window.partitionBy("bucket").orderBy(F.desc("meets"), "node")
-            idle = open_members.where(~F.col("led"))
-            if later:
-                idle = idle.where(F.col("c") != F.col("anchor"))
-            picked = idle.withColumn("place", F.row_number().over(order)).where(F.col("place") <= at_once)
-            picked = self.keep(picked.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")))
-            new = picked.join(open_members, "bucket").where("c <> ca").select("a", F.col("node").alias("b"))
-            new = self.keep(ordered(new).join(compared, ["a", "b"], "left_anti"))
-            found = self.links(new, texts)
-            compared = compared.unionByName(new)
-            if not found.isEmpty():
-                components = self.components(found.unionByName(components.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-            led = picked.select(F.col("bucket").alias("pb"), F.col("a").alias("pa"))
-            led = open_members.join(led, (F.col("bucket") == F.col("pb")) & (F.col("node") == F.col("pa")), "left")
-            led = led.select("bucket", "node", "meets", (F.col("led") | F.col("pa").isNotNull()).alias("led"))
-            open_members = self.keep(self.unsettled(led, components))
-            if later:
-                at_once = min(256, at_once * 4)
-            later = True
-        return components
-
-    def unsettled(self, members: DataFrame, components: DataFrame) -> DataFrame:
-        """Members of buckets where a node outside the largest component has not led yet: ``bucket, node, led, c, anchor``."""
-        rows = members.join(components, "node", "left").select("bucket", "node", "meets", "led", F.coalesce("root", "node").alias("c"))
-        sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.count_if(~F.col("led")).alias("idle"))
-        anchor = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c", "idle")).alias("s"), F.sum("idle").alias("idle"))
-        anchor = anchor.where(F.col("idle") > F.col("s.idle")).select("bucket", F.col("s.c").alias("anchor"))
-        return rows.join(anchor, "bucket")
+        pairs = self.keep(self.possible(first.select("a", "b"), components, bags))
+        found = self.compare(pairs, bags).where("near").select("a", "b")
+        if found.isEmpty():
+            return components
+        return self.components(found.unionByName(components.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    def led(self, members: DataFrame) -> DataFrame:
+        """``bucket, a, node, meets``: every other member of each bucket with its leader ``a``."""
+        leaders = members.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("s")).select("bucket", F.col("s.node").alias("a"))
+        return members.join(leaders, "bucket").where("node <> a").select("bucket", "a", "node", "meets")
+
+    def possible(self, led: DataFrame, components: DataFrame, bags: DataFrame) -> DataFrame:
+        """Pairs of nodes in two components that one node leads and that can be links by their differences from it."""
+        root_a = components.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        root_b = components.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        rows = led.join(root_b, "b", "left").join(root_a, "a", "left").withColumn("root", F.coalesce("rb", "b"))
+        rows = self.keep(rows.select("a", "b", "root", (F.col("root") != F.coalesce("ra", "a")).alias("apart")))
+        open_leaders = rows.groupBy("a").agg(F.max("apart").alias("any"), F.count("*").alias("k")).where("any and k > 1").select("a")
+        rows = self.keep(spread(self.with_bags(rows.join(open_leaders, "a", "left_semi"), bags), self.threshold))
+        places = rows.select("a", "b", "root", "apart", "n", "share", F.posexplode("firsts").alias("at", "token"))
+        x, y = places.where("apart").alias("x"), places.alias("y")
+        need = F.greatest(F.lit(1), F.ceil((F.col("x.share") + F.col("y.share")) / 2 - 1e-9))
+        met = (
+            (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
+            & (F.col("x.at") + need <= F.col("x.n")) & (F.col("y.at") + need <= F.col("y.n"))
+        )
+        return ordered(x.join(y, met).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

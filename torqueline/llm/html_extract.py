@@ -3,8 +3,9 @@
 Markup is stripped to lines, one per text block, each with the share of its characters that stand in links and with whether
 it lies in a part that is never article text (head, navigation, header, footer, aside, form, script, style, advert, notice,
 comments). Text lengths are summed over sliding windows of lines; a surge opens and a dive closes a stretch, and the
-stretches between them are kept. A page whose article is marked up (``article`` or ``main``) has its surge and dive at those
-tags, so short first and last paragraphs stay with it.
+stretches between them are kept. ``article`` and ``main`` only move these points: no window crosses their tags, and a stretch
+inside one reaches from its opening to its end tag, so short first and last paragraphs stay with it. The text outside them is
+judged by its own windows. An ``article`` that is a comment by its names is dropped.
 
 Defined cases: null or empty html, or html without text outside the dropped parts, gives the empty text; a page cut off
 inside a tag loses that tag only, one cut off inside an element keeps its text; repeated pages each get the same row; an
@@ -37,6 +38,9 @@ NOT_TEXT = re.compile(
     r"sidebar|side|nav\w*|menu|breadcrumb\w*|header|footer|masthead|comment\w*|respon[sd]\w*|disqus|share|social|related|"
     r"recommend\w*|pagination|pager|widget|toolbar|login|signup|search|complementary|contentinfo|banner|navigation)(?:$|[\s_-])", re.I)
 
+#: Single names of an ``article`` that is a comment; its other names say nothing, as pages call articles many things.
+COMMENT = re.compile(r"(?:^|\s)(?:div-)?(?:comment|reply|replie|response)s?(?:[_-](?:\d+|item|body|content|card))?(?:$|\s)", re.I)
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|<(?=/?\Z)", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -44,17 +48,17 @@ HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true
 SPACE = re.compile(r"\s+")
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The blocks of a page outside the dropped parts: (text, characters in links, inside article or main)."""
-    lines: list[tuple[str, int, bool]] = []
-    open_tags: list[tuple[str, bool, bool, bool]] = []  # name, dropped, in an article, in a link
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """The blocks of a page outside the dropped parts: (text, characters in links, number of the outermost article or main, or 0)."""
+    lines: list[tuple[str, int, int]] = []
+    open_tags: list[tuple[str, bool, int, bool]] = []  # name, dropped, number of the article, in a link
     text: list[str] = []
-    linked = 0
-    dropped = inside = in_link = False
+    linked = inside = articles = 0
+    dropped = in_link = False
     raw = ""
     at = 0
 
-    def flush(article: bool) -> None:
+    def flush(article: int) -> None:
         nonlocal linked
         if text:
             line = SPACE.sub(" ", entities.unescape("".join(text))).strip()
@@ -63,8 +67,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.clear()
         linked = 0
 
-    def top() -> tuple[bool, bool, bool]:
-        return open_tags[-1][1:] if open_tags else (False, False, False)
+    def top() -> tuple[bool, int, bool]:
+        return open_tags[-1][1:] if open_tags else (False, 0, False)
 
     for m in TOKEN.finditer(page):
         if raw:  # only its own end tag ends a raw-text element
@@ -109,7 +113,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 gone, art, link = top()
                 is_article = name in ("article", "main")
                 gone = gone or (name in ASIDE and not (art and name == "header")) or bool(names and NOT_TEXT.search(names)) and not is_article and name not in ("body", "html") or bool(HIDDEN.search(m[3]))
-                open_tags.append((name, gone, art or is_article, link or name == "a"))
+                gone = gone or name == "article" and bool(COMMENT.search(names))
+                if is_article and not art and not gone:
+                    articles += 1
+                    art = articles
+                open_tags.append((name, gone, art, link or name == "a"))
         dropped, inside, in_link = top()
     if not raw and at < len(page) and not dropped:
         text.append(page[at:])
@@ -123,18 +131,25 @@ def main_text(page: str | None, width: int = 3, surge: int = 80) -> str:
 
     ``width``: lines of a window. ``surge``: characters outside links that a window needs to open a stretch."""
     lines = lines_of(page or "")
-    if any(article for _, _, article in lines):
-        return "\n\n".join(line for line, _, article in lines if article)
     weights = [max(0, len(line) - 2 * linked) for line, linked, _ in lines]
-    sums, total = [], 0
-    for i, w in enumerate(weights):
-        total += w - (weights[i - width] if i >= width else 0)
-        sums.append(total)  # of the window that ends here
+    own: dict[int, int] = {}  # weight of each article
+    for w, (_, _, article) in zip(weights, lines, strict=True):
+        if article:
+            own[article] = own.get(article, 0) + w
     keep = [False] * len(lines)
-    for i, s in enumerate(sums):
-        if s >= surge:
-            for j in range(max(0, i - width + 1), i + 1):
+    begin = total = 0
+    for i, w in enumerate(weights):
+        if i and lines[i][2] != lines[i - 1][2]:  # a tag of an article: windows begin anew
+            begin, total = i, 0
+        total += w - (weights[i - width] if i - width >= begin else 0)
+        if total >= surge:  # of the window that ends here
+            for j in range(max(begin, i - width + 1), i + 1):
                 keep[j] = keep[j] or weights[j] > 0
+    surged = {article for k, (_, _, article) in zip(keep, lines, strict=True) if k}
+    for i, (_, _, article) in enumerate(lines):
+        # The tags of an article are its surge and dive: of one with a surge, with the weight of one, or of the page's only one.
+        if article and (article in surged or own[article] >= surge or len(own) == 1):
+            keep[i] = True
     if not any(keep):  # a page without any surge is one short stretch
         keep = [w > 0 for w in weights]
     return "\n\n".join(line for (line, _, _), k in zip(lines, keep, strict=True) if k)

@@ -12,6 +12,8 @@ kept as an id; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +94,11 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text", max_shift=3
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
     merged = votes.where("not exact").withColumn("step", F.when(gap <= max_shift, 0).otherwise(1))
     merged = merged.withColumn("passage", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.select(*keys, "diagonal", "passage").join(hits, [*keys, "diagonal"])
+    # Null ids are equal here.
+    own = ("id", "row_key", "tpl", "diagonal")
+    places = hits.select(*[F.col(k).alias(f"h_{k}") for k in own], "pos", "tpos")
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"h_{k}")), own, F.lit(True))
+    spans = merged.select(*keys, "diagonal", "passage").join(places, same).select(*keys, "diagonal", "passage", "pos", "tpos")
     # Verification: the distinct template words that a passage covers, gram by gram.
     covered = F.explode(F.sequence("tpos", F.col("tpos") + GRAM - 1))
     verified = (

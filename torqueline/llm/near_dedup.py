@@ -287,6 +287,8 @@ class Graph:
         small = wanted.count() <= BROADCAST_NODES
         ids = wanted.select("id").distinct()
         texts = self.docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+        if not wanted.where(F.col("id").isNull()).isEmpty():  # a node of rows without ids is found by its digest alone
+            texts = texts.unionByName(self.docs.where(F.col("id").isNull()))
         return self.keep(bags(texts).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag")))
 
     def with_bags(self, pairs: DataFrame, bags: DataFrame) -> DataFrame:

@@ -143,6 +143,25 @@ def k2_keyword_all(spark, d):
     return retrieval.keyword_all(asked.where("term <> ''").distinct(), postings)
 
 
+@query("""
+WITH tok AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))), ' ')) AS term FROM documents),
+bt AS (SELECT DISTINCT item_id AS query, unnest(regexp_split_to_array(lower(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))), ' ')) AS term FROM benchmark),
+post AS (SELECT term, doc, count(*) AS tf FROM tok WHERE term <> '' GROUP BY term, doc),
+n AS (SELECT query, count(*) AS n FROM bt WHERE term <> '' GROUP BY query),
+f AS (SELECT query, doc, sum(tf)::BIGINT AS tf, count(*) AS c FROM bt JOIN post USING (term) GROUP BY query, doc)
+SELECT query, doc, rank, 1.0::DOUBLE / rank AS relevance FROM (SELECT f.*, row_number() OVER (PARTITION BY query ORDER BY tf DESC, doc) AS rank FROM f JOIN n USING (query) WHERE c = n) WHERE rank <= 10""")
+def k2_keyword_every_word(spark, d):
+    """K2 over all distinct words of each item; ``k2_keyword_all`` takes the first two, as its SQL does."""
+    return every_word(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+def every_word(items: DataFrame, documents: DataFrame) -> DataFrame:
+    words = documents.select(F.col("doc_id").alias("doc"), F.explode(terms_of(F.col("text"))).alias("term"))
+    postings = words.where("term <> ''").groupBy("term", "doc").agg(F.count("*").alias("tf"))
+    asked = items.select(F.col("item_id").alias("query"), F.explode(terms_of(F.col("text"))).alias("term"))
+    return retrieval.keyword_all(asked.where("term <> ''").distinct(), postings)
+
+
 @query("SELECT doc_id, source, lang FROM documents WHERE lang = 'en' AND source IN ('src0', 'src1')")
 def f1_scope_filter(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", "lang")
@@ -704,6 +723,21 @@ def j14_near_pages(spark, d):
     return evaluation.near_pages(evidence, pages)
 
 
+@query("""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
+e AS (SELECT doc * 100000 + page AS id, doc, page + (doc % 3) AS page, line AS text FROM l WHERE trim(line) <> '')
+SELECT id, EXISTS (FROM l WHERE l.doc = e.doc AND l.page BETWEEN e.page - 1 AND e.page + 1 AND contains(l.line, e.text)) AS found FROM e""")
+def j14_near_pages_whole(spark, d):
+    """J14 with whole lines as evidence; ``j14_near_pages`` takes their first 12 characters, as its SQL does."""
+    return whole_lines(table(spark, d, "documents"))
+
+
+def whole_lines(documents: DataFrame) -> DataFrame:
+    pages = documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc", (F.col("p") + 1).cast("long").alias("page"), "text")
+    kept = pages.where(F.trim("text") != "")
+    evidence = kept.select((F.col("doc") * 100000 + F.col("page")).alias("id"), "doc", (F.col("page") + F.col("doc") % 3).alias("page"), "text")
+    return evaluation.near_pages(evidence, pages)
+
+
 @query("""WITH c AS (SELECT doc_id // 2 AS "case", CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'q' END AS question, toxic = 0 AS answerable, [doc_id % 30, 3] AS pages, 20 AS n_pages, CASE WHEN quality = 1 THEN ['n'] ELSE [] END AS nuggets FROM labels),
 d AS (SELECT *, count(*) OVER (PARTITION BY "case") AS k FROM c)
 SELECT "case", unnest(list_filter([CASE WHEN k > 1 THEN 'duplicate_case' END, CASE WHEN trim(question) = '' THEN 'missing_question' END, CASE WHEN pages[1] < 1 OR pages[1] > n_pages THEN 'page_out_of_range' END, CASE WHEN answerable AND len(nuggets) = 0 THEN 'missing_nuggets' END], lambda x: x IS NOT NULL)) AS code FROM d""")

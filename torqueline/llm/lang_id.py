@@ -9,7 +9,7 @@ Because averaging and the linear layer commute, prediction looks up one row of c
 from end to end.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and rejected; rows without a label are never
-learned from; with no labelled row at all every text is ``und``; repeated rows count once each; ties between classes go to
+learned from, nor are labels beyond the 256 most frequent, which are so never predicted; with no labelled row at all every text is ``und``; repeated rows count once each; ties between classes go to
 the smallest label; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -87,7 +87,8 @@ def histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(labelled: DataFrame, text_col: str, label_col: str, sample: int) -> list:
-    """``sample`` rows at most, the same for each label and chosen by a hash of the text, as sparse n-gram averages.
+    """``sample`` distinct texts at most, the same number for each of the 256 most frequent labels and chosen by a hash of the
+    text, as sparse n-gram averages.
 
     Besides each whole text one run of eight words at a hashed place is learned, since short texts occur too."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
@@ -98,10 +99,12 @@ def training_rows(labelled: DataFrame, text_col: str, label_col: str, sample: in
     if not labels:
         return []
     per = max(1, sample // len(labels))
-    chosen = None
+    picked = None
     for label in labels:
-        top = keyed.where(F.col("label") == label).orderBy("h", F.length("text")).limit(per)
-        chosen = top if chosen is None else chosen.unionByName(top)
+        top = keyed.where(F.col("label") == label).select("label", "h").distinct().orderBy("h").limit(per)
+        picked = top if picked is None else picked.unionByName(top)
+    # Copies of a text count once, else they would fill the sample and stand in its held-back part too.
+    chosen = keyed.join(F.broadcast(picked), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

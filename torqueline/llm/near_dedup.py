@@ -16,12 +16,16 @@ another component than its leader L and a further member y of L's buckets. They
 x and y differ from L in no common shingle, each shingle stands in one of them as often as in L, so x and y have at most the
 similarity of x and L, which is below ``threshold``. With differences Dx and Dy, sizes X and Y and
 c = (1 - threshold) / (1 + threshold), a link needs |Dx| + |Dy| - 2 |Dx and Dy| <= c (X + Y); so it has a common difference
-among the first |D| - need + 1 of both, in any order kept by all. Added shingles come first in it, as they are the rarest.
-Only such pairs are compared, so no link between texts that share a bucket is lost and most pairs are never formed.
+among the first of both, in any order kept by all. Differences that only one component has cannot be common; of the others,
+the rarest beside L come first, and with n of them only the first n - need + 1 of a member are looked at. Only pairs that meet
+there are compared, so no link between texts that share a bucket is lost and few pairs are formed, however large the group.
+
+Rows of a leader with many members are dealt out by salts, each with its own copy of the leader's bag.
 
 Defined cases: a null text or one without words is in a class of its own; a text of fewer than five words is one shingle of
 all of them; repeated rows each get a row; the class id is the smallest document id of the class (null ids last); an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored. Of each class one row is kept: one that has the class id, of several
+such rows the first of those with the smallest digest; rows without words are all kept.
 """
 
 import math
@@ -44,6 +48,10 @@ M1, M2, GOLDEN = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7
 LEVEL, COIN, SIBLING, NEXT, REGISTER = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)
 #: Most small nodes that are broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
+#: Rows of one leader that go to one task.
+SALTED = 500
+#: Hashes of words kept by a worker.
+WORDS = 50_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,7 +68,7 @@ class WordHashes(dict):
     """Hashes of words, emptied when it is large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -229,20 +237,18 @@ def occurrences(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.sort(np.where(nth == 0, each, mix(each + nth.astype(U) * GOLDEN)))
 
 
-def differences(leader: np.ndarray, member: np.ndarray, apart: bool, c: float) -> tuple[int, float, np.ndarray]:
-    """Number of elements in which ``member`` differs from ``leader``, its share of ``need``, and those that a link can meet first.
+def differences(leader: np.ndarray, member: np.ndarray, apart: bool, c: float) -> tuple[float, int, np.ndarray]:
+    """The member's share of ``need``, the least need beside any other member, and the elements in which it differs from ``leader``.
 
-    Two members at n, m differences need (share + share) / 2 common ones. The other share is at least ``-c * leader`` beside
-    any member, and above ``c * leader`` beside one that is apart from the leader, which one of the two always is."""
-    added, removed = np.setdiff1d(member, leader, assume_unique=True), np.setdiff1d(leader, member, assume_unique=True)
-    found = np.concatenate((added, removed))
+    Two members need (share + share) / 2 common differences. The other share is at least ``-c * leader`` beside any member, and
+    above ``c * leader`` beside one that is apart from the leader, which one of the two always is."""
+    found = np.setxor1d(leader, member, assume_unique=True)
     share = len(found) - c * len(member)
-    need = max(1, math.ceil((share + (-c if apart else c) * len(leader)) / 2 - 1e-9))
-    return len(found), share, found[: max(0, len(found) - need + 1)].view(np.int64)
+    return share, max(1, math.ceil((share + (-c if apart else c) * len(leader)) / 2 - 1e-9)), found.view(np.int64)
 
 
 def spread(pairs: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, root, apart, n, share, firsts`` of the pairs (a, b, root, apart, bag_a, bag_b); see ``differences``."""
+    """``a, b, root, apart, share, least, tokens`` of the pairs (a, b, root, apart, bag_a, bag_b); see ``differences``."""
     c = (1 - threshold) / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +257,11 @@ def spread(pairs: DataFrame, threshold: float) -> DataFrame:
                 part = batch.slice(at, 256)
                 bags = zip(part.column("bag_a"), part.column("bag_b"), part.column("apart"), strict=True)
                 rows = [differences(occurrences(unpacked(x.as_py())), occurrences(unpacked(y.as_py())), f.as_py(), c) for x, y, f in bags]
-                n, share, firsts = zip(*rows, strict=True)
-                new = [pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in ("a", "b", "root", "apart")] + new, ["a", "b", "root", "apart", "n", "share", "firsts"])
+                share, least, tokens = zip(*rows, strict=True)
+                new = [pa.array(share, pa.float64()), pa.array(least, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in ("a", "b", "root", "apart")] + new, ["a", "b", "root", "apart", "share", "least", "tokens"])
 
-    return pairs.mapInArrow(run, "a binary, b binary, root binary, apart boolean, n long, share double, firsts array<long>")
+    return pairs.mapInArrow(run, "a binary, b binary, root binary, apart boolean, share double, least long, tokens array<long>")
 
 
 class Graph:
@@ -277,7 +283,8 @@ class Graph:
         size = 4 * ROWS
         bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr(F.col("sig"), i * size + 1, F.lit(size))))
         rows = self.nodes.select("node", F.explode(bands).alias("bucket"))
-        shared = rows.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+        # A stored table on the small side of each join lets Spark split a hot key of the large side.
+        shared = self.keep(rows.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"))
         rows = self.keep(rows.join(shared, "bucket").select("bucket", "node", "k"))
         return self.keep(rows.join(rows.groupBy("node").agg(F.sum("k").alias("meets")), "node").select("bucket", "node", "meets"))
 
@@ -292,22 +299,29 @@ class Graph:
         return self.keep(bags(texts).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag")))
 
     def with_bags(self, pairs: DataFrame, bags: DataFrame) -> DataFrame:
-        bag_a, bag_b = (bags.select(F.col("node").alias(k), F.col("bag").alias(f"bag_{k}")) for k in "ab")
-        return pairs.join(bag_b, "b").join(bag_a, "a")
+        """``pairs`` with ``bag_a, bag_b``; pairs of one ``a`` are dealt out by salts."""
+        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALTED).alias("salts")).where("salts > 1")
+        many = self.keep(many).select(F.col("a").alias("hot"), "salts")
+        salts = F.coalesce("salts", F.lit(1).cast("long"))
+        bag_b = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
+        bag_a = bags.join(many, F.col("node") == F.col("hot"), "left").select(
+            F.col("node").alias("a"), F.col("bag").alias("bag_a"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+        dealt = pairs.join(many, F.col("a") == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts)).drop("hot", "salts")
+        return dealt.join(bag_b, "b").join(bag_a, ["a", "salt"]).drop("salt")
 
     def compare(self, pairs: DataFrame, bags: DataFrame) -> DataFrame:
-        return self.keep(compared(self.with_bags(pairs, bags), self.threshold))
+        return self.keep(compared(self.with_bags(self.keep(pairs), bags), self.threshold))
 
     def components(self, edges: DataFrame) -> DataFrame:
         """``node, root`` of all nodes in ``edges`` (a, b), by alternating large and small stars."""
         edges, before = edges.where("a <> b").select("a", "b"), None
         while True:
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            least = self.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
             large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
             large = self.keep(large.where("a <> b"))
             down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            least = down.groupBy("a").agg(F.min("b").alias("m"))
+            least = self.keep(down.groupBy("a").agg(F.min("b").alias("m")))
             small = down.join(least, "a")
             small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
             edges = self.keep(small.where("a <> b").distinct())
@@ -336,7 +350,7 @@ class Graph:
 
     def led(self, members: DataFrame) -> DataFrame:
         """``bucket, a, node, meets``: every other member of each bucket with its leader ``a``."""
-        leaders = members.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("s")).select("bucket", F.col("s.node").alias("a"))
+        leaders = self.keep(members.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("s")).select("bucket", F.col("s.node").alias("a")))
         return members.join(leaders, "bucket").where("node <> a").select("bucket", "a", "node", "meets")
 
     def possible(self, led: DataFrame, components: DataFrame, bags: DataFrame) -> DataFrame:
@@ -345,14 +359,23 @@ class Graph:
         root_b = components.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         rows = led.join(root_b, "b", "left").join(root_a, "a", "left").withColumn("root", F.coalesce("rb", "b"))
         rows = self.keep(rows.select("a", "b", "root", (F.col("root") != F.coalesce("ra", "a")).alias("apart")))
-        open_leaders = rows.groupBy("a").agg(F.max("apart").alias("any"), F.count("*").alias("k")).where("any and k > 1").select("a")
-        rows = self.keep(spread(self.with_bags(rows.join(open_leaders, "a", "left_semi"), bags), self.threshold))
-        places = rows.select("a", "b", "root", "apart", "n", "share", F.posexplode("firsts").alias("at", "token"))
+        open_leaders = self.keep(rows.groupBy("a").agg(F.max("apart").alias("any"), F.count("*").alias("k")).where("any and k > 1").select("a"))
+        rows = self.keep(rows.join(open_leaders, "a", "left_semi"))
+        rows = self.keep(spread(self.with_bags(rows, bags), self.threshold))
+        each = rows.select("a", "b", "root", "apart", F.explode("tokens").alias("token"))
+        # Differences that members of two components have, one of them apart from the leader.
+        shared = each.groupBy("a", "token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("any"))
+        shared = self.keep(shared.where("any and lo < hi").select("a", "token", "df"))
+        own = each.select("a", "b", "token").join(shared, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+        own = own.withColumn("n", F.size("own").cast("long")).join(rows.drop("tokens"), ["a", "b"]).where("n >= least")
+        first = F.slice("own", 1, (F.col("n") - F.col("least") + 1).cast("int"))
+        places = self.keep(own.select("a", "b", "root", "apart", "n", "share", F.posexplode(F.transform(first, lambda t: t["token"])).alias("at", "token")))
         x, y = places.where("apart").alias("x"), places.alias("y")
         need = F.greatest(F.lit(1), F.ceil((F.col("x.share") + F.col("y.share")) / 2 - 1e-9))
         met = (
             (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
             & (F.col("x.at") + need <= F.col("x.n")) & (F.col("y.at") + need <= F.col("y.n"))
+            & (~F.col("y.apart") | (F.col("x.b") < F.col("y.b")))
         )
         return ordered(x.join(y, met).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")))
 
@@ -362,20 +385,25 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold=0.8) -> DataFrame:
-    """One row per input row: ``id, class_id, class_size, node, root``.
+    """One row per input row: ``id, class_id, class_size, kept, node, root``.
 
     ``class_size`` counts rows; ``node`` (of the words) and ``root`` (of the class) are null without words."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     graph = Graph(docs, workspace(docs.sparkSession, "near-dedup"), threshold)
     roots = graph.roots()
-    nodes = graph.nodes.select("node", "id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = nodes.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = nodes.join(classes, "root").select("node", "root", "class_id", "class_size")
-    rows = graph.signed.select("id", "node").join(of_node, "node", "left")
+    nodes = graph.keep(graph.nodes.select("node", "id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # The class id is the smallest id, null ids last; of the nodes that have it the one with the smallest digest stays.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    classes = graph.keep(nodes.groupBy("root").agg(first.alias("s"), F.sum("n").alias("class_size")))
+    classes = classes.select("root", F.col("s.id").alias("class_id"), F.col("s.node").alias("stays"), "class_size")
+    of_node = graph.keep(nodes.join(classes, "root").select("node", "root", "class_id", "class_size", (F.col("node") == F.col("stays")).alias("stays")))
+    copies = graph.signed.groupBy("id", "node").agg(F.count("*").alias("copies"))
+    rows = copies.join(of_node, "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     alone = F.col("node").isNull()
     return rows.select(
         "id", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), "node", "root",
+        F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
+        (alone | F.col("stays") & F.col("id").eqNullSafe(F.col("class_id")) & (F.col("copy") == 1)).alias("kept"), "node", "root",
     )
 
 
@@ -384,12 +412,8 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", threshold=0.8) -
     then the smallest other columns. Rows without words all stay."""
     columns = docs.columns
     found = stored(near_duplicates(docs, id_col, text_col, threshold), workspace(docs.sparkSession, "near-kept"))
-    chosen = found.where(F.col("node").isNotNull() & F.col("id").eqNullSafe(F.col("class_id")))
-    chosen = chosen.groupBy("root").agg(F.min("node").alias("node")).select(F.col("node").alias("__node"), F.lit(True).alias("__stays"))
     # An id of one row, the usual case, needs no second look at its text.
-    marked = found.join(chosen, F.col("node") == F.col("__node"), "left")
-    stays = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node").isNull() | F.coalesce("__stays", F.lit(False)))
-    ids = marked.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.max(stays).alias("__any"))
+    ids = found.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.max("kept").alias("__any"))
     rows = docs.join(ids.where("__any"), docs[id_col].eqNullSafe(ids["__id"]))
     once = rows.where("__n = 1").select(columns)
 
@@ -399,7 +423,7 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", threshold=0.8) -
 
     many = rows.where("__n > 1").withColumn("__own", node_of(F.col(text_col)))
     wordless = many.where(F.col("__own").isNull()).select(columns)
-    kept = marked.where(stays & F.col("node").isNotNull()).select(F.col("id").alias("__kid"), F.col("node").alias("__kept")).distinct()
+    kept = found.where(F.col("kept") & F.col("node").isNotNull()).select(F.col("id").alias("__kid"), F.col("node").alias("__kept"))
     same = F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__own") == F.col("__kept"))
     rest = [F.col(c) for c in columns if c != text_col]
     one = many.join(kept, same, "left_semi").groupBy("__id", "__own").agg(F.min(F.struct(text_col, *rest)).alias("__s"))

@@ -74,7 +74,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,8 +95,7 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern()), path, pattern())
-    return digests(found)
+    return digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern(), decoded=True))
 
 
 def digests(found: DataFrame) -> DataFrame:

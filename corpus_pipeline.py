@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
-    return digests(bpe.decode(bpe.encode(docs, path, pattern()), path, pattern()))
+    return digests(bpe.encode(docs, path, pattern(), decoded=True))
 
 
 STAGES = [

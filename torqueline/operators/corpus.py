@@ -21,11 +21,22 @@ def repeated_lines(rows: DataFrame, at_least=2) -> DataFrame:
 
 
 def chunk_ids(rows: DataFrame) -> DataFrame:
-    """Ids and context of chunks. rows: doc, pos, line, section."""
-    section = F.substring(F.sha1(F.encode(F.coalesce("section", F.lit("")), "UTF-8")), 1, 10)
-    uid = F.sha1(F.encode(F.concat_ws("|", F.col("doc").cast("string"), F.col("pos").cast("string"), "line"), "UTF-8"))
-    text = F.concat_ws("\n", F.concat(F.lit("Section: "), F.coalesce("section", F.lit(""))), F.concat(F.lit("Content: "), "line"))
-    return rows.select("doc", "pos", section.alias("section_id"), F.substring(uid, 1, 12).alias("chunk_uid"), F.sha1(F.encode(text, "UTF-8")).alias("context_hash"))
+    """Ids and context of chunks, none of which depends on the chunk's position.
+
+    The section id is a hash of the title in lower case without blanks (its number without a title), the anchor ends in a hash of
+    the text with single blanks. rows: doc, pos, line, section, section_index, page, chunk_type, label."""
+    blank, text = r"[ \t\r\n]+", lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    sha = lambda t, n: F.left(F.sha1(F.encode(t, "UTF-8")), F.lit(n))
+    title, body = F.trim(text("section")), F.trim(F.regexp_replace(text("line"), blank, " "))
+    known = F.concat(F.lit("sec:"), sha(F.regexp_replace(F.lower(title), blank, ""), 10))
+    section = F.when(title != "", known).otherwise(F.concat(F.lit("sec:"), F.lpad(F.col("section_index").cast("string"), 4, "0")))
+    short = lambda t: F.rtrim(F.left(F.trim(F.regexp_replace(t, blank, " ")), F.lit(240)))
+    kind = F.when(text("label") != "", text("label")).otherwise(text("chunk_type"))
+    named = [F.when(v != "", F.concat(F.lit(f"{name}: "), v)) for name, v in (("Section", short(title)), ("Page", short(text("page"))), ("Type", kind))]
+    context = F.concat_ws("\n", *named, F.concat(F.lit("Content: "), F.trim(text("line"))))
+    anchor = F.concat_ws("|", section, text("chunk_type"), text("label"), text("page"), sha(body, 12))
+    uid = F.concat_ws(":", section, text("chunk_type"), sha(body, 12))
+    return rows.select("doc", "pos", section.alias("section_id"), uid.alias("chunk_uid"), anchor.alias("source_anchor"), F.sha1(F.encode(context, "UTF-8")).alias("context_hash"))
 
 
 def chunk_neighbours(rows: DataFrame) -> DataFrame:

@@ -105,14 +105,28 @@ def confidence(ranked: DataFrame, wanted: Column, high=0.9, medium=0.65) -> Data
     return out.select("query", "best", "types", level.alias("level"))
 
 
-def quality(ranked: DataFrame, weak=0.55, medium=0.72, gap=0.03) -> DataFrame:
-    """A grade of each result list: weak or medium top score, or close scores across groups. ranked: query, place, relevance, group."""
-    first = F.max(F.when(F.col("place") == 1, F.col("relevance")))
-    second = F.max(F.when(F.col("place") == 2, F.col("relevance")))
-    groups = F.count_distinct(F.when(F.col("place") <= 3, F.col("group")))
-    out = ranked.groupBy("query").agg(first.alias("top"), (first - second).alias("lead"), groups.alias("groups"))
-    grade = F.when(F.col("top") < weak, "weak").when((F.col("lead") < gap) & (F.col("groups") > 1), "ambiguous").when(F.col("top") < medium, "medium").otherwise("strong")
-    return out.select("query", "top", F.round("lead", 6).alias("lead"), "groups", grade.alias("grade"))
+def quality(ranked: DataFrame, required: Column | None = None, top_k=5) -> DataFrame:
+    """A grade of each result list with the reasons against it, in their order.
+
+    ``required`` is the chunk type that the query's plan asks for, null if none. ranked: query, place, relevance, type, document,
+    section, of which ``top_k`` places count."""
+    rows = ranked.where(F.col("place") <= top_k).withColumn("required", required if required is not None else F.lit(None).cast("string"))
+    score = lambda n: F.max(F.when(F.col("place") == n, F.col("relevance")))
+    spread = lambda c, n: F.count_distinct(F.when((F.col("place") <= n) & (F.col(c).cast("string") != ""), F.col(c)))
+    four = F.when(F.col("place") <= 4, F.col("relevance"))
+    out = rows.groupBy("query").agg(
+        F.count("*").alias("n"), score(1).alias("best"), score(2).alias("second"), (F.max(four) - F.min(four)).alias("width"), F.max("required").alias("required"),
+        F.collect_set(F.col("type").cast("string")).alias("types"), *[spread(c, k).alias(f"{c}{k}") for c in ("document", "section") for k in (3, 4)])
+    weak, medium = F.col("best") < 0.55, (F.col("best") >= 0.55) & (F.col("best") < 0.72)
+    missing = F.col("required").isNotNull() & ~F.array_contains("types", F.col("required"))
+    few = (F.lit(top_k) > 1) & (F.col("n") < min(top_k, 2))
+    close = (F.col("n") >= 2) & (F.round(F.col("best") - F.col("second"), 9) <= 0.03) & ((F.col("document3") > 1) | (F.col("section3") > 1))
+    apart = (F.col("n") >= 3) & (F.round("width", 9) <= 0.08) & ((F.col("document4") > 2) | (F.col("section4") > 2))
+    reasons = F.array_compact(F.array(
+        F.when(weak, "weak_top_score"), F.when(medium, "medium_top_score"), F.when(missing, F.concat(F.lit("missing_required_type:"), "required")),
+        F.when(few, "too_few_candidates"), F.when(close, "ambiguous_close_scores"), F.when(apart, "dispersed_sources")))
+    grade = F.when(weak, "low").when(missing | medium | few | close | apart, "medium").when(F.col("best") >= 0.8, "high").otherwise("medium")
+    return out.select("query", F.round("best", 6).alias("best"), F.array_join(F.array_sort("types"), ",").alias("types"), F.array_join(reasons, ",").alias("reasons"), grade.alias("grade"))
 
 
 def scope_filter(rows: DataFrame, equal: dict[str, object], any_of: dict[str, list] | None = None) -> DataFrame:
@@ -132,13 +146,33 @@ def scope_state(asked: Column, found: Column) -> Column:
     return F.when((a == "") | (b == ""), "unknown").when(a == b, "matched").otherwise("mismatch")
 
 
-def qualify(rows: DataFrame, states: dict[str, Column], topic_conflict: Column, topic_known: Column) -> DataFrame:
-    """excluded on any mismatch or topic conflict, reference_only on anything unknown, else qualified, with reasons."""
-    bad = [F.when(s == "mismatch", f"{name}_mismatch") for name, s in states.items()] + [F.when(topic_conflict, "topic_conflict")]
-    open_ = [F.when(s == "unknown", f"{name}_unknown") for name, s in states.items()] + [F.when(~topic_known, "topic_unconfirmed")]
-    rows = rows.withColumn("bad", F.array_compact(F.array(*bad))).withColumn("open", F.array_compact(F.array(*open_)))
-    state = F.when(F.size("bad") > 0, "excluded").when(F.size("open") > 0, "reference_only").otherwise("qualified")
-    return rows.withColumn("state", state).withColumn("reasons", F.array_join(F.when(F.size("bad") > 0, F.col("bad")).otherwise(F.col("open")), ",")).drop("bad", "open")
+def topic_state(query: Column, content: Column, coverage: Column, title_coverage: Column) -> Column:
+    """F4's topic: conflict if no term of the query stands in the content and both coverages are under .15; matched if a coverage
+    is .35 or half of the terms stand there; else weak."""
+    terms = F.filter(F.split(F.trim(F.lower(F.translate(F.coalesce(query, F.lit("")), "/", " "))), r"\s+"), lambda t: F.length(t) >= 2)
+    met = F.size(F.filter(terms, lambda t: F.contains(F.lower(F.coalesce(content, F.lit(""))), t)))
+    ratio = F.when(F.size(terms) > 0, met / F.size(terms)).otherwise(F.lit(0.0))
+    none = (F.size(terms) > 0) & (met == 0) & (coverage < 0.15) & (title_coverage < 0.15)
+    return F.when(none, "conflict").when((coverage >= 0.35) | (title_coverage >= 0.35) | (ratio >= 0.5), "matched").otherwise("weak")
+
+
+def qualify(rows: DataFrame, asked: dict[str, tuple[Column, Column]], topic: Column, strict: Column, locked: Column) -> DataFrame:
+    """excluded on any mismatch or topic conflict; reference_only without any asked scope, with an asked one unknown or an
+    unconfirmed topic; else qualified. A scope locked by section or evidence lists stands for a confirmed topic.
+
+    asked: name to (asked, found) in the order of the reasons; ``topic`` as of ``topic_state``."""
+    states = {name: scope_state(a, f) for name, (a, f) in asked.items()}
+    given = {name: F.trim(F.coalesce(a.cast("string"), F.lit(""))) != "" for name, (a, _) in asked.items()}
+    any_of = lambda cs: [*cs][0] if len([*cs]) == 1 else F.greatest(*cs)
+    bad = F.array_compact(F.array(*[F.when(s == "mismatch", f"{name}_mismatch") for name, s in states.items()], F.when((topic == "conflict") & ~locked, "topic_conflict")))
+    unknown = any_of([(s == "unknown") & given[name] for name, s in states.items()])
+    confirmed, scoped = (topic == "matched") | locked, any_of(list(given.values()))
+    soft = F.array_compact(F.array(F.when(topic == "weak", "weak_topic_match"), F.when(unknown, "identity_not_confirmed")))
+    open_ = ~scoped | unknown | ~confirmed
+    fallback = F.when(strict, F.array(F.lit("strict_evidence_not_confirmed"))).otherwise(F.array(F.lit("reference_only")))
+    state = F.when(F.size(bad) > 0, "excluded").when(open_, "reference_only").otherwise("qualified")
+    reasons = F.when(F.size(bad) > 0, bad).when(open_ & (F.size(soft) == 0), fallback).otherwise(soft)
+    return rows.withColumn("state", state).withColumn("reasons", F.array_join(reasons, ","))
 
 
 def keyword_all(queries: DataFrame, postings: DataFrame, k=10) -> DataFrame:
@@ -158,10 +192,22 @@ def chapter_groups(hits: DataFrame) -> DataFrame:
     return out.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("first_rank", "document", "section")))
 
 
+#: Words that say torque, and how units are written.
+TORQUE = ("拧紧力矩", "紧固力矩", "拧紧扭矩", "紧固扭矩", "扭力")
+UNITS = {"nm": "n·m"}
+
+
 def conflicts(measured: DataFrame) -> DataFrame:
-    """(field, unit, scope) with two distinct values and two evidence ids at least. measured: evidence, field, unit, scope, value."""
-    number = F.regexp_replace(F.trim("value"), r"(\.\d*?)0+$", "$1")
-    out = measured.withColumn("v", F.regexp_replace(number, r"\.$", ""))
-    out = out.groupBy(F.lower("field").alias("field"), F.lower("unit").alias("unit"), F.coalesce("scope", F.lit("")).alias("scope"))
-    out = out.agg(F.count_distinct("v").alias("n_values"), F.count_distinct("evidence").alias("n_evidence"), F.min("v").alias("low"), F.max("v").alias("high"))
+    """(field, unit, scope) with two distinct values and two evidence ids at least, after fields, units and numbers are
+    written in one way. measured: evidence, field, unit, scope, value."""
+    field = F.regexp_replace(F.lower("field"), r"\s+", "")
+    for word in TORQUE:
+        field = F.replace(field, F.lit(word), F.lit("扭矩"))
+    unit = F.translate(F.lower(F.replace("unit", F.lit(" "))), "*⋅.", "···")
+    for own, one in UNITS.items():
+        unit = F.when(unit == own, one).otherwise(unit)
+    number = F.regexp_replace(F.translate(F.regexp_replace("value", r"\s+", ""), "～~", "--"), r"(\.\d*?)0+(?!\d)", "$1")
+    out = measured.select(F.regexp_replace(field, "^[:：|/]+|[:：|/]+$", "").alias("field"), unit.alias("unit"), F.coalesce("scope", F.lit("")).alias("scope"), "evidence",
+                          F.lower(F.regexp_replace(number, r"\.(?!\d)", "")).alias("v")).where("field <> '' AND unit <> '' AND v <> ''")
+    out = out.groupBy("field", "unit", "scope").agg(F.count_distinct("v").alias("n_values"), F.count_distinct("evidence").alias("n_evidence"), F.min("v").alias("low"), F.max("v").alias("high"))
     return out.where("n_values >= 2 and n_evidence >= 2")

@@ -86,11 +86,18 @@ def a32_confidence(spark, d):
     return retrieval.confidence(typed(spark, d), F.col("type") <= 2)
 
 
-@query(KNN_SQL + """, t AS (SELECT p.query, p.relevance, p.place, e.label FROM placed p JOIN embeddings e ON e.vec_id = p.doc),
-a AS (SELECT query, max(relevance) FILTER (place = 1) AS top, max(relevance) FILTER (place = 1) - max(relevance) FILTER (place = 2) AS lead, count(DISTINCT label) FILTER (place <= 3) AS groups FROM t GROUP BY query)
-SELECT query, top, round(lead, 6) AS lead, groups, CASE WHEN top < 0.55 THEN 'weak' WHEN lead < 0.03 AND groups > 1 THEN 'ambiguous' WHEN top < 0.72 THEN 'medium' ELSE 'strong' END AS grade FROM a""")
+@query(KNN_SQL + """, t AS (SELECT p.query, p.relevance, p.place, p.doc, e.label::VARCHAR AS type, e.label % 3 AS document, p.doc % 4 AS section FROM placed p JOIN embeddings e ON e.vec_id = p.doc WHERE p.place <= 5),
+a AS (SELECT query, count(*) AS n, max(relevance) FILTER (place = 1) AS best, max(relevance) FILTER (place = 2) AS second, max(relevance) FILTER (place <= 4) - min(relevance) FILTER (place <= 4) AS width,
+  count(DISTINCT document) FILTER (place <= 3) AS d3, count(DISTINCT section) FILTER (place <= 3) AS s3, count(DISTINCT document) FILTER (place <= 4) AS d4, count(DISTINCT section) FILTER (place <= 4) AS s4,
+  string_agg(DISTINCT type, ',' ORDER BY type) AS types, CASE WHEN query % 40 = 0 THEN '1' END AS required, coalesce(bool_or(type = CASE WHEN query % 40 = 0 THEN '1' END), true) AS met FROM t GROUP BY query),
+r AS (SELECT *, CASE WHEN best < 0.55 THEN 'weak_top_score' END AS r1, CASE WHEN best >= 0.55 AND best < 0.72 THEN 'medium_top_score' END AS r2, CASE WHEN NOT met THEN 'missing_required_type:' || required END AS r3,
+  CASE WHEN n < 2 THEN 'too_few_candidates' END AS r4, CASE WHEN n >= 2 AND round(best - second, 9) <= 0.03 AND (d3 > 1 OR s3 > 1) THEN 'ambiguous_close_scores' END AS r5,
+  CASE WHEN n >= 3 AND round(width, 9) <= 0.08 AND (d4 > 2 OR s4 > 2) THEN 'dispersed_sources' END AS r6 FROM a)
+SELECT query, round(best, 6) AS best, types, concat_ws(',', r1, r2, r3, r4, r5, r6) AS reasons,
+  CASE WHEN r1 IS NOT NULL THEN 'low' WHEN coalesce(r2, r3, r4, r5, r6) IS NOT NULL THEN 'medium' WHEN best >= 0.8 THEN 'high' ELSE 'medium' END AS grade FROM r""")
 def a33_quality(spark, d):
-    return retrieval.quality(typed(spark, d).withColumnRenamed("type", "group"))
+    rows = typed(spark, d).withColumn("document", F.col("type") % 3).withColumn("section", F.col("doc") % 4)
+    return retrieval.quality(rows, F.when(F.col("query") % 40 == 0, "1"))
 
 
 IR_SQL = KNN_SQL + """, rel AS (SELECT q.query, e.vec_id AS doc, CASE WHEN e.vec_id = q.query THEN 2 ELSE 1 END AS grade FROM q JOIN embeddings s ON s.vec_id = q.query JOIN embeddings e ON e.label = s.label),
@@ -168,18 +175,21 @@ def f1_scope_filter(spark, d):
     return retrieval.scope_filter(rows, {"lang": "en", "source": ""}, {"source": ["src0", "src1"]})
 
 
-@query("""WITH s AS (SELECT doc_id, CASE WHEN trim(coalesce(lang, '')) = '' THEN 'unknown' WHEN lower(trim(lang)) = 'en' THEN 'matched' ELSE 'mismatch' END AS language,
-CASE WHEN doc_id % 7 = 0 THEN 'unknown' WHEN lower(trim(source)) = 'src0' THEN 'matched' ELSE 'mismatch' END AS origin, n_chars < 400 AS conflict FROM documents)
-SELECT doc_id, CASE WHEN language = 'mismatch' OR origin = 'mismatch' OR conflict THEN 'excluded' WHEN language = 'unknown' OR origin = 'unknown' THEN 'reference_only' ELSE 'qualified' END AS state,
-CASE WHEN language = 'mismatch' OR origin = 'mismatch' OR conflict THEN concat_ws(',', CASE WHEN language = 'mismatch' THEN 'language_mismatch' END, CASE WHEN origin = 'mismatch' THEN 'origin_mismatch' END, CASE WHEN conflict THEN 'topic_conflict' END)
-ELSE concat_ws(',', CASE WHEN language = 'unknown' THEN 'language_unknown' END, CASE WHEN origin = 'unknown' THEN 'origin_unknown' END) END AS reasons FROM s""")
+@query("""WITH s AS (SELECT doc_id, doc_id % 3 = 1 AS strict, doc_id % 11 = 0 AS locked, (doc_id % 10) / 20.0::DOUBLE AS cov,
+  CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'EN ' END AS al, CASE WHEN doc_id % 7 <> 0 THEN 'src0' END AS ao, lower(trim(coalesce(lang, ''))) AS fl, lower(trim(coalesce(source, ''))) AS fo,
+  (contains(lower(coalesce(text, '')), 'the'))::INT + (contains(lower(coalesce(text, '')), 'ing'))::INT + (contains(lower(coalesce(text, '')), 'zuung'))::INT AS met FROM documents),
+x AS (SELECT *, CASE WHEN al = '' OR fl = '' THEN 'unknown' WHEN fl = 'en' THEN 'matched' ELSE 'mismatch' END AS language, CASE WHEN ao IS NULL OR fo = '' THEN 'unknown' WHEN fo = 'src0' THEN 'matched' ELSE 'mismatch' END AS origin,
+  CASE WHEN met = 0 AND cov < 0.15 THEN 'conflict' WHEN cov >= 0.35 OR met / 3.0 >= 0.5 THEN 'matched' ELSE 'weak' END AS topic FROM s),
+y AS (SELECT *, concat_ws(',', CASE WHEN language = 'mismatch' THEN 'language_mismatch' END, CASE WHEN origin = 'mismatch' THEN 'origin_mismatch' END, CASE WHEN topic = 'conflict' AND NOT locked THEN 'topic_conflict' END) AS bad,
+  (al <> '' AND language = 'unknown') OR (ao IS NOT NULL AND origin = 'unknown') AS unknown FROM x),
+z AS (SELECT *, concat_ws(',', CASE WHEN topic = 'weak' THEN 'weak_topic_match' END, CASE WHEN unknown THEN 'identity_not_confirmed' END) AS soft, (al = '' AND ao IS NULL) OR unknown OR NOT (topic = 'matched' OR locked) AS open FROM y)
+SELECT doc_id, CASE WHEN bad <> '' THEN 'excluded' WHEN open THEN 'reference_only' ELSE 'qualified' END AS state,
+  CASE WHEN bad <> '' THEN bad WHEN open AND soft = '' THEN CASE WHEN strict THEN 'strict_evidence_not_confirmed' ELSE 'reference_only' END ELSE soft END AS reasons FROM z""")
 def f4_qualify(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    states = {
-        "language": retrieval.scope_state(F.lit("EN "), F.col("lang")),
-        "origin": retrieval.scope_state(F.when(F.col("doc_id") % 7 != 0, F.lit("src0")), F.col("source")),
-    }
-    return retrieval.qualify(rows, states, F.col("n_chars") < 400, F.lit(True)).select("doc_id", "state", "reasons")
+    key = F.col("doc_id")
+    asked = {"language": (F.when(key % 4 == 0, "").otherwise("EN "), F.col("lang")), "origin": (F.when(key % 7 != 0, F.lit("src0")), F.col("source"))}
+    topic = retrieval.topic_state(F.lit("The a/ing zuung"), F.col("text"), key % 10 / 20, F.lit(0.0))
+    return retrieval.qualify(table(spark, d, "documents"), asked, topic, key % 3 == 1, key % 11 == 0).select("doc_id", "state", "reasons")
 
 
 @query("""WITH m AS (SELECT l_orderkey AS evidence, lower(l_returnflag) AS field, lower(l_linestatus) AS unit, (l_partkey % 50)::VARCHAR AS scope, l_linenumber::VARCHAR AS v FROM lineitem)
@@ -763,11 +773,16 @@ def a9_repeated_lines(spark, d):
     return corpus.repeated_lines(corpus.lines(table(spark, d, "documents")))
 
 
-@query(LINES_SQL + """SELECT doc, pos, left(sha1(source), 10) AS section_id, left(sha1(doc::VARCHAR || '|' || pos::VARCHAR || '|' || line), 12) AS chunk_uid, sha1('Section: ' || source || chr(10) || 'Content: ' || line) AS context_hash FROM k""")
+@query(LINES_SQL + r"""SELECT doc, pos, sec AS section_id, sec || ':text:' || h AS chunk_uid, sec || '|text|' || label || '|' || page || '|' || h AS source_anchor,
+  sha1(CASE WHEN t <> '' THEN 'Section: ' || t || chr(10) ELSE '' END || 'Page: ' || page || chr(10) || 'Type: ' || CASE WHEN label <> '' THEN label ELSE 'text' END || chr(10) || 'Content: ' || trim(line)) AS context_hash
+FROM (SELECT doc, pos, line, CASE WHEN t <> '' THEN 'sec:' || left(sha1(regexp_replace(lower(t), '[ \t\r\n]+', '', 'g')), 10) ELSE 'sec:' || lpad((doc % 100)::VARCHAR, 4, '0') END AS sec,
+  left(sha1(trim(regexp_replace(line, '[ \t\r\n]+', ' ', 'g'))), 12) AS h, t, page, label
+  FROM (SELECT *, CASE WHEN doc % 5 = 0 THEN '' ELSE 'Part ' || source END AS t, (pos // 10)::VARCHAR AS page, CASE WHEN pos % 3 = 0 THEN '' ELSE 'general' END AS label FROM k))""")
 def c9_chunk_ids(spark, d):
-    docs = table(spark, d, "documents")
-    rows = docs.select("source", F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    return corpus.chunk_ids(rows.withColumnRenamed("source", "section"))
+    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    section = F.when(F.col("doc") % 5 == 0, " ").otherwise(F.concat(F.lit("Part "), "source"))
+    rows = rows.withColumn("section", section).withColumn("section_index", F.col("doc") % 100).withColumn("page", F.floor(F.col("pos") / 10))
+    return corpus.chunk_ids(rows.withColumn("chunk_type", F.lit("text")).withColumn("label", F.when(F.col("pos") % 3 == 0, "").otherwise("general")))
 
 
 @query(LINES_SQL + "SELECT doc, pos, lag(pos) OVER w AS prev_pos, lead(pos) OVER w AS next_pos FROM k WINDOW w AS (PARTITION BY doc ORDER BY pos)")

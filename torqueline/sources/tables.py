@@ -14,7 +14,7 @@ def csv_cases(spark: SparkSession, path: str, schema: StructType, lists=(), flag
     """Cases from CSV with or without a byte order mark; ``lists`` are split, ``flags`` default to false."""
     rows = spark.read.csv(path, header=True, schema=schema, encoding="UTF-8")
     for name in lists:
-        parts = F.transform(F.split(F.coalesce(name, F.lit("")), separator), F.trim)
+        parts = F.transform(F.split(F.coalesce(name, F.lit("")), separator), lambda part: F.trim(part))
         rows = rows.withColumn(name, F.filter(parts, lambda p: p != ""))
     for name in flags:
         rows = rows.withColumn(name, F.lower(F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))).isin("true", "1", "yes"))

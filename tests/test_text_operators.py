@@ -107,3 +107,71 @@ def test_cases_from_csv_and_json_lines(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('// note\n{"id": "1", "ok": true}\n\nnot json\n', encoding="utf-8")
     good, bad = tables.jsonl_cases(spark, f"file://{tmp_path}/c.jsonl", StructType([StructField("id", StringType()), StructField("ok", BooleanType())]))
     assert first(good) == [("1", True)] and first(bad) == [("not json",)]
+
+
+def test_bootstrap_of_many_values_is_that_of_all_pairs(spark):
+    import numpy as np
+
+    from torqueline.operators import evaluation
+
+    values = np.random.default_rng(2).normal(0.1, 1, 5000)
+    df = spark.createDataFrame([(float(v),) for v in values], "delta double")
+    out, again = (evaluation.bootstrap(df, samples=2000, values=v).first() for v in (500, 10_000))
+    assert out["pairs"] == 5000 and abs(out["mean"] - values.mean()) < 1e-6
+    plain = np.random.default_rng(3).choice(values, (2000, 5000)).mean(1)
+    for low, high in ((out["low"], out["high"]), (again["low"], again["high"])):
+        assert abs(low - np.quantile(plain, 0.025)) < 0.004 and abs(high - np.quantile(plain, 0.975)) < 0.004
+    assert evaluation.bootstrap(df.limit(0)).first()["pairs"] == 0
+
+
+def test_candidates_are_fused_first_fit(spark):
+    from torqueline.operators import pages
+
+    rows = [("q", 1, "a", "section", "d", "s1", ["u1"], None), ("q", 2, "b", "section", "d", "s2", ["u2"], ["p1"]), ("q", 3, "c", "graph", "d", "s2", ["u3"], ["p2"]),
+            ("q", 4, "e", "graph", "d", None, ["u1"], ["p3"]), ("q", 5, "f", "graph", "d", "s1", ["u9"], ["p3"]), ("q", 6, "g", "graph", None, "s1", ["u1"], None)]
+    df = spark.createDataFrame(rows, "query string, seq int, candidate string, kind string, document string, section string, chunks array<string>, paths array<string>")
+    assert sorted((r["place"], tuple(r["members"])) for r in pages.fuse_candidates(df).collect()) == [(0, ("a", "e", "f")), (1, ("b",)), (2, ("c",)), (3, ("g",))]
+
+
+def test_merge_writes_touched_buckets_only(spark, tmp_path):
+    from torqueline.streaming import jobs
+
+    schema = "user long, name string, content string, status string, turn_ts long, source string, arrival long"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    merge, path = jobs.merge_into(f"file://{tmp_path}/t"), f"file://{tmp_path}/t"
+    merge(batch((1, "a", "x", "active", 1, "agent_explicit", 1), (None, None, "n", "active", 1, "agent_explicit", 2)), 0)
+    merge(batch((2, "b", "y", "active", 1, "agent_explicit", 3)), 3)  # generations may be left out
+    merge(batch((1, "a", "z", "active", 2, "agent_explicit", 4)), 4)
+    out = jobs.merged(batch((1, "a", "x", "active", 1, "s", 1)), path)
+    assert {(r["user"], r["name"], r["content"]) for r in out.collect()} == {(1, "a", "z"), (None, None, "n"), (2, "b", "y")}
+    assert spark.read.parquet(f"{path}/generation=4").count() == 1
+
+
+def test_store_partitions(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    spark.createDataFrame([("d1", 1, "x"), ("d1", 2, "y"), ("d2", 3, "z")], "document_id string, doc_id int, t string").write.partitionBy("document_id").parquet(path)
+    spark.createDataFrame([("d/3", 4, "w")], "document_id string, doc_id int, t string").write.mode("append").partitionBy("document_id").parquet(path)
+    gone = spark.createDataFrame([(2, "d1"), (4, "d/3")], "doc_id int, document_id string")
+    tables.rewrite_partitions(spark, path, gone, "document_id", lambda part: tables.delete(part, gone, "doc_id"))
+    assert sorted((r["document_id"], r["doc_id"]) for r in spark.read.parquet(path).collect()) == [("d1", 1), ("d2", 3)]
+    more = spark.createDataFrame([("d1", 1, "new", None, None, 2), ("d1", 9, "nine", "rule", "draft", 1)], "document_id string, doc_id int, t string, record_type string, status string, written int")
+    last = tables.upsert(spark.read.parquet(path).selectExpr("document_id", "doc_id", "t", "'manual' AS record_type", "'ready' AS status", "0 AS written"), more)
+    assert sorted((r["doc_id"], r["t"], r["record_type"], r["status"]) for r in last.collect()) == [(1, "new", "manual", "ready"), (3, "z", "manual", "ready"), (9, "nine", "rule", "draft")]
+
+
+def test_reads_by_week_and_month(spark, tmp_path):
+    from torqueline.streaming import jobs
+
+    rows = [("2025-12-31 15:59:00", 1), ("2025-12-31 16:01:00", 1), ("2026-01-04 15:00:00", 2)]
+    spark.createDataFrame(rows, "t string, manual int").selectExpr("cast(t AS timestamp) ts", "manual").write.parquet(f"file://{tmp_path}/in")
+    for kind, want in (("month", {("202512", 1, 1), ("202601", 1, 1), ("202601", 2, 1)}), ("week", {("2026-01", 1, 2), ("2026-01", 2, 1)})):
+        stream = spark.readStream.schema("ts timestamp, manual int").parquet(f"file://{tmp_path}/in")
+        q = jobs.period_counts(stream, kind).writeStream.format("memory").queryName(f"by_{kind}").outputMode("complete").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert {tuple(r) for r in spark.table(f"by_{kind}").collect()} == want
+
+
+def test_results_with_a_summary(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", "v", 1), ("r2", "v", 2)], "run string, variant string, n int")
+    tables.write_results(rows, f"file://{tmp_path}/out", ["run", "variant"], rows.groupBy().sum("n"))
+    assert spark.read.parquet(f"file://{tmp_path}/out/rows").count() == 2 and spark.read.json(f"file://{tmp_path}/out/summary").first()[0] == 3

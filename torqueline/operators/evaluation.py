@@ -101,28 +101,30 @@ def ablation(rows: DataFrame, dims: list[str]) -> DataFrame:
     return long.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"))
 
 
-def bootstrap(deltas: DataFrame, samples=10_000, seed=20, strata=1024) -> DataFrame:
+def bootstrap(deltas: DataFrame, samples=10_000, seed=20, values=4096) -> DataFrame:
     """Percentile interval of the mean of paired differences, resampled ``samples`` times.
 
-    Equal differences are counted first, so what each task gets is the distinct values (at most ``strata``, as quantile means
-    beyond that) and their counts, whatever the number of pairs; replicates are dealt over tasks."""
+    Equal differences are counted first and the distinct ones dealt into parts of about ``values``. A resample of all pairs is drawn
+    part by part: how many of its pairs fall into each part, the same in every task by its seed, and then which values of the
+    part; so the draw is exact whatever the number of values, and no task holds more than a part."""
     counted = deltas.where("delta is not null").groupBy("delta").agg(F.count("*").alias("n"))
-    if counted.limit(strata + 1).count() > strata:
-        cut = F.ntile(strata).over(Window.orderBy("delta"))
-        counted = counted.withColumn("part", cut).groupBy("part").agg((F.sum(F.col("delta") * F.col("n")) / F.sum("n")).alias("delta"), F.sum("n").alias("n"))
-    spark = deltas.sparkSession
-    rows = counted.select("delta", "n").orderBy("delta").collect()  # at most strata rows
-    value, n = np.array([float(r[0]) for r in rows]), np.array([r[1] for r in rows], np.int64)
-
-    def draw(batches):
-        for pdf in batches:
-            if len(value):
-                means = [np.random.default_rng([seed, int(i)]).multinomial(n.sum(), n / n.sum()) @ value / n.sum() for i in pdf["id"]]
-                yield pd.DataFrame({"mean": means})
-
-    means = spark.range(0, samples).mapInPandas(draw, "mean double")
-    total = float(value @ n / n.sum()) if len(value) else None
-    return means.agg(F.lit(int(n.sum())).alias("pairs"), F.round(F.lit(total).cast("double"), 6).alias("mean"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    parts = -(-counted.count() // values) or 1
+    counted = counted.withColumn("part", F.pmod(F.xxhash64("delta"), F.lit(parts)).cast("int"))
+    sums = {r["part"]: r for r in counted.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.col("delta").cast("double") * F.col("n")).alias("s")).collect()}  # a row for each part
+    sizes = np.array([sums[p]["n"] if p in sums else 0 for p in range(parts)], np.int64)
+    total = int(sizes.sum())
+    mean = sum(r["s"] for r in sums.values()) / total if total else None
+
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("delta")
+        value, n, part = rows["delta"].to_numpy(np.float64), rows["n"].to_numpy(np.int64), int(key[0])
+        shares = np.random.default_rng([seed, 0]).multinomial(total, sizes / total, samples)[:, part]
+        rng = np.random.default_rng([seed, 1, part])
+        return pd.DataFrame({"replicate": np.arange(samples), "sum": [float(rng.multinomial(s, n / n.sum()) @ value) for s in shares]})
+
+    sampled = counted.groupBy("part").applyInPandas(draw, "replicate long, sum double").groupBy("replicate").agg((F.sum("sum") / max(total, 1)).alias("mean"))
+    return sampled.agg(
+        F.lit(total).cast("long").alias("pairs"), F.round(F.lit(mean).cast("double"), 6).alias("mean"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
 
 
 def align(base: DataFrame, candidate: DataFrame) -> DataFrame:

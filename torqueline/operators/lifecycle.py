@@ -100,7 +100,8 @@ def due_for_reflection(facts: DataFrame, reflections: DataFrame, now: Column, at
 def recall_rounds(facts: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages whose round lies in a segment of a fact's range such as "3-5,9"; reading stops at a malformed segment.
 
-    facts: fact, session, ranges; messages: session, round, id. Rounds of a range are listed, so the join has equal keys."""
+    facts: fact, session, ranges; messages: session, round, id. Rounds of a range are listed within those that the session has, so
+    the join has equal keys and a range of any length costs no more than its session."""
     part = F.split(F.coalesce("ranges", F.lit("")), ",")
     good = lambda s: F.trim(s).rlike(r"^\d{1,9}(\s*-\s*\d{1,9})?$")
     bad_at = F.array_position(F.transform(part, lambda s: ~good(s)), True)
@@ -108,6 +109,8 @@ def recall_rounds(facts: DataFrame, messages: DataFrame) -> DataFrame:
     seg = facts.select("fact", "session", F.explode(kept).alias("s"))
     ends = F.transform(F.split("s", "-"), lambda x: F.trim(x).cast("long"))
     seg = seg.select("fact", "session", F.element_at(ends, 1).alias("lo"), F.element_at(ends, -1).alias("hi")).where("lo <= hi")
+    held = messages.groupBy("session").agg(F.min("round").alias("first"), F.max("round").alias("last"))
+    seg = seg.join(held, "session").withColumn("lo", F.greatest("lo", "first")).withColumn("hi", F.least("hi", "last")).where("lo <= hi")
     rounds = seg.select("fact", "session", F.explode(F.sequence("lo", "hi")).alias("round")).distinct()
     return rounds.join(messages, ["session", "round"]).select("fact", "session", "round", "id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .chunking import SPACE
 
 #: Layout rules in points.
-LEAST_OVERLAP, AFTER_PENALTY, SIDE_WEIGHT, FARTHEST = 0.15, 4.0, 24.0, 120.0
+LEAST_OVERLAP, AFTER_PENALTY, SIDE_WEIGHT, FARTHEST = 0.15, 4.0, 24.0, 180.0
 
 
 def boxed(box: str) -> Column:
@@ -35,7 +35,7 @@ def bind_images(chunks: DataFrame, images: DataFrame) -> DataFrame:
     """Pictures with their nearest chunk of the page (confidence .95) and with chunks of the same procedure for which they are
     as near as any, within the chunk's height (8 to 36 points; confidence .75).
 
-    A member stands on the anchor's side of the picture, at most 120 points away; of a picture inside a chunk it overlaps
+    A member stands on the anchor's side of the picture, at most 180 points away; of a picture inside a chunk it overlaps
     the picture. chunks: document, page, seq, chunk, scope, box, of positioned kinds; images: document, page, image, box."""
     c = chunks.where(boxed("box")).select("document", "page", "seq", "chunk", F.coalesce("scope", F.lit("")).alias("scope"), F.col("box").alias("cbox"))
     i = images.where(boxed("box")).select("document", "page", "image", F.col("box").alias("ibox"))

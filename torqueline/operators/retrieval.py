@@ -1,54 +1,46 @@
 """Retrieval for batches of queries: recall, fusion, merging, qualification and grading."""
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k=10, block=2048, id_col="id", vec_col="vec") -> DataFrame:
-    """K1: exact cosine top ``k`` of each query: ``query, doc, relevance`` with relevance clamped to 0..1 and six decimals.
+def knn(queries: DataFrame, corpus: DataFrame, k=10, block=2048, id_col="id", vec_col="vec", where: Column | None = None, least: float | None = None) -> DataFrame:
+    """K1: exact cosine top ``k`` of each query: ``query, doc, relevance, rank`` with relevance clamped to 0..1 and six decimals.
 
-    Queries go out in blocks of bounded size; each pass keeps ``k`` rows per query and batch, and a window merges them.
+    Both sides are cut into blocks of about ``block`` rows by a hash, and each pair of blocks meets in one task of bounded size,
+    which keeps ``k`` rows a query; a window merges them. ``where`` filters the corpus before, ``least`` the scores after the cut.
     Null vectors match nothing."""
-    spark = corpus.sparkSession
     q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query"), F.col(vec_col).alias("vec"))
-    c = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(vec_col).alias("vec"))
-    blocks = max(1, -(-q.count() // block))
-    numbered = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    parts = None
-    for b in range(blocks):
-        rows = numbered.where(F.col("block") == b).select("query", "vec").toArrow()
-        found = c.mapInArrow(nearest(spark.sparkContext.broadcast(rows), k), "query long, doc long, relevance double")
-        parts = found if parts is None else parts.unionByName(found)
+    c = (corpus if where is None else corpus.where(where)).where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(vec_col).alias("vec"))
+    n_q, n_c = (max(1, -(-rows.count() // block)) for rows in (q, c))
+
+    def dealt(rows: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        each = rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+        return each.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("qb", "cb")
+
+    pairs = dealt(q, "query", "qb", n_q, "cb", n_c).cogroup(dealt(c, "doc", "cb", n_c, "qb", n_q))
+    found = pairs.applyInPandas(lambda a, b: nearest(a, b, k), "query long, doc long, relevance double")
     order = Window.partitionBy("query").orderBy(F.desc("relevance"), "doc")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked if least is None else ranked.where(F.col("relevance") >= least)
 
 
-def matrix(column) -> np.ndarray:
-    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+def unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1, norm)
 
 
-def nearest(shared, k: int):
-    def run(batches):
-        table = shared.value
-        if not len(table):
-            return
-        ids, q = table.column("query").to_numpy(), matrix(table.column("vec"))
-        for batch in batches:
-            if not len(batch):
-                continue
-            docs = batch.column("doc").to_numpy()
-            score = np.round(np.clip(q @ matrix(batch.column("vec")).T, 0, 1), 6)
-            order = np.lexsort((np.broadcast_to(docs, score.shape), -score), axis=1)[:, :k]
-            yield pa.RecordBatch.from_pydict({
-                "query": np.repeat(ids, order.shape[1]), "doc": docs[order].ravel(), "relevance": np.take_along_axis(score, order, 1).ravel(),
-            })
-
-    return run
+def nearest(queries: pd.DataFrame, corpus: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best rows of a block of the corpus for each query of a block; of equal scores the smallest ids."""
+    if queries.empty or corpus.empty:
+        return pd.DataFrame({"query": pd.Series([], dtype="int64"), "doc": pd.Series([], dtype="int64"), "relevance": pd.Series([], dtype="float64")})
+    corpus = corpus.sort_values("doc")  # a stable choice by score then prefers small ids
+    docs, score = corpus["doc"].to_numpy(), np.round(np.clip(unit(queries["vec"]) @ unit(corpus["vec"]).T, 0, 1), 6)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), order.shape[1]), "doc": docs[order].ravel(), "relevance": np.take_along_axis(score, order, 1).ravel()})
 
 
 def neighbours(queries: DataFrame, corpus: DataFrame, reach=10, id_col="id") -> DataFrame:
@@ -175,12 +167,18 @@ def qualify(rows: DataFrame, asked: dict[str, tuple[Column, Column]], topic: Col
     return rows.withColumn("state", state).withColumn("reasons", F.array_join(reasons, ","))
 
 
-def keyword_all(queries: DataFrame, postings: DataFrame, k=10) -> DataFrame:
+def keyword_all(queries: DataFrame, words: DataFrame, k=10) -> DataFrame:
     """K2: documents with every term of a query, by total term frequency, scored 1/rank.
 
-    queries: query, term (distinct); postings: term, doc, tf."""
-    n = queries.groupBy("query").agg(F.count("*").alias("n_terms"))
-    found = queries.join(postings, "term").groupBy("query", "doc").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).join(n, "query").where("n = n_terms")
+    Only words that are asked for are counted. A query's candidates are the documents of its rarest term; the other terms are
+    looked up for these alone, so common terms are never listed in full. queries: query, term (distinct); words: doc, term, a row per word."""
+    asked = queries.select("term").distinct()
+    postings = words.join(asked, "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    df = asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    of_query = queries.join(df, "term").groupBy("query").agg(F.min(F.struct("df", "term")).alias("s"), F.count("*").alias("n_terms")).where("s.df > 0")
+    candidates = of_query.select("query", "n_terms", F.col("s.term").alias("term")).join(postings.select("doc", "term"), "term").select("query", "doc", "n_terms")
+    wanted = candidates.join(queries, "query")
+    found = wanted.join(postings, ["doc", "term"]).groupBy("query", "doc", "n_terms").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).where("n = n_terms")
     order = Window.partitionBy("query").orderBy(F.desc("tf"), "doc")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "doc", "rank", (F.lit(1.0) / F.col("rank")).alias("relevance"))
 

@@ -63,36 +63,57 @@ def own_device_scores(tasks: DataFrame, links: DataFrame, live: DataFrame, since
     return found.join(live.select("manual"), "manual", "left_semi").withColumn("score", F.lit(points))
 
 
-def same_site_scores(owned: DataFrame, sites: DataFrame, links: DataFrame, live: DataFrame, scored: DataFrame, points=1.5) -> DataFrame:
+def same_site_scores(owned: DataFrame, sites: DataFrame, links: DataFrame, live: DataFrame, scored: DataFrame, points=1.5, top: int | None = None) -> DataFrame:
     """Manuals of devices at the sites of a user's devices, without own devices and manuals scored already.
 
-    owned: user, device; sites: device, site. Devices of a site are summed up to manuals before users join."""
+    owned: user, device; sites: device, site. Devices of a site are summed up to manuals before users join. All such pairs are many;
+    with ``top`` only manuals that can be among a user's first ``top`` by id are kept: of each site the first ``top`` and as many
+    more as the user can have to leave out."""
     owned = owned.distinct()
-    at = owned.join(sites, "device").select("user", "site").distinct()
-    site_links = sites.join(links.select("device", "manual").distinct(), "device").groupBy("site", "manual").agg(F.countDistinct("device").alias("n_devices"))
-    own_links = (
-        owned.join(sites, "device").join(links.select("device", "manual").distinct(), "device")
-        .groupBy("user", "site", "manual").agg(F.countDistinct("device").alias("n_own"))
-    )
+    sited = owned.join(sites, "device")
+    at = sited.select("user", "site").distinct()
+    linked = links.select("device", "manual").distinct().join(live.select("manual"), "manual", "left_semi")
+    site_links = sites.join(linked, "device").groupBy("site", "manual").agg(F.countDistinct("device").alias("n_devices"))
+    own_links = sited.join(linked, "device").groupBy("user", "site", "manual").agg(F.countDistinct("device").alias("n_own"))
+    if top:
+        fewer = own_links.groupBy("user", "site").agg(F.count("*").alias("own_here"))
+        done = scored.groupBy("user").agg(F.count("*").alias("own_all"))
+        at = at.join(fewer, ["user", "site"], "left").join(done, "user", "left")
+        at = at.select("user", "site", (F.coalesce("own_here", F.lit(0)) + F.coalesce("own_all", F.lit(0)) + top).alias("reach"))
+        most = at.groupBy("site").agg(F.max("reach").alias("most"))
+        placed = site_links.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("manual")))
+        site_links = placed.join(most, "site").where(F.col("place") <= F.col("most")).drop("most")
+        all_links = at.join(site_links, "site").where(F.col("place") <= F.col("reach")).drop("place", "reach")
+    else:
+        all_links = at.join(site_links, "site")
     # A manual counts where a site has a device of it that is not the user's own.
-    all_links = at.join(site_links, "site").join(own_links, ["user", "site", "manual"], "left")
+    all_links = all_links.join(own_links, ["user", "site", "manual"], "left")
     found = all_links.where(F.col("n_devices") > F.coalesce("n_own", F.lit(0))).select("user", "manual").distinct()
-    found = found.join(scored.select("user", "manual"), ["user", "manual"], "left_anti").join(live.select("manual"), "manual", "left_semi")
+    found = found.join(scored.select("user", "manual"), ["user", "manual"], "left_anti")
+    if top:
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("user").orderBy("manual"))).where(F.col("n") <= top).drop("n")
     return found.withColumn("score", F.lit(points))
 
 
-def recommend(scores: DataFrame, users: DataFrame, live: DataFrame, top=5) -> DataFrame:
-    """K9: best manuals of each user; users with fewer get the newest live ones at score 0. live: manual, created."""
+def recommend(own: DataFrame, near: DataFrame, users: DataFrame, live: DataFrame, now: Column, top=5, bonus=1.0, days=7) -> DataFrame:
+    """K9: best manuals of each user with the reason; manuals updated within ``days`` get ``bonus`` more; users with fewer get the
+    newest live ones at score 0. own, near: user, manual, score; live: manual, created, updated.
+
+    ``near`` must hold a user's first ``top`` manuals of either kind, updated lately or not."""
+    why = own.withColumn("why", F.lit("检修设备")).unionByName(near.withColumn("why", F.lit("同区域设备"))).join(live.select("manual", "updated"), "manual")
+    fresh = F.coalesce(F.col("updated") > now - F.make_interval(days=F.lit(days)), F.lit(False))
+    scores = why.withColumn("score", F.col("score") + F.when(fresh, bonus).otherwise(0.0)).withColumn("reason", F.concat_ws("、", "why", F.when(fresh, "近期更新")))
     order = Window.partitionBy("user").orderBy(F.desc("score"), "manual")
-    ranked = scores.groupBy("user", "manual").agg(F.sum("score").alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    ranked = scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     newest = live.orderBy(F.desc("created"), "manual").limit(2 * top).select("manual", "created").collect()  # enough to fill any list
     kind = live.schema["manual"].dataType
     fill = F.array(*[F.struct(F.lit(r["manual"]).cast(kind).alias("manual"), F.lit(r["created"]).cast("timestamp").alias("created")) for r in newest])
     spare = users.select("user").distinct().select("user", F.inline(fill)) if newest else ranked.select("user", "manual", F.lit(None).cast("timestamp").alias("created")).limit(0)
     spare = spare.join(ranked.select("user", "manual"), ["user", "manual"], "left_anti")
-    both = ranked.select("user", "manual", "score", F.lit(None).cast("timestamp").alias("created")).unionByName(spare.withColumn("score", F.lit(0.0)).select("user", "manual", "score", "created"))
+    both = ranked.select("user", "manual", "score", "reason", F.lit(None).cast("timestamp").alias("created"))
+    both = both.unionByName(spare.select("user", "manual", F.lit(0.0).alias("score"), F.lit("最新手册").alias("reason"), "created"))
     order = Window.partitionBy("user").orderBy(F.desc("score"), F.desc_nulls_last("created"), "manual")
-    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("user", "manual", "score", "place")
+    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("user", "manual", "score", "reason", "place")
 
 
 def device_overview(devices: DataFrame, owns: DataFrame, has_fault: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ p AS (SELECT *, greatest(0, least(x1, a1) - greatest(x0, a0)) / greatest(1, leas
 s AS (SELECT *, CASE WHEN y1 < b0 THEN b0 - y1 WHEN y0 > b1 THEN y0 - b1 + 4 ELSE 0 END + (1 - o) * 24 AS score, least(y1, b1) > greatest(y0, b0) AS inside, CASE WHEN y1 <= b0 THEN 'before' WHEN y0 >= b1 THEN 'after' ELSE 'overlap' END AS side, CASE WHEN y1 <= b0 THEN b0 - y1 WHEN y0 >= b1 THEN y0 - b1 ELSE 0 END AS away FROM p WHERE o >= 0.15),
 n AS (SELECT *, row_number() OVER (PARTITION BY document, page, image ORDER BY score, seq) AS n, bool_or(inside) OVER (PARTITION BY document, page, image) AS embedded FROM s),
 a AS (SELECT *, max(scope) FILTER (n = 1) OVER w AS a_scope, max(side) FILTER (n = 1) OVER w AS a_side FROM n WINDOW w AS (PARTITION BY document, page, image)),
-m AS (SELECT *, min(score) OVER (PARTITION BY document, chunk) AS best FROM a WHERE scope <> '' AND scope = a_scope AND CASE WHEN embedded THEN inside ELSE (a_side = 'overlap' OR side = a_side) AND away <= 120 END),
+m AS (SELECT *, min(score) OVER (PARTITION BY document, chunk) AS best FROM a WHERE scope <> '' AND scope = a_scope AND CASE WHEN embedded THEN inside ELSE (a_side = 'overlap' OR side = a_side) AND away <= 180 END),
 b AS (SELECT document, image, chunk, 0.95::DOUBLE AS confidence FROM a WHERE n = 1 UNION ALL SELECT document, image, chunk, 0.75 FROM m WHERE score <= best + greatest(8, least(36, y1 - y0)))
 SELECT document, image, chunk, max(confidence) AS confidence FROM b GROUP BY document, image, chunk""")
 def j13_bind_images(spark, d):

@@ -145,9 +145,8 @@ f AS (SELECT query, doc, sum(tf)::BIGINT AS tf, count(*) AS c FROM bt JOIN post
 SELECT query, doc, rank, 1.0::DOUBLE / rank AS relevance FROM (SELECT f.*, row_number() OVER (PARTITION BY query ORDER BY tf DESC, doc) AS rank FROM f JOIN n USING (query) WHERE c = n) WHERE rank <= 10""")
 def k2_keyword_all(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(terms_of(F.col("text"))).alias("term"))
-    postings = docs.where("term <> ''").groupBy("term", "doc").agg(F.count("*").alias("tf"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.slice(terms_of(F.col("text")), 1, 2)).alias("term"))
-    return retrieval.keyword_all(asked.where("term <> ''").distinct(), postings)
+    return retrieval.keyword_all(asked.where("term <> ''").distinct(), docs.where("term <> ''"))
 
 
 @query("""
@@ -164,9 +163,8 @@ def k2_keyword_every_word(spark, d):
 
 def every_word(items: DataFrame, documents: DataFrame) -> DataFrame:
     words = documents.select(F.col("doc_id").alias("doc"), F.explode(terms_of(F.col("text"))).alias("term"))
-    postings = words.where("term <> ''").groupBy("term", "doc").agg(F.count("*").alias("tf"))
     asked = items.select(F.col("item_id").alias("query"), F.explode(terms_of(F.col("text"))).alias("term"))
-    return retrieval.keyword_all(asked.where("term <> ''").distinct(), postings)
+    return retrieval.keyword_all(asked.where("term <> ''").distinct(), words.where("term <> ''"))
 
 
 @query("SELECT doc_id, source, lang FROM documents WHERE lang = 'en' AND source IN ('src0', 'src1')")
@@ -281,7 +279,7 @@ WITH last AS (SELECT max(o_orderdate) AS t FROM orders),
 task AS (SELECT o_custkey AS "user", l_partkey AS device, o_orderdate AS created FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 link AS (SELECT DISTINCT l_partkey AS device, l_suppkey AS manual FROM lineitem),
 live AS (SELECT s_suppkey AS manual, s_acctbal FROM supplier WHERE s_acctbal > 0),
-own AS (SELECT DISTINCT "user", device FROM task, last WHERE created >= t - INTERVAL 180 DAY),
+own AS (SELECT DISTINCT "user", device FROM task, last WHERE created >= t - INTERVAL 6 MONTH),
 j2 AS (SELECT DISTINCT "user", manual FROM own JOIN link USING (device) WHERE manual IN (SELECT manual FROM live)),
 site AS (SELECT DISTINCT p_partkey AS device, p_partkey // 20 AS site FROM part),
 near AS (SELECT DISTINCT o."user", s2.device FROM own o JOIN site s1 USING (device) JOIN site s2 ON s1.site = s2.site),
@@ -294,13 +292,13 @@ def shop(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
     tasks = orders.join(items.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     tasks = tasks.select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("device"), F.col("o_orderdate").alias("created"))
-    since = orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 180 DAYS")).alias("t")).first()["t"]
+    since, now = orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 6 MONTHS")).alias("t"), F.max("o_orderdate").alias("n")).first()
     links = items.select(F.col("l_partkey").alias("device"), F.col("l_suppkey").alias("manual"))
     live = table(spark, d, "supplier").where("s_acctbal > 0")
     live = live.select(F.col("s_suppkey").alias("manual"), F.timestamp_seconds(F.floor("s_acctbal")).alias("created"))
     owned = tasks.where(F.col("created") >= F.lit(since)).select("user", "device").distinct()
     sites = table(spark, d, "part").select(F.col("p_partkey").alias("device"), F.floor(F.col("p_partkey") / 20).alias("site"))
-    return {"tasks": tasks, "since": F.lit(since), "links": links, "live": live, "owned": owned, "sites": sites, "users": orders.select(F.col("o_custkey").alias("user"))}
+    return {"tasks": tasks, "since": F.lit(since), "now": F.lit(now), "links": links, "live": live, "owned": owned, "sites": sites, "users": orders.select(F.col("o_custkey").alias("user"))}
 
 
 @query(SHOP_SQL + """SELECT "user", manual, 3.0::DOUBLE AS score FROM j2""")
@@ -316,17 +314,24 @@ def j3_same_site(spark, d):
     return usage.same_site_scores(s["owned"], s["sites"], s["links"], s["live"], own)
 
 
-@query(SHOP_SQL + """, sc AS (SELECT "user", manual, 3.0::DOUBLE AS score FROM j2 UNION ALL SELECT "user", manual, 1.5 FROM j3),
+@query(SHOP_SQL + """, fr AS (SELECT s_suppkey AS manual, s_suppkey % 4 = 0 AS fresh FROM supplier),
+sc AS (SELECT "user", manual, 3.0::DOUBLE + fresh::INT AS score, '检修设备' || CASE WHEN fresh THEN '、近期更新' ELSE '' END AS reason FROM j2 JOIN fr USING (manual) UNION ALL SELECT "user", manual, 1.5 + fresh::INT, '同区域设备' || CASE WHEN fresh THEN '、近期更新' ELSE '' END FROM j3 JOIN fr USING (manual)),
 rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, manual) AS p FROM sc) WHERE p <= 5),
 fresh AS (SELECT manual, floor(s_acctbal) AS created FROM live ORDER BY floor(s_acctbal) DESC, manual LIMIT 10),
-fill AS (SELECT u."user", manual, 0.0::DOUBLE AS score, created FROM (SELECT DISTINCT o_custkey AS "user" FROM orders) u, fresh f WHERE NOT EXISTS (FROM rk WHERE rk."user" = u."user" AND rk.manual = f.manual)),
-every AS (SELECT "user", manual, score, NULL AS created FROM rk UNION ALL FROM fill)
-SELECT * FROM (SELECT "user", manual, score, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, created DESC NULLS LAST, manual) AS place FROM every) WHERE place <= 5""")
+fill AS (SELECT u."user", manual, 0.0::DOUBLE AS score, '最新手册' AS reason, created FROM (SELECT DISTINCT o_custkey AS "user" FROM orders) u, fresh f WHERE NOT EXISTS (FROM rk WHERE rk."user" = u."user" AND rk.manual = f.manual)),
+every AS (SELECT "user", manual, score, reason, NULL AS created FROM rk UNION ALL FROM fill)
+SELECT * FROM (SELECT "user", manual, score, reason, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, created DESC NULLS LAST, manual) AS place FROM every) WHERE place <= 5""")
 def k9_recommend(spark, d):
     s = shop(spark, d)
     own = usage.own_device_scores(s["tasks"], s["links"], s["live"], s["since"])
-    near = usage.same_site_scores(s["owned"], s["sites"], s["links"], s["live"], own)
-    return usage.recommend(own.unionByName(near), s["users"], s["live"])
+    # Those updated lately and the others each in their own order, as the bonus ranks one above the other.
+    lately = F.col("manual") % 4 == 0
+    near = None
+    for part in (s["live"].where(lately), s["live"].where(~lately)):
+        some = usage.same_site_scores(s["owned"], s["sites"], s["links"], part, own.join(part.select("manual"), "manual", "left_semi"), top=5)
+        near = some if near is None else near.unionByName(some)
+    updated = F.when(lately, s["now"] - F.expr("INTERVAL 3 DAYS")).otherwise(s["now"] - F.expr("INTERVAL 30 DAYS"))
+    return usage.recommend(own, near, s["users"], s["live"].withColumn("updated", updated), s["now"])
 
 
 @query("""SELECT p_partkey AS device, count(DISTINCT l_suppkey) AS components, count(DISTINCT s_nationkey) AS faults FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY p_partkey""")
@@ -490,11 +495,14 @@ def w8_memory_index(spark, d):
     return lifecycle.memory_index(facts(spark, d), tier).select("user", "id", "tier", "position")
 
 
-@query("""WITH f AS (SELECT conv_id AS fact, conv_id AS session, (turn - 1)::VARCHAR || '-' || turn::VARCHAR || ',0' AS ranges, turn FROM conversations WHERE turn = 1)
-SELECT DISTINCT fact, c.conv_id AS session, c.turn AS round, c.turn AS id FROM f JOIN conversations c ON c.conv_id = f.session AND c.turn BETWEEN 0 AND 1""")
+@query("""WITH f AS (SELECT conv_id * 100 + turn AS fact, conv_id AS session, turn, conv_id % 3 AS k FROM conversations),
+s AS (SELECT fact, session, turn - 1 AS lo, turn AS hi FROM f UNION ALL SELECT fact, session, 0, 0 FROM f WHERE k = 0 UNION ALL SELECT fact, session, 3, 999999999 FROM f WHERE k = 1)
+SELECT DISTINCT fact, c.conv_id AS session, c.turn AS round, c.turn AS id FROM s JOIN conversations c ON c.conv_id = s.session AND c.turn BETWEEN lo AND hi""")
 def j9_recall_rounds(spark, d):
-    rows = table(spark, d, "conversations")
-    made = rows.where("turn = 1").select(F.col("conv_id").alias("fact"), F.col("conv_id").alias("session"), F.lit("0-1,0,x,5").alias("ranges"))
+    rows, n = table(spark, d, "conversations"), F.col("turn").cast("string")
+    tail = F.get(F.array(F.lit(",0,x,5"), F.lit(",3-999999999"), F.lit(",7-6-5,1")), (F.col("conv_id") % 3).cast("int"))
+    begin = F.when(F.col("turn") > 0, F.concat((F.col("turn") - 1).cast("string"), F.lit(" - "), n)).otherwise("0")
+    made = rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("fact"), F.col("conv_id").alias("session"), F.concat(begin, tail).alias("ranges"))
     return lifecycle.recall_rounds(made, rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("round"), F.col("turn").alias("id")))
 
 
@@ -605,10 +613,11 @@ def k12_route_verdicts(spark, d):
     return graph.route_verdicts(rows)
 
 
-@query("""WITH h AS (SELECT 'q' AS query, p_partkey AS id, (contains(p_name, 'a')::INT + contains(p_name, 'e')::INT + contains(p_name, '1')::INT)::BIGINT AS hits FROM part)
-SELECT *, row_number() OVER (ORDER BY hits DESC, id) AS place FROM (SELECT query, id, hits, round(hits / 3.0::DOUBLE, 6) AS score FROM h WHERE hits > 0 ORDER BY hits DESC, id LIMIT 10)""")
+@query("""WITH t AS (SELECT DISTINCT item_id AS query, left(unnest(regexp_split_to_array(lower(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))), ' ')), 3) AS term FROM benchmark),
+n AS (SELECT query, count(*) AS n FROM t WHERE term <> '' GROUP BY query), h AS (SELECT query, p_partkey AS id, count(*) AS hits FROM t JOIN part ON term <> '' AND contains(p_name, term) GROUP BY 1, 2)
+SELECT * FROM (SELECT query, id, hits, round(hits / n::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY hits DESC, id) AS place FROM h JOIN n USING (query)) WHERE place <= 10""")
 def k5_lexical_hits(spark, d):
-    terms = spark.sql("SELECT 'q' AS query, term FROM VALUES ('a'), ('e'), ('1') AS t(term)")
+    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.transform(terms_of(F.col("text")), lambda t: F.left(t, F.lit(3)))).alias("term"))
     return graph.lexical_hits(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), terms)
 
 

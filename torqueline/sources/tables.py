@@ -1,5 +1,8 @@
 """Sources and sinks."""
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,9 +32,11 @@ def jsonl_cases(spark: SparkSession, path: str, schema: StructType) -> tuple[Dat
     return parsed.where(~broken).select("case.*"), parsed.where(broken).select("value")
 
 
-def write_results(rows: DataFrame, path: str, by: list[str]) -> None:
-    """Result rows, partitioned by run and variant."""
-    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_results(rows: DataFrame, path: str, by: list[str], summary: DataFrame | None = None) -> None:
+    """Result rows, partitioned by run and variant, and a summary of one row as JSON beside them."""
+    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/rows")
+    if summary is not None:
+        summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
 def upsert(store: DataFrame, rows: DataFrame, key="doc_id", order="written") -> DataFrame:
@@ -44,3 +49,22 @@ def upsert(store: DataFrame, rows: DataFrame, key="doc_id", order="written") ->
 def delete(store: DataFrame, ids: DataFrame, key="document_id") -> DataFrame:
     """The store without the records of some documents."""
     return store.join(ids.select(key), key, "left_anti")
+
+
+def rewrite_partitions(spark: SparkSession, path: str, touched: DataFrame, by: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Applies ``change`` to those partitions of the store at ``path`` that ``touched`` names, and writes no others.
+
+    The new partitions are written beside the store first, as a table that is read cannot be overwritten; a run that ends in
+    between leaves the store as it was and can be repeated. Partitions without rows are removed."""
+    store = spark.read.parquet(path)
+    touched = touched.select(by).distinct()
+    part = store.join(touched, by, "left_semi")
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    change(part).write.partitionBy(by).parquet(staged)
+    new = spark.read.schema(store.schema).parquet(staged)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    jvm = spark._jvm
+    for row in touched.where(F.col(by).isNotNull()).join(new.select(by).distinct(), by, "left_anti").collect():  # names of emptied partitions
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(by, str(row[0]))
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

@@ -156,7 +156,7 @@ def test_decontaminate(spark, docs, texts):
                     found |= own
         want[i, len(w), len(hit), tuple(sorted(found))] += 1
     for limit in (10**9, 2000):  # one automaton, and several
-        out = decontaminate.scan(docs, bench, max_block_chars=limit).collect()
+        out = decontaminate.scan(docs, bench, max_nodes=10 * limit).collect()
         assert Counter((r["id"], r["n_words"], sum(h["last"] - h["first"] + 1 for h in r["hits"]), tuple(r["items"])) for r in out) == want
         by = {i: t for i, t in texts if i is not None}
         for r in out:

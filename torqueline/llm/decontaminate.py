@@ -4,8 +4,10 @@ Windows of ``window`` consecutive words of all benchmark items (an item with few
 automaton; every text is scanned once, from end to end, and each occurrence is mapped back to word positions and to code
 points of the original text.
 
-The automaton is broadcast. Its size is checked first: items are dealt to as many automata as keep each below
-``max_block_chars`` characters, and texts are scanned once per automaton (one, for benchmarks up to that size).
+The items are broadcast and each worker builds the automaton once. Its size is checked first: a window has about as many
+nodes as bytes, and a node takes about 40 bytes. Up to ``max_nodes`` nodes (500,000 bytes of items at the default, 200 MB a
+worker) there is one automaton and one scan; items of larger benchmarks are dealt to as many automata as keep each below that,
+and texts are scanned once per automaton.
 
 Defined cases: null text or item text has no words; repeated items count as one per ``item_id``; a null ``item_id`` is
 ignored; repeated documents each get the same row; an empty benchmark hits nothing; empty documents give an empty result;
@@ -14,6 +16,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -88,14 +91,14 @@ def scan_text(auto: ahocorasick.Automaton, data: bytes) -> tuple[int, list[tuple
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",
-         window=10, max_block_chars=32_000_000) -> DataFrame:
+         window=10, max_nodes=5_000_000) -> DataFrame:
     """One row per input row: ``id, n_words, hits, spans, items``.
 
     ``hits`` are runs of hit words (first, last, from 0), ``spans`` the same as code points of the original (end exclusive),
     ``items`` the distinct items with an occurring window."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-chars // max_block_chars) or 1
+    nodes = window * (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    blocks = -(-nodes // max_nodes) or 1
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = SCHEMA.format(id=docs.schema["id"].dataType.simpleString(), item=items.schema["item"].dataType.simpleString())
     if blocks > 1:  # a row number that survives reruns: equal rows have equal results
@@ -104,16 +107,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
     parts = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])  # at most max_block_chars, about
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])  # of max_nodes, about
         parts.append(one_pass(docs, shared, window, schema, item_type))
     return parts[0] if blocks == 1 else combined(parts)
 
 
+#: The automaton that this worker built last, by the name of its pass.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+
+
+def built(name: str, items: list, window: int) -> ahocorasick.Automaton:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = automaton_of(items, window)
+    return _BUILT[name]
+
+
 def one_pass(docs: DataFrame, shared, window: int, schema: str, item_type) -> DataFrame:
-    keyed = "key" in docs.columns
+    keyed, name = "key" in docs.columns, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton_of(shared.value, window)
+        auto = built(name, shared.value, window)
         for batch in batches:
             n, hits, spans, items = [], [], [], []
             for text in batch.column("text"):

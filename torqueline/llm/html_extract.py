@@ -8,7 +8,8 @@ inside one reaches from its opening to its end tag, so short first and last para
 judged by its own windows. An ``article`` that is a comment by its names is dropped.
 
 Defined cases: null or empty html, or html without text outside the dropped parts, gives the empty text; a page cut off
-inside a tag loses that tag only, one cut off inside an element keeps its text; repeated pages each get the same row; an
+inside a tag loses that tag only, one cut off inside an element keeps its text (but for script, style, textarea, title and
+iframe, whose text goes); controls and noscript, template and svg may lack their end tags; repeated pages each get the same row; an
 empty table gives an empty result; other columns are ignored. Pages are never cut.
 """
 
@@ -23,7 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: HTML's raw-text elements, elements outside article text, elements that end a block, and void elements.
-RAW = "script style noscript template textarea title svg iframe select option button".split()
+RAW = "script style noscript template textarea title svg iframe".split()
+#: Raw-text elements that end at once where the page never ends them; the text of the others is lost then, as in a browser.
+OPTIONAL_END = "noscript template svg".split()
+#: Controls, whose text goes; their end tags can be left out, so the next block tag ends them too.
+CONTROL = "select datalist optgroup option button".split()
+#: Elements that mark up words; their names say nothing about the part they stand in.
+PHRASE = "b i em strong mark sub sup code kbd samp small s u q cite dfn abbr var time".split()
 ASIDE = "head nav header footer aside form menu dialog".split()
 BLOCK = (
     "address article blockquote body dd div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section "
@@ -31,7 +38,7 @@ BLOCK = (
 ).split() + ASIDE
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 #: Elements that an opening tag of the same kind, or a block tag, closes.
-IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 #: Words of class, id and role names that mark parts outside the article.
 NOT_TEXT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|"
@@ -57,6 +64,12 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     dropped = in_link = False
     raw = ""
     at = 0
+    last_end: dict[str, int] = {}  # where an element of optional end is ended for the last time
+
+    def ended(name: str, after: int) -> bool:
+        if name not in last_end:
+            last_end[name] = max((m.start() for m in re.finditer(f"</{name}", page, re.I)), default=-1)
+        return last_end[name] >= after
 
     def flush(article: int) -> None:
         nonlocal linked
@@ -85,7 +98,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if not name or not m[4]:
             continue
         if name in RAW and not m[1]:
-            raw = "" if m[3].endswith("/") else name
+            raw = "" if m[3].endswith("/") or name in OPTIONAL_END and not ended(name, m.end()) else name
             continue
         block = name in BLOCK
         if block:
@@ -100,7 +113,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 if open_tags[i][0] in ASIDE + ["article", "main"] and not block:
                     break
         else:
-            while open_tags and open_tags[-1][0] in IMPLIED.get(name, ()):
+            while open_tags and (open_tags[-1][0] in IMPLIED.get(name, ()) or block and open_tags[-1][0] in CONTROL):
                 open_tags.pop()
             if block:  # a block inside a paragraph ends it, with the inline elements that stand open in it
                 for i in range(len(open_tags) - 1, -1, -1):
@@ -112,7 +125,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 names = " ".join(a or b or c for a, b, c in NAMED.findall(m[3]))
                 gone, art, link = top()
                 is_article = name in ("article", "main")
-                gone = gone or (name in ASIDE and not (art and name == "header")) or bool(names and NOT_TEXT.search(names)) and not is_article and name not in ("body", "html") or bool(HIDDEN.search(m[3]))
+                gone = gone or (name in ASIDE and not (art and name == "header")) or bool(names and NOT_TEXT.search(names)) and not is_article and name not in ("body", "html", *PHRASE) or name in CONTROL or bool(HIDDEN.search(m[3]))
                 gone = gone or name == "article" and bool(COMMENT.search(names))
                 if is_article and not art and not gone:
                     articles += 1

@@ -2,9 +2,12 @@
 
 Documents enter a streaming aggregation as (digest, identifier, locator). Its keyed state lives in RocksDB on disk and has
 no watermark, so it never expires: per digest it retains the stable identifier that stays, the number of rows and the
-content locator (identifier and length, which find the kept text in the table). Every hit, a row whose digest the state has
-more than once, is then checked byte by byte against the kept text; digests whose texts differ are grouped again by their
-full texts, so a digest collision never merges two texts.
+content locator (identifier and number of bytes of the kept text). Every hit, a digest that the state has more than once, is
+checked by full bytes: its smallest and its largest text, found by digest, are the same text if and only if all are; digests
+whose texts differ are grouped again by their full texts, so a digest collision never merges two texts.
+
+The state lives in a folder. With a folder of the caller's own, ``deduplicate`` adds its rows to what earlier calls have put
+there, and ``earlier``, the rows of those calls, takes part in the check of full bytes.
 
 Defined cases: null text equals the empty text; of equal texts the row with the largest identifier stays (null ids are
 smallest); of repeated rows with that identifier exactly one stays; an empty table gives an empty result; other columns are
@@ -18,15 +21,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, workspace
+from .common import remove, stored, workspace
 
 #: Most digests (8 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_HITS = 2_000_000
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-#: Many small state stores should not reserve disk ahead.
-FALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore"
+#: Settings of the stream's own session: state on disk, no disk reserved ahead, one bound of memory for all stores of an executor,
+#: and a store leaves memory with the task that has written it.
+SETTINGS = {
+    f"{STATE}.unloadOnCommit": "true",
+    f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE}.rocksdb.allowFAllocate": "false", f"{STATE}.rocksdb.boundedMemoryUsage": "true", f"{STATE}.rocksdb.maxMemoryUsageMB": "128",
+}
+#: Settings that the stream takes over from the caller's session.
+TAKEN = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
 
 
 def sha256(text: Column) -> Column:
@@ -34,33 +43,26 @@ def sha256(text: Column) -> Column:
 
 
 def keyed_state(entries: DataFrame, folder: str) -> DataFrame:
-    """Runs ``entries`` (digest, id, n_bytes) through the streaming state; gives ``digest, keep_id, group_size, n_bytes``."""
+    """Adds ``entries`` (digest, id, n_bytes) to the state in ``folder``; gives ``digest, keep_id, group_size, n_bytes`` of all in it."""
     spark = entries.sparkSession
-    source = stored(entries, f"{folder}/entries")
-    kept = F.max(F.struct("id", "n_bytes"))
-    stream = spark.readStream.schema(source.schema).parquet(f"{folder}/entries")
-    state = stream.groupBy("digest").agg(kept.alias("best"), F.count("*").alias("group_size"))
+    entries.write.mode("append").parquet(f"{folder}/entries")
+    own = spark.newSession()  # its settings are no one else's
+    for name, value in SETTINGS.items() | {(name, spark.conf.get(name)) for name in TAKEN}:
+        own.conf.set(name, value)
+    stream = own.readStream.schema(entries.schema).parquet(f"{folder}/entries")
+    state = stream.groupBy("digest").agg(F.max(F.struct("id", "n_bytes")).alias("best"), F.count("*").alias("group_size"))
 
     def emit(batch: DataFrame, number: int) -> None:
         # A batch that runs again after a failure replaces its own output.
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-
-    # Both are read once, when the stream starts; the session gets its own settings back.
-    own = {PROVIDER: ROCKSDB, FALLOCATE: "false"}
-    before = {name: spark.conf.get(name, None) for name in own}
-    for name, value in own.items():
-        spark.conf.set(name, value)
-    try:
-        query = (
-            state.writeStream.outputMode("update").foreachBatch(emit)
-            .option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+        batch.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
+    query = (
+        state.writeStream.outputMode("update").foreachBatch(emit)
+        .option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
     schema = f"digest string, best {entries.select(F.struct('id', 'n_bytes').alias('s')).schema['s'].dataType.simpleString()}, group_size long, batch int"
-    if query.lastProgress is None or not batches(spark, f"{folder}/state"):
+    if not batches(spark, f"{folder}/state"):
         return spark.createDataFrame([], schema).select("digest", F.col("best.id").alias("keep_id"), "group_size", F.col("best.n_bytes").alias("n_bytes"))
     updates = spark.read.schema(schema).parquet(f"{folder}/state")
     # Later updates of a digest count more rows.
@@ -73,38 +75,44 @@ def batches(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def classes(docs: DataFrame, id_col="doc_id", text_col="text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def classes(docs: DataFrame, id_col="doc_id", text_col="text", digest: Callable[[Column], Column] = sha256,
+            state: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """One row per distinct (id, text): ``id, digest, keep_id, group_size, n_rows``; ``n_rows`` rows have that id and text."""
     spark = docs.sparkSession
-    folder = workspace(spark, "exact-dedup")
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("digest", digest(F.col("text")))
-    entries = docs.select("digest", "id", F.octet_length("text").alias("n_bytes"))
-    state = stored(keyed_state(entries, folder), f"{folder}/kept")
-    entries = spark.read.schema(entries.schema).parquet(f"{folder}/entries")
+    work = workspace(spark, "exact-dedup")
+
+    def digested(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        return rows.withColumn("digest", digest(F.col("text")))
 
+    docs = digested(docs)
+    entries = stored(docs.select("digest", "id", F.octet_length("text").alias("n_bytes")), f"{work}/entries")
+    kept = stored(keyed_state(entries, state or f"{work}/state"), f"{work}/kept")
     rows = entries.groupBy("digest", "id").agg(F.count("*").alias("n_rows"))
-    rows = rows.join(state.drop("n_bytes"), "digest")
+    rows = rows.join(kept.drop("n_bytes"), "digest")
 
-    # Full bytes on hits. The smallest and the largest text of a digest are the same text if and only if all are; copies
-    # meet within their tasks first, so no group is large. Only texts with a hit move: few digests are sent to all tasks.
-    hits = stored(state.where("group_size > 1").select(F.xxhash64("digest").alias("hit")).distinct(), f"{folder}/hits")
+    # Copies meet within their tasks first, so no group is large. Only texts with a hit move: few digests are sent to all tasks.
+    every = docs if earlier is None else docs.unionByName(digested(earlier))
+    hits = stored(kept.where("group_size > 1").select(F.xxhash64("digest").alias("hit")).distinct(), f"{work}/hits")
     few = hits.count() <= BROADCAST_HITS
-    shared = docs.join(F.broadcast(hits) if few else hits, F.xxhash64("digest") == F.col("hit"), "left_semi")
+    shared = every.join(F.broadcast(hits) if few else hits, F.xxhash64("digest") == F.col("hit"), "left_semi")
     ends = shared.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
-    differs = stored(ends.where("low <> high").select("digest"), f"{folder}/collisions")
-    if differs.isEmpty():
-        return rows.select("id", "digest", "keep_id", "group_size", "n_rows")
-    apart = docs.join(differs, "digest", "left_semi")
-    exact = apart.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    each = apart.groupBy("digest", "text", "id").agg(F.count("*").alias("n_rows"))
-    apart = each.join(exact, ["digest", "text"]).select("id", "digest", "keep_id", "group_size", "n_rows")
-    return rows.join(differs, "digest", "left_anti").select(apart.columns).unionByName(apart)
-
-
-def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per input row: ``id, keep_id, group_size, kept, digest``."""
-    rows = classes(docs, id_col, text_col, digest)
+    differs = stored(ends.where("low <> high").select("digest"), f"{work}/collisions")
+    rows = rows.select("id", "digest", "keep_id", "group_size", "n_rows")
+    if not differs.isEmpty():
+        exact = every.join(differs, "digest", "left_semi").groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        each = docs.join(differs, "digest", "left_semi").groupBy("digest", "text", "id").agg(F.count("*").alias("n_rows"))
+        apart = each.join(exact, ["digest", "text"]).select(rows.columns)
+        rows = rows.join(differs, "digest", "left_anti").select(apart.columns).unionByName(apart)
+    result = stored(rows, workspace(spark, "exact-classes"))
+    remove(spark, work)
+    return result
+
+
+def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", digest: Callable[[Column], Column] = sha256,
+                state: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """One row per input row: ``id, keep_id, group_size, kept, digest``, over these rows and those that ``state`` has already."""
+    rows = classes(docs, id_col, text_col, digest, state, earlier)
     numbered = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return numbered.select("id", "keep_id", "group_size", kept.alias("kept"), "digest")

@@ -5,12 +5,12 @@ word borders), then a linear layer and a softmax. Embeddings and layer are train
 on a bounded sample of labelled rows; a held-back part of that sample sets the temperature of the softmax and the score
 below which a text counts as rejected, so that ``keep`` of the held-back texts stay.
 
-Because averaging and the linear layer commute, prediction looks up one row of class scores per n-gram; it reads every text
-from end to end.
+Because averaging and the linear layer commute, prediction with up to ``dim`` labels looks up one row of class scores per
+n-gram, with more labels one embedding; it reads every text from end to end.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and rejected; rows without a label are never
-learned from, nor are labels beyond the 256 most frequent, which are so never predicted; with no labelled row at all every text is ``und``; repeated rows count once each; ties between classes go to
-the smallest label; an empty table gives an empty result; other columns are ignored.
+learned from, every label is, however rare; with no labelled row at all every text is ``und``; equal texts of a label are one
+example; ties between classes go to the smallest label; an empty table gives an empty result; other columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -19,9 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import remove, stored, workspace
+
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -32,7 +34,8 @@ PIECE = 1 << 18
 @dataclass(frozen=True)
 class Model:
     labels: tuple[str, ...]
-    scores: np.ndarray  # (BUCKETS, labels): embeddings times the linear layer
+    scores: np.ndarray  # (BUCKETS, labels): embeddings times the linear layer; the embeddings alone if there are more labels than places
+    layer: np.ndarray | None  # the linear layer in that case
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -87,24 +90,22 @@ def histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(labelled: DataFrame, text_col: str, label_col: str, sample: int) -> list:
-    """``sample`` distinct texts at most, the same number for each of the 256 most frequent labels and chosen by a hash of the
-    text, as sparse n-gram averages.
+    """``sample`` distinct texts at most (one of each label at least), the same number for each label and chosen by a hash of
+    the text, as sparse n-gram averages.
 
     Besides each whole text one run of eight words at a hashed place is learned, since short texts occur too."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    rows = rows.where(F.col("label").isNotNull() & has_letter(F.col("text")))
-    # The smallest hashes of each label: hashes alone are aggregated, texts are fetched for the chosen ones only.
-    keyed = rows.withColumn("h", F.xxhash64("text"))
-    labels = [r[0] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(256).collect()]
-    if not labels:
+    keyed = rows.where(F.col("label").isNotNull() & has_letter(F.col("text"))).withColumn("h", F.xxhash64("text"))
+    # Copies of a text count once, else they would fill the sample and stand in its held-back part too. Hashes alone are
+    # shuffled, and of each task only the smallest of a label; texts are fetched for the chosen ones only.
+    folder = workspace(labelled.sparkSession, "lang-id")
+    hashes = stored(keyed.select("label", "h").distinct(), folder)
+    n_labels = hashes.select("label").distinct().count()
+    if not n_labels:
         return []
-    per = max(1, sample // len(labels))
-    picked = None
-    for label in labels:
-        top = keyed.where(F.col("label") == label).select("label", "h").distinct().orderBy("h").limit(per)
-        picked = top if picked is None else picked.unionByName(top)
-    # Copies of a text count once, else they would fill the sample and stand in its held-back part too.
-    chosen = keyed.join(F.broadcast(picked), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("label").orderBy("h")
+    picked = hashes.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max(1, sample // n_labels)).select("label", "h")
+    chosen = keyed.join(F.broadcast(picked), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))  # at most ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,11 +123,13 @@ def training_rows(labelled: DataFrame, text_col: str, label_col: str, sample: in
                 "index": pa.array(index, pa.list_(pa.int32())), "value": pa.array(value, pa.list_(pa.float32())), "label": pa.array(label, pa.string()),
             })
 
-    return chosen.mapInArrow(run, "index array<int>, value array<float>, label string").collect()
+    rows = chosen.mapInArrow(run, "index array<int>, value array<float>, label string").collect()
+    remove(labelled.sparkSession, folder)
+    return rows
 
 
 def train(labelled: DataFrame, text_col="text", label_col="lang", sample=1200, dim=16, epochs=6, rate=0.5, keep=0.999, seed=7) -> Model | None:
-    """Fits the model on at most ``sample`` labelled rows of ``labelled`` (a documented bound); None without any."""
+    """Fits the model on at most ``sample`` labelled rows of ``labelled``, one of each label at least (a documented bound); None without any."""
     rows = training_rows(labelled, text_col, label_col, sample)
     if not rows:
         return None
@@ -171,7 +174,8 @@ def train(labelled: DataFrame, text_col="text", label_col="lang", sample=1200, d
     top = softmax(logits / temperature).max(1)
     # Never above an even chance: a text that one label explains better than all others together stays.
     threshold = float(min(0.5, np.quantile(top, 1 - keep)))
-    return Model(labels, (embed @ layer).astype(np.float32), bias, temperature, threshold)
+    product = len(labels) <= dim
+    return Model(labels, (embed @ layer).astype(np.float32) if product else embed, None if product else layer, bias, temperature, threshold)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -180,7 +184,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def score_text(model: Model, text: str) -> tuple[str, float]:
-    total, n = np.zeros(len(model.labels)), 0
+    total, n = np.zeros(model.scores.shape[1]), 0
     for part in pieces(points_of(text)):
         buckets = ngram_buckets(part)
         n += len(buckets)
@@ -188,7 +192,8 @@ def score_text(model: Model, text: str) -> tuple[str, float]:
             total += np.bincount(buckets, minlength=BUCKETS).astype(np.float32) @ model.scores
         else:
             total += np.take(model.scores, buckets, axis=0).sum(0, dtype=np.float64)
-    p = softmax(((total / max(n, 1) + model.bias) / model.temperature)[None])[0]
+    mean = total / max(n, 1)
+    p = softmax((((mean if model.layer is None else mean @ model.layer) + model.bias) / model.temperature)[None])[0]
     best = int(p.argmax())
     return model.labels[best], float(p[best])
 
@@ -201,7 +206,7 @@ def identify(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="te
 
 def predicted(docs: DataFrame, model: Model | None, text_col: str) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected`` added (and replaced, where they exist)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of class scores: fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of at most ``dim`` numbers
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:

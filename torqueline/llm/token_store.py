@@ -2,12 +2,13 @@
 
 Layout of a store, below one folder that driver and executors share::
 
-    ids-00000.bin    16 bytes of header (magic, width of an id, number of rows, number of ids), then raw little-endian ids
+    ids-00000.bin    24 bytes of header (magic and width of an id of 32 bits, numbers of rows and ids of 64), then raw little-endian ids
     rows-00000.bin   the number of ids of each row, as little-endian unsigned 32-bit integers
     key-00000.mph    a minimal perfect hash over one hash bucket of the document keys, see :class:`PerfectHash`
     manifest.json    width, end id, and per shard its rows, ids and the number of ids before it
 
-Rows are in ascending (key, text) order over the shards. A key's bucket follows from its hash, its place in the bucket from
+Rows are in ascending (key, text) order over the shards, which are as many as keep each near ``shard_bytes`` of text, and as
+many as shuffles have partitions at least. A key's bucket follows from its hash, its place in the bucket from
 the perfect hash, and there stand a fingerprint (which tells keys that were never stored), the shard, the row within it, the
 offset in ids and the number of rows with that key: one look into the index and one into a shard, whatever the size.
 
@@ -33,12 +34,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import latin
-from .common import stored
+from .common import remove, stored
 
 MAGIC = b"TQID"
-HEADER, HEADER_SIZE = "<4sIII", 16
+HEADER = "<4sIQQ"
+HEADER_SIZE = struct.calcsize(HEADER)
 NULL_KEY = -(1 << 63)
-CACHE = 1_000_000
+#: Pieces whose ids a worker keeps, and the longest of them in characters.
+CACHE, LONGEST = 1_000_000, 64
 U = np.uint64
 
 
@@ -92,11 +95,17 @@ class WordTokenizer:
             cache.clear()
         split = [self.pieces(text) for text in texts]
         new = list({piece for pieces in split for piece in pieces if piece not in cache})
+        long = []  # not kept: texts without spaces are one piece each
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 cache[piece] = np.asarray(found.ids, self.dtype).tobytes()
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
+                if len(piece) > LONGEST:
+                    long.append(piece)
+        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
+        for piece in long:
+            del cache[piece]
+        return out
 
 
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
@@ -172,11 +181,13 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col="doc_id", text_col="text",
-          shards: int | None = None, keys_per_bucket=500_000) -> None:
+          shards: int | None = None, keys_per_bucket=100_000, shard_bytes=256_000_000) -> None:
     """Writes the store of ``docs`` to ``folder``."""
     spark = docs.sparkSession
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     make_folder(spark, folder)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # The text's hash lets rows of one hot key go to several shards.
@@ -186,7 +197,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
         own, shard = tokenizer(tokenizer_path, width), TaskContext.get().partitionId()
         end = np.asarray([end_id], f"<u{width}").tobytes()
         fs, path = place(folder)
-        name, total, lengths = f"{path}/.ids-{shard:05d}-{uuid.uuid4().hex}", 0, []
+        name, total, n_rows, lengths = f"{path}/.ids-{shard:05d}-{uuid.uuid4().hex}", 0, 0, []
         with fs.open_output_stream(f"{name}.raw") as f:
             for batch in batches:
                 texts = batch.column("text")
@@ -195,19 +206,18 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
                     f.write(b"".join(encoded))
                     n = np.array([len(x) // width for x in encoded], np.int64)
                     first = total + np.cumsum(n) - n
-                    rows = np.arange(sum(map(len, lengths)), sum(map(len, lengths)) + len(n))
-                    total += int(n.sum())
+                    rows = np.arange(n_rows, n_rows + len(n))
+                    total, n_rows = total + int(n.sum()), n_rows + len(n)
                     lengths.append(n.astype("<u4"))
                     yield pa.RecordBatch.from_pydict({
                         "shard": pa.array(np.full(len(n), shard, np.int32)), "key": batch.column("key")[at : at + 256],
                         "row": pa.array(rows), "offset": pa.array(first), "n_ids": pa.array(n),
                     })
-        rows = sum(map(len, lengths))
-        if not rows:
+        if not n_rows:
             fs.delete_file(f"{name}.raw")
             return
         with fs.open_output_stream(name) as f, fs.open_input_stream(f"{name}.raw") as raw:
-            f.write(struct.pack(HEADER, MAGIC, width, rows, total))
+            f.write(struct.pack(HEADER, MAGIC, width, n_rows, total))
             while part := raw.read(1 << 22):
                 f.write(part)
         fs.delete_file(f"{name}.raw")
@@ -239,6 +249,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
     done = flat.groupBy("bucket").applyInPandas(index, "bucket int, keys long")
     if (done.agg(F.sum("keys")).first()[0] or 0) != keys.count():
         raise RuntimeError("the index does not hold every key")
+    remove(spark, f"{folder}/entries")
     write_file(folder, "manifest.json", json.dumps({"width": width, "end_id": end_id, "buckets": buckets, "shards": manifest}).encode())
 
 

@@ -60,13 +60,21 @@ def section_gate(rows: DataFrame, clean: Column, titles=4, clean_titles=3, share
     return out.select("doc", "titles", "clean_titles", F.round("share", 6).alias("share"), reason.alias("reason"))
 
 
-def table_is_valid(rows: Column) -> Column:
-    """Two rows and columns, four cells, a quarter filled and a steady number of columns. rows: array of arrays."""
-    cells = F.flatten(rows)
-    filled = F.size(F.filter(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
-    widths = F.transform(rows, F.size)
-    steady = F.size(F.array_distinct(widths)) == 1
-    return (F.size(rows) >= 2) & (F.array_max(widths) >= 2) & (F.size(cells) >= 4) & (filled >= 0.25 * F.size(cells)) & steady
+def table_rejection(rows: Column) -> Column:
+    """Why an array of rows of cells is no table, the first rule that fails; empty if it is one.
+
+    Rows without text do not count. Rules: two rows and columns, four filled cells, a quarter filled, half of the rows (two at least)
+    with two filled cells, and fewer than half with nothing but one long text."""
+    clean = F.filter(F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit(""))))), lambda r: F.exists(r, lambda c: c != ""))
+    filled = F.transform(clean, lambda r: F.filter(r, lambda c: c != ""))
+    n, widest = F.size(clean), F.coalesce(F.array_max(F.transform(clean, F.size)), F.lit(0))
+    cells = F.size(F.flatten(filled))
+    several = F.size(F.filter(filled, lambda r: F.size(r) >= 2))
+    long_ = F.size(F.filter(filled, lambda r: (F.size(r) == 1) & (F.length(F.get(r, F.lit(0))) >= 80)))
+    return (
+        F.when(n < 2, "too_few_rows").when(widest < 2, "too_few_columns").when(cells < 4, "too_few_non_empty_cells").when(cells < 0.25 * n * widest, "too_sparse")
+        .when(several < F.greatest(F.lit(2), F.floor(n / 2)), "unstable_columns").when(long_ >= 0.5 * n, "paragraph_like_rows").otherwise("")
+    )
 
 
 def distinct_for_model(rows: DataFrame, text="text") -> DataFrame:

@@ -41,10 +41,14 @@ def scored_paths(paths: DataFrame, component_scores: DataFrame, fault_scores: Da
 
 
 def rerank_paths(paths: DataFrame, top=10) -> DataFrame:
-    """K6: name matches first (fault 4, component 2), then score, then id. paths: query, path, fault_hit, component_hit, score."""
-    strength = F.when(F.col("fault_hit"), 4).otherwise(0) + F.when(F.col("component_hit"), 2).otherwise(0)
+    """K6: name matches first (fault 4, component 2: one name contains the other), then score, then id; ``top`` is 50 at most.
+
+    paths: query, path, fault, component, asked_fault, asked_component, score."""
+    kept = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[\p{Punct}\p{Z}\p{Cntrl}]+", "")
+    met = lambda a, b: (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+    strength = F.when(met(kept("asked_fault"), kept("fault")), 4).otherwise(0) + F.when(met(kept("asked_component"), kept("component")), 2).otherwise(0)
     order = Window.partitionBy("query").orderBy(F.desc("strength"), F.desc("score"), "path")
-    return paths.withColumn("strength", strength).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return paths.withColumn("strength", strength).withColumn("place", F.row_number().over(order)).where(F.col("place") <= min(top, 50))
 
 
 def path_tier(score: Column, broken: Column, provenance: Column) -> Column:

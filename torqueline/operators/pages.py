@@ -62,7 +62,7 @@ def page_lines(blocks: DataFrame, tables: DataFrame, margin=70, share=0.35) -> D
     that a table covers by ``share``.
 
     blocks: document, page, height, text, box; tables: document, page, box."""
-    rows = blocks.where("trim(text) <> ''").withColumn("norm", F.regexp_replace(F.trim("text"), SPACE, " "))
+    rows = blocks.where("trim(text) <> ''").withColumn("norm", F.lower(F.regexp_replace(F.trim("text"), SPACE, " ")))
     outer = (edge("box", 1) < margin) | (edge("box", 3) > F.col("height") - margin)
     rows = rows.withColumn("outer", boxed("box") & outer)
     repeated = rows.where("outer").groupBy("document", "norm").agg(F.count("*").alias("k")).where("k >= 2").select("document", "norm")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .candidate_queries import pick
-from .operators import pages, retrieval
+from .operators import corpus, graph, pages, retrieval
 from .queries import KNN_SQL, query, vectors
 from .sources.tables import table
 
@@ -87,6 +87,31 @@ def t6_active_versions(spark, d):
     return pages.activate_versions(rows)
 
 
+@query("""WITH r AS (SELECT p_partkey // 5 AS tab, p_partkey % 5 AS n, list_filter([trim(CASE WHEN p_size % 4 = 0 THEN '' ELSE p_name END), CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END, CASE WHEN p_size % 7 = 0 THEN repeat('long ', 20) ELSE '' END], x -> trim(x) <> '') AS f FROM part),
+k AS (SELECT * FROM r WHERE len(f) > 0 AND NOT (tab % 6 = 0 AND n > 0)), s AS (SELECT tab, count(*) AS n, sum(len(f)) AS cells, count(*) FILTER (len(f) >= 2) AS several, count(*) FILTER (len(f) = 1 AND length(trim(f[1])) >= 80) AS long FROM k GROUP BY tab)
+SELECT t.tab AS "table", CASE WHEN coalesce(n, 0) < 2 THEN 'too_few_rows' WHEN cells < 4 THEN 'too_few_non_empty_cells' WHEN cells < 0.25 * n * 3 THEN 'too_sparse' WHEN several < greatest(2, n // 2) THEN 'unstable_columns' WHEN long >= 0.5 * n THEN 'paragraph_like_rows' ELSE '' END AS reason
+FROM (SELECT DISTINCT tab FROM r) t LEFT JOIN s USING (tab)""".replace("x -> ", "lambda x: "))
+def c15_table_rejection(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    cells = F.array(F.when(size % 4 != 0, F.col("p_name")), F.when(key % 3 != 0, F.col("p_brand")).otherwise(" "), F.when(size % 7 == 0, F.repeat(F.lit("long "), 20)).otherwise(""))
+    tab = F.floor(key / 5)
+    rows = table(spark, d, "part").select(tab.alias("table"), F.when((tab % 6 == 0) & (key % 5 > 0), F.array(F.lit(" "))).otherwise(cells).alias("cells"))
+    return rows.groupBy("table").agg(corpus.table_rejection(F.collect_list("cells")).alias("reason"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS query, l_linenumber || '-' || l_partkey AS path, p_name AS fault, p_brand AS component, o_orderpriority, l_discount::DOUBLE AS score, CASE l_orderkey % 3 WHEN 0 THEN 'Small, ' WHEN 1 THEN 'a red-widget!' ELSE '' END AS af, CASE WHEN l_orderkey % 2 = 0 THEN 'BRAND #1' ELSE ' ' END AS ac
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+k AS (SELECT *, regexp_replace(lower(fault), '[^a-z0-9]+', '', 'g') AS f, regexp_replace(lower(component), '[^a-z0-9]+', '', 'g') AS c, regexp_replace(lower(af), '[^a-z0-9]+', '', 'g') AS qf, regexp_replace(lower(ac), '[^a-z0-9]+', '', 'g') AS qc FROM p),
+s AS (SELECT query, path, score, CASE WHEN qf <> '' AND (contains(qf, f) OR contains(f, qf)) THEN 4 ELSE 0 END + CASE WHEN qc <> '' AND (contains(qc, c) OR contains(c, qc)) THEN 2 ELSE 0 END AS strength FROM k)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY strength DESC, score DESC, path) AS place FROM s) WHERE place <= 3""")
+def k6_rerank_paths(spark, d):
+    key = F.col("l_orderkey")
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(
+        key.alias("query"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("path"), F.col("p_name").alias("fault"), F.col("p_brand").alias("component"), pick(["Small, ", "a red-widget!", ""], key % 3).alias("asked_fault"),
+        F.when(key % 2 == 0, "BRAND #1").otherwise(" ").alias("asked_component"), F.col("l_discount").alias("score"))
+    return graph.rerank_paths(rows, top=3).select("query", "path", "score", "strength", "place")
+
+
 @query()
 def u4_fused_candidates(spark, d):
     """U4 over the lines of each order as candidates; a fold in order, which a plain version tests."""

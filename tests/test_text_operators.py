@@ -175,3 +175,21 @@ def test_results_with_a_summary(spark, tmp_path):
     rows = spark.createDataFrame([("r1", "v", 1), ("r2", "v", 2)], "run string, variant string, n int")
     tables.write_results(rows, f"file://{tmp_path}/out", ["run", "variant"], rows.groupBy().sum("n"))
     assert spark.read.parquet(f"file://{tmp_path}/out/rows").count() == 2 and spark.read.json(f"file://{tmp_path}/out/summary").first()[0] == 3
+
+
+def test_diagnostic_facts(spark):
+    texts = ["检查活塞环：\n1. 活塞环磨损时更换；2）气缸发黑。清洗气缸。", "确认油位\n漏油\n调整", "只有说明。", "更换。", " "]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(chunking.diagnostic_facts(F.col("t")).alias("f")).collect()
+    assert [r["f"] for r in out] == [["检查活塞环：活塞环磨损时更换；", "检查活塞环：气缸发黑。检查活塞环：清洗气缸。"], ["确认油位：漏油确认油位：调整"], ["只有说明。"], ["更换。"], []]
+
+
+def test_messages_are_answered_once(spark, tmp_path):
+    from torqueline.streaming import jobs
+
+    schema, source, out = "message_id string, ts timestamp, text string", f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    handle = lambda m: m.select("message_id", F.lit("echo").alias("type"), F.lit(True).alias("success"), F.upper("text").alias("data"))
+    for rows in ([("a", "x"), ("a", "x"), ("b", "y")], [("b", "y"), ("c", "z"), (None, "w")]):
+        spark.createDataFrame(rows, "message_id string, text string").selectExpr("message_id", "timestamp'2026-01-01' AS ts", "text").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.answer_messages(stream, handle, out).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["message_id"] or "", r["data"]) for r in spark.read.parquet(out).collect()) == [("", "W"), ("a", "X"), ("b", "Y"), ("c", "Z")]

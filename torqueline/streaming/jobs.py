@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import lifecycle, usage
@@ -16,6 +17,17 @@ def consume_once(messages: DataFrame, key="message_id", ts="ts", keep="7 days")
     return marked.where(known).dropDuplicatesWithinWatermark([key]).unionByName(marked.where(~known))
 
 
+def answer_messages(messages: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, key="message_id", ts="ts") -> DataStreamWriter:
+    """A stream of messages in, their results out: each message id is handled once, and a batch that runs again after a failure
+    replaces its own results. ``handle`` maps messages to results with ``message_id, type, success, data``; start the writer with a
+    checkpoint location."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        handle(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return consume_once(messages, key, ts).writeStream.foreachBatch(run)
+
+
 def sessions(beats: DataFrame, gap="5 minutes") -> DataFrame:
     """Reading sessions by event time: number of beats of each user, manual and session."""
     return beats.withWatermark("ts", gap).groupBy(F.session_window("ts", gap).alias("w"), "user", "manual").agg(F.count("*").alias("beats")).select("user", "manual", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats")

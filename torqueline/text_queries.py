@@ -150,6 +150,22 @@ def c14_specs(spark, d):
     return chunking.specs(rows, "text").select("section", F.array_join("phrases", "|").alias("phrases"))
 
 
+@query("""WITH l AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_returnflag AS f, CASE l_returnflag WHEN 'A' THEN 'p' || l_partkey || '磨损；' WHEN 'N' THEN '更换p' || l_suppkey || '；' ELSE '说明p' || l_linenumber || '。' END AS t FROM lineitem),
+k AS (SELECT *, lag(f) OVER w AS pf, lag(t) OVER w AS pt FROM l WHERE f <> 'R' WINDOW w AS (PARTITION BY doc ORDER BY n)),
+h AS (SELECT doc, CASE WHEN doc % 2 = 0 THEN '活塞：' ELSE '' END AS h FROM (SELECT DISTINCT doc FROM l)),
+m AS (SELECT doc, n, h || pt || h || t AS fact FROM k JOIN h USING (doc) WHERE f = 'N' AND pf = 'A'),
+s AS (SELECT doc, CASE WHEN doc % 2 = 0 THEN '1. 活塞:' || chr(10) ELSE '' END || string_agg(t, '' ORDER BY n) AS source FROM l GROUP BY doc),
+g AS (SELECT doc, string_agg(fact, '|' ORDER BY n) AS facts FROM m GROUP BY doc)
+SELECT doc, coalesce(facts, source) AS facts FROM s LEFT JOIN g USING (doc)""")
+def c13_diagnostic_facts(spark, d):
+    flag = F.col("l_returnflag")
+    said = F.when(flag == "A", F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("磨损；"))).when(flag == "N", F.concat(F.lit("更换p"), F.col("l_suppkey").cast("string"), F.lit("；")))
+    said = said.otherwise(F.concat(F.lit("说明p"), F.col("l_linenumber").cast("string"), F.lit("。")))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", said.alias("t")))).alias("s"))
+    text = F.concat(F.when(F.col("doc") % 2 == 0, "1. 活塞:\n").otherwise(""), F.array_join(F.transform("s", lambda x: x["t"]), ""))
+    return rows.select("doc", F.array_join(chunking.diagnostic_facts(text), "|").alias("facts"))
+
+
 # Planning -----------------------------------------------------------------------------------------------------------
 
 

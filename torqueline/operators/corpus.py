@@ -80,3 +80,10 @@ def table_rejection(rows: Column) -> Column:
 def distinct_for_model(rows: DataFrame, text="text") -> DataFrame:
     """Each text once, keyed by md5, as a model should see it."""
     return rows.where(F.col(text).isNotNull()).groupBy(F.md5(F.encode(text, "UTF-8")).alias("text_md5")).agg(F.count("*").alias("n"))
+
+
+def backfill_scope(records: DataFrame, documents: DataFrame, fields: list[str]) -> DataFrame:
+    """Old records with the scope fields and tags of their document where they have none. Both: document and ``fields``."""
+    known = documents.select("document", *[F.col(f).alias(f"own_{f}") for f in fields])
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    return records.join(known, "document", "left").withColumns({f: F.coalesce(text(f), text(f"own_{f}")) for f in fields}).drop(*[f"own_{f}" for f in fields])

@@ -35,9 +35,21 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
 
 
 def hit_summary(cases: DataFrame) -> DataFrame:
-    """Hit rates at 1, 3 and 5 and mean reciprocal rank over answerable cases. cases: answerable, rank (null: no hit)."""
+    """Hit rates at 1, 3 and 5 and mean reciprocal rank over answerable cases that were not skipped, and the mean recall and
+    precision of their pictures where pictures are asked for.
+
+    cases: answerable, skipped, rank (null: no hit), image_recall, image_precision (null: none asked for)."""
     hit = lambda n: F.round(F.avg(F.when(F.col("rank") <= n, 1.0).otherwise(0.0)), 6).alias(f"hit_{n}")
-    return cases.where("answerable").agg(F.count("*").alias("n"), hit(1), hit(3), hit(5), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c)
+    rows = cases.where(F.col("answerable") & ~F.coalesce("skipped", F.lit(False)))
+    return rows.agg(F.count("*").alias("n"), hit(1), hit(3), hit(5), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), mean("image_recall"), mean("image_precision"))
+
+
+def nugget_coverage(nuggets: DataFrame) -> DataFrame:
+    """The covered share of each case's nugget weights, null without weight. nuggets: case, weight (null: 1), covered."""
+    weight = F.coalesce("weight", F.lit(1.0))
+    out = nuggets.groupBy("case").agg(F.sum(F.when(F.col("covered"), weight).otherwise(0.0)).alias("covered"), F.sum(weight).alias("total"))
+    return out.select("case", F.round(F.col("covered") / F.nullif("total", F.lit(0.0)), 6).alias("coverage"))
 
 
 def run_summary(rows: DataFrame, by: str = "variant") -> DataFrame:

@@ -89,8 +89,11 @@ def removable(nodes: DataFrame, edges: DataFrame, manual: int, hops=3) -> DataFr
     return candidates.join(safe.distinct(), "id", "left_anti")
 
 
-def expiring(causes: DataFrame, solves: DataFrame, solutions: DataFrame, new: DataFrame) -> DataFrame:
-    """Live solutions of the faults of each device, without the new ones. causes: device, fault; solutions: solution, status."""
+def expiring(causes: DataFrame, solves: DataFrame, solutions: DataFrame, new: DataFrame, faults: DataFrame | None = None) -> DataFrame:
+    """Live solutions of the live faults of each device, without the new ones. causes: device, fault; solutions: solution, status;
+    new: solution; faults: fault, status, where known. New faults are left out by leaving them out of ``faults``."""
+    if faults is not None:
+        causes = causes.join(faults.where(live(F.col("status"))).select("fault"), "fault", "left_semi")
     found = causes.join(solves, "fault").select("device", "solution").distinct()
     return found.join(solutions.where(live(F.col("status"))).select("solution"), "solution", "left_semi").join(new.select("solution"), "solution", "left_anti")
 

@@ -595,13 +595,14 @@ def l5_removable(spark, d):
 
 
 @query("""WITH c AS (SELECT DISTINCT l_partkey AS device, l_suppkey AS fault FROM lineitem), s AS (SELECT s_suppkey AS fault, s_nationkey AS solution FROM supplier)
-SELECT DISTINCT device, solution FROM c JOIN s USING (fault) JOIN nation ON n_nationkey = solution WHERE n_regionkey <> 2 AND solution NOT IN (1, 5, 9)""")
+SELECT DISTINCT device, solution FROM c JOIN s USING (fault) JOIN nation ON n_nationkey = solution WHERE n_regionkey <> 2 AND solution NOT IN (1, 5, 9) AND fault % 7 <> 3""")
 def l6_expiring(spark, d):
     causes = table(spark, d, "lineitem").select(F.col("l_partkey").alias("device"), F.col("l_suppkey").alias("fault"))
     solves = table(spark, d, "supplier").select(F.col("s_suppkey").alias("fault"), F.col("s_nationkey").alias("solution"))
     nation = table(spark, d, "nation")
     solutions = nation.select(F.col("n_nationkey").alias("solution"), F.when(F.col("n_regionkey") == 2, "deprecated").alias("status"))
-    return graph.expiring(causes, solves, solutions, nation.where("n_nationkey IN (1, 5, 9)").select(F.col("n_nationkey").alias("solution")))
+    faults = table(spark, d, "supplier").select(F.col("s_suppkey").alias("fault"), F.when(F.col("s_suppkey") % 7 == 3, "deprecated").alias("status"))
+    return graph.expiring(causes, solves, solutions, nation.where("n_nationkey IN (1, 5, 9)").select(F.col("n_nationkey").alias("solution")), faults)
 
 
 @query("""WITH v AS (SELECT o_custkey AS solution, ['REPLACE', 'KEEP', 'UNRELATED'][1 + o_orderkey % 3] AS verdict, (o_orderkey % 101) / 101.0::DOUBLE AS confidence FROM orders),
@@ -718,11 +719,28 @@ def a25_compare_fractions(spark, d):
     return evaluation.compare_fractions(rows)
 
 
-@query("""WITH c AS (SELECT doc_id % 20 + 1 AS rank, doc_id, toxic = 0 AS ok FROM labels), r AS (SELECT CASE WHEN rank <= 6 THEN rank END AS rank FROM c WHERE ok)
-SELECT count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS hit_1, round(avg((coalesce(rank, 99) <= 3)::INT), 6) AS hit_3, round(avg((coalesce(rank, 99) <= 5)::INT), 6) AS hit_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM r""")
+@query("""WITH c AS (SELECT doc_id % 20 + 1 AS rank, doc_id FROM labels WHERE toxic = 0 AND doc_id % 13 <> 0), r AS (SELECT CASE WHEN rank <= 6 THEN rank END AS rank, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 5) / 4.0::DOUBLE END AS ir, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 3) / 2.0::DOUBLE END AS ip FROM c)
+SELECT count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS hit_1, round(avg((coalesce(rank, 99) <= 3)::INT), 6) AS hit_3, round(avg((coalesce(rank, 99) <= 5)::INT), 6) AS hit_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr,
+  round(coalesce(avg(ir), 0), 6) AS image_recall, round(coalesce(avg(ip), 0), 6) AS image_precision FROM r""")
 def a15_hit_summary(spark, d):
-    rank = F.col("doc_id") % 20 + 1
-    return evaluation.hit_summary(table(spark, d, "labels").select((F.col("toxic") == 0).alias("answerable"), F.when(rank <= 6, rank).alias("rank")))
+    key = F.col("doc_id")
+    rank, even = key % 20 + 1, key % 2 == 0
+    return evaluation.hit_summary(table(spark, d, "labels").select(
+        (F.col("toxic") == 0).alias("answerable"), F.when(key % 13 == 0, True).alias("skipped"), F.when(rank <= 6, rank).alias("rank"), F.when(even, key % 5 / 4).alias("image_recall"), F.when(even, key % 3 / 2).alias("image_precision")))
+
+
+@query("""SELECT l_orderkey AS "case", round(coalesce(sum(CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE l_quantity END) FILTER (l_returnflag = 'A'), 0) / sum(CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE l_quantity END), 6) AS coverage FROM lineitem GROUP BY 1""")
+def a17_nugget_coverage(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity")).alias("weight"), (F.col("l_returnflag") == "A").alias("covered"))
+    return evaluation.nugget_coverage(rows)
+
+
+@query("""SELECT p_partkey AS record, s_suppkey AS document, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE s_name END AS device_type, CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE 'nation ' || s_nationkey END AS tags FROM part JOIN supplier ON s_suppkey = p_partkey % 100""")
+def l8_backfill_scope(spark, d):
+    key = F.col("p_partkey")
+    records = table(spark, d, "part").select(key.alias("record"), (key % 100).alias("document"), F.when(key % 3 == 0, F.col("p_brand")).otherwise(" ").alias("device_type"), F.when(key % 4 == 0, F.col("p_type")).alias("tags"))
+    documents = table(spark, d, "supplier").select(F.col("s_suppkey").alias("document"), F.col("s_name").alias("device_type"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("tags"))
+    return corpus.backfill_scope(records.join(documents.select("document"), "document", "left_semi"), documents, ["device_type", "tags"])
 
 
 @query("""WITH x AS (SELECT doc_id AS "case", CASE WHEN doc_id % 10 > 1 THEN doc_id % 10 END AS b, CASE WHEN doc_id % 7 > 1 THEN doc_id % 7 END AS c FROM labels)

@@ -28,11 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, HELD = 200_000, 8_000_000
+from .common import give_back
+
+CACHE, HELD = 100_000, 4_000_000
 #: Longest piece, in bytes, that shares a queue.
 SHORT = 64
 #: Characters of texts that are encoded together.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -343,6 +345,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="
                     data, cuts = own.decode_all(ids, offsets)
                     out.append(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]))
                 yield pa.RecordBatch.from_arrays(out, names)
+        give_back()
 
     schema = f"id {docs.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoded
     return docs.mapInArrow(run, schema)

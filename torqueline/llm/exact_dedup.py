@@ -32,7 +32,8 @@ STATE = "spark.sql.streaming.stateStore"
 SETTINGS = {
     f"{STATE}.unloadOnCommit": "true",
     f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    f"{STATE}.rocksdb.allowFAllocate": "false", f"{STATE}.rocksdb.boundedMemoryUsage": "true", f"{STATE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{STATE}.rocksdb.allowFAllocate": "false", f"{STATE}.rocksdb.boundedMemoryUsage": "true", f"{STATE}.rocksdb.maxMemoryUsageMB": "32",
+    f"{STATE}.rocksdb.writeBufferSizeMB": "4",
 }
 #: Settings that the stream takes over from the caller's session.
 TAKEN = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, stored, workspace
+from .common import FOLD, give_back, remove, stored, workspace
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 SHINGLE = 5
@@ -48,6 +48,8 @@ M1, M2, GOLDEN = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7
 LEVEL, COIN, SIBLING, NEXT, REGISTER = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)
 #: Most small nodes that are broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
+#: Most ids that are broadcast to find the rows that go; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Rows of one leader that go to one task.
 SALTED = 500
 #: Hashes of words kept by a worker.
@@ -184,6 +186,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     for i, row in zip(where, signatures(sets), strict=True):
                         sigs[i] = row.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([ids[start:at], pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["id", "node", "sig"])
+        give_back()
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node binary, sig binary")
 
@@ -213,6 +216,7 @@ def bags(texts: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 256):
                 words = [folded(x.as_py()) for x in batch.column("text")[at : at + 256]]
                 yield pa.RecordBatch.from_arrays([pa.array(map(hash_of, words), pa.binary()), pa.array(map(packed, words), pa.binary())], ["node", "bag"])
+        give_back()
 
     return texts.select("text").mapInArrow(run, "node binary, bag binary").where(F.col("node").isNotNull())
 
@@ -260,6 +264,7 @@ def spread(pairs: DataFrame, threshold: float) -> DataFrame:
                 share, least, tokens = zip(*rows, strict=True)
                 new = [pa.array(share, pa.float64()), pa.array(least, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in ("a", "b", "root", "apart")] + new, ["a", "b", "root", "apart", "share", "least", "tokens"])
+        give_back()
 
     return pairs.mapInArrow(run, "a binary, b binary, root binary, apart boolean, share double, least long, tokens array<long>")
 
@@ -400,28 +405,33 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     copies = graph.signed.groupBy("id", "node").agg(F.count("*").alias("copies"))
     rows = copies.join(of_node, "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     alone = F.col("node").isNull()
-    return rows.select(
+    rows = rows.select(
         "id", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
         (alone | F.col("stays") & F.col("id").eqNullSafe(F.col("class_id")) & (F.col("copy") == 1)).alias("kept"), "node", "root",
     )
+    result = stored(rows, workspace(docs.sparkSession, "near-classes"))
+    remove(docs.sparkSession, graph.folder)
+    return result
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", threshold=0.8) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class and with all its columns: the smallest id, then the smallest text,
     then the smallest other columns. Rows without words all stay."""
     columns = docs.columns
-    found = stored(near_duplicates(docs, id_col, text_col, threshold), workspace(docs.sparkSession, "near-kept"))
-    # An id of one row, the usual case, needs no second look at its text.
+    found = near_duplicates(docs, id_col, text_col, threshold)
+    # An id of one row that stays, the usual case, needs no second look at its text, and its text need not move.
     ids = found.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.max("kept").alias("__any"))
-    rows = docs.join(ids.where("__any"), docs[id_col].eqNullSafe(ids["__id"]))
-    once = rows.where("__n = 1").select(columns)
+    ids = stored(ids.where("__n > 1 OR NOT __any"), workspace(docs.sparkSession, "near-ids"))
+    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    once = docs.join(few(ids.select("__id")), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    rows = docs.join(few(ids.where("__n > 1 AND __any").select("__id")), docs[id_col].eqNullSafe(F.col("__id")))
 
     @F.pandas_udf("binary")
     def node_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: hash_of(folded(text)))
 
-    many = rows.where("__n > 1").withColumn("__own", node_of(F.col(text_col)))
+    many = rows.withColumn("__own", node_of(F.col(text_col)))
     wordless = many.where(F.col("__own").isNull()).select(columns)
     kept = found.where(F.col("kept") & F.col("node").isNotNull()).select(F.col("id").alias("__kid"), F.col("node").alias("__kept"))
     same = F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__own") == F.col("__kept"))

@@ -1,14 +1,15 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns
-of ``docs``. Stages keep null and empty texts, repeated rows and unlabelled rows as their operators define it.
+of ``docs``. Null texts and texts without a letter have no language, so language ID rejects them; exact dedup and near dedup
+keep one row of each class, with rows without words all kept; decontamination keeps rows without a benchmark window.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from torqueline.llm import bpe, decontaminate, exact_dedup, lang_id, near_dedup
-from torqueline.llm.common import stored, workspace
+from torqueline.llm.common import remove, stored, workspace
 from torqueline.llm.queries import digests, fold_of, pattern, table, vocabulary
 
 
@@ -62,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"{folder}/{i}")
+            if i:
+                remove(spark, f"{folder}/{i - 1}")
     return docs

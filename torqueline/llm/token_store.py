@@ -19,6 +19,7 @@ stored under the smallest 64-bit integer; an empty table gives a store without r
 """
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -113,6 +114,7 @@ _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 def tokenizer(path: str, width: int) -> WordTokenizer:
     if (path, width) not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; tasks run beside each other
         _TOKENIZERS[path, width] = WordTokenizer(path, width)
     return _TOKENIZERS[path, width]
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_extract, lang_id, license, near_dedup, secrets, token_store
+from . import bpe, chat, decontaminate, exact_dedup, html_extract, lang_id, license, near_dedup, negatives, secrets, token_store, vector_dedup, whitening
 from .common import workspace
 
 #: Where the vocabulary files of public tokenizers lie, by package; a parameter of each query that reads one.
@@ -114,8 +114,24 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(key.alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=moved, anchors=vec_id % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_secrets, op3_licenses, op4_exact_dedup, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_lang_id, op9_bpe, op10_token_store,
+    op11_embedding_dedup, op12_whitening, op13_hard_negatives,
 )}
 
 CHAT_SQL = r"""
@@ -161,4 +177,40 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_chat_format": CHAT_SQL, "op4_exact_dedup": EXACT_SQL, "op5_decontaminate": LEAK_SQL}
+#: Every pair of vectors with equal labels; components by the smallest id, step by step. No other route to the rows than the definition.
+VECTOR_SQL = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings),
+good AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND list_count(v) = len(v)
+    AND len(list_filter(v, lambda c: NOT isfinite(c))) = 0 AND list_sum(list_transform(v, lambda c: abs(c))) > 0),
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(r, least) AS (
+  SELECT r, vec_id FROM e
+  UNION
+  SELECT l.b, p.least FROM reach p JOIN links l ON l.a = p.r),
+root AS (SELECT r, min(least) AS component_id FROM reach GROUP BY r)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.r) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN root USING (r)
+"""
+
+NEGATIVE_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda c: NOT isfinite(c))) = 0),
+scores AS MATERIALIZED (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM e a JOIN e b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+positive AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id) AS rank
+  FROM positive p JOIN scores n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE_SQL = {"op1_chat_format": CHAT_SQL, "op4_exact_dedup": EXACT_SQL, "op5_decontaminate": LEAK_SQL, "op11_embedding_dedup": VECTOR_SQL, "op13_hard_negatives": NEGATIVE_SQL}

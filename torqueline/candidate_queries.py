@@ -253,7 +253,7 @@ def c12_component_names(spark, d):
     """C12 over part names with chapter numbers and action words around them; a fix point, which a plain version tests."""
     word = pick(["3.1 ", "第二章 ", "拆卸", ""], F.col("p_partkey") % 4)
     end = pick(["的检查", "主要参数", "部件清单", "（左）", "、维修和更换方法"], F.col("p_partkey") % 5)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("part"), candidates.component_names(F.concat(word, han(F.col("p_name")), end)).alias("name"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("part"), candidates.component_name(F.concat(word, han(F.col("p_name")), end)).alias("name"))
 
 
 @query()

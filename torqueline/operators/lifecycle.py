@@ -63,6 +63,30 @@ def memory_index(facts: DataFrame, tier: Column, most=200, others=30) -> DataFra
     return top.withColumn("position", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("tier"), "place"))).drop("n", "place")
 
 
+def consolidations(messages: DataFrame, every=4, least=30) -> DataFrame:
+    """T4: the rounds at which a session is consolidated: each ``every``-th with an answer, if the user has written ``least`` characters
+    since the last one; what was too short goes on. Sums of blocks of rounds are folded, not texts.
+
+    messages: session, round, role, text."""
+    chars = F.when(F.col("role") == "user", F.length(F.coalesce("text", F.lit("")))).otherwise(0)
+    answered = F.max((F.col("role") == "assistant") & (F.col("round") % every == 0))
+    block = F.ceil(F.col("round") / every)
+    blocks = messages.groupBy("session", block.alias("block")).agg(F.sum(chars).alias("chars"), F.count("*").alias("messages"), F.min("round").cast("long").alias("first"), answered.alias("answered"))
+    ordered = blocks.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("block", "chars", "messages", "first", "answered"))).alias("blocks"))
+    long = lambda v: F.lit(v).cast("long")
+    none = F.struct(long(None).alias("first"), long(0).alias("messages"), long(0).alias("chars"))
+    row = F.struct(long(0).alias("round"), long(0).alias("first_round"), long(0).alias("messages"), long(0).alias("chars"))
+
+    def step(acc: Column, b: Column) -> Column:
+        now = F.struct(F.coalesce(acc["open"]["first"], b["first"]).alias("first"), (acc["open"]["messages"] + b["messages"]).alias("messages"), (acc["open"]["chars"] + b["chars"]).alias("chars"))
+        due = b["answered"] & (now["chars"] >= least)
+        out = F.struct((b["block"] * every).alias("round"), now["first"].alias("first_round"), now["messages"].alias("messages"), now["chars"].alias("chars"))
+        return F.struct(F.when(due, none).otherwise(now).alias("open"), F.when(due, F.concat(acc["out"], F.array(out))).otherwise(acc["out"]).alias("out"))
+
+    begin = F.struct(none.alias("open"), F.slice(F.array(row), 1, 0).alias("out"))
+    return ordered.select("session", F.explode(F.aggregate("blocks", begin, step)["out"]).alias("o")).select("session", "o.*")
+
+
 def archive(facts: DataFrame, now: Column) -> DataFrame:
     """L1: active facts of low importance and confidence that were not used for 90 days become archived."""
     idle = F.col("last_used").isNull() | (F.col("last_used") < now - F.expr("INTERVAL 90 DAYS"))

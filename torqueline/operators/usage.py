@@ -23,6 +23,14 @@ def daily_reads(dwelled: DataFrame, at_least=60) -> DataFrame:
     return out.withColumn("counted", F.col("seconds") >= at_least)
 
 
+def progress(dwelled: DataFrame, at_least=60) -> DataFrame:
+    """Each beat with the running seconds of its user, manual and day, and whether it made the day a valid read."""
+    day = F.date_format(F.from_utc_timestamp("ts", "Asia/Shanghai"), "yyyy-MM-dd")
+    so_far = Window.partitionBy("user", "manual", "day").orderBy("ts", "session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dwelled.withColumn("day", day).withColumn("day_seconds", F.sum("seconds").over(so_far))
+    return out.withColumn("counted_now", (F.col("day_seconds") >= at_least) & (F.col("day_seconds") - F.col("seconds") < at_least))
+
+
 def period_keys(ts: Column) -> dict[str, Column]:
     """Day, ISO week and month keys in the business zone."""
     local = F.from_utc_timestamp(ts, "Asia/Shanghai")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .knowledge import substrings
+from .terms import containing
 
 
 def live(status: Column) -> Column:
@@ -111,9 +111,7 @@ def lexical_hits(nodes: DataFrame, terms: DataFrame, top=10) -> DataFrame:
     Terms meet equal substrings of the texts, each text and term once, so neither queries nor nodes pass the driver."""
     asked = terms.where(F.length("term") > 0).distinct()
     n = asked.groupBy("query").agg(F.count("*").alias("n_terms"))
-    longest = asked.agg(F.max(F.length("term"))).first()[0] or 1
-    texts = nodes.select("text").distinct().select("text", F.explode(substrings(F.col("text"), longest)).alias("term"))
-    held = texts.join(asked.select("term").distinct(), "term")
+    held = containing(nodes, "text", asked, "term")
     hits = nodes.select("id", "text").join(held, "text").join(asked, "term").groupBy("query", "id").agg(F.count_distinct("term").alias("hits"))
     order = Window.partitionBy("query").orderBy(F.desc("hits"), "id")
     ranked = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .terms import containing
+
 
 def inventory(manuals: DataFrame, documents: DataFrame, status: str | None = None) -> DataFrame:
     """Manuals with their active document. A status, where given, drops manuals without such a document.
@@ -26,9 +28,8 @@ def match_procedure(devices: DataFrame, procedures: DataFrame) -> DataFrame:
     devices: device, name, level; procedures: procedure, type, level, version, status."""
     usable = procedures.where((F.col("status") == "PUBLISHED") & (F.trim("type") != ""))
     usable = usable.select("procedure", "type", F.col("level").alias("own_level"), "version")
-    longest = usable.agg(F.max(F.length("type"))).first()[0] or 1
     named = devices.where(F.trim("name") != "")
-    names = named.select("name").distinct().select("name", F.explode(substrings(F.col("name"), longest)).alias("type"))
+    names = containing(named, "name", usable, "type").withColumnsRenamed({"text": "name", "term": "type"})
     exact = F.col("level") == F.col("own_level")
     free = F.coalesce(F.trim("own_level"), F.lit("")) == ""
     found = named.join(names.join(usable, "type"), "name").withColumn("exact", F.coalesce(exact, F.lit(False))).where(F.col("exact") | free)

@@ -131,13 +131,6 @@ def test_streams(spark, tmp_path):
     q = jobs.consume_once(stream).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r[0] or "" for r in spark.table("once").select("message_id").collect()) == ["", "", "", "m1", "m2"]
-    first = spark.createDataFrame([(1, "a", "x", "active", 1, "agent_explicit", 1)], WRITE)
-    then = spark.createDataFrame([(1, "a", "y", "active", 2, "agent_explicit", 2), (1, "b", "z", "active", 1, None, 3)], WRITE)
-    merge = jobs.merge_into(f"{tmp_path}/out")
-    merge(first, 0)
-    merge(then, 1)
-    merge(then, 1)  # a batch that runs again changes nothing
-    assert {(r["name"], r["content"]) for r in spark.read.parquet(f"{tmp_path}/out/generation=1").collect()} == {("a", "y"), ("b", "z")}
 
 
 def test_toc_paths(spark):

@@ -134,20 +134,6 @@ def test_candidates_are_fused_first_fit(spark):
     assert sorted((r["place"], tuple(r["members"])) for r in pages.fuse_candidates(df).collect()) == [(0, ("a", "e", "f")), (1, ("b",)), (2, ("c",)), (3, ("g",))]
 
 
-def test_merge_writes_touched_buckets_only(spark, tmp_path):
-    from torqueline.streaming import jobs
-
-    schema = "user long, name string, content string, status string, turn_ts long, source string, arrival long"
-    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
-    merge, path = jobs.merge_into(f"file://{tmp_path}/t"), f"file://{tmp_path}/t"
-    merge(batch((1, "a", "x", "active", 1, "agent_explicit", 1), (None, None, "n", "active", 1, "agent_explicit", 2)), 0)
-    merge(batch((2, "b", "y", "active", 1, "agent_explicit", 3)), 3)  # generations may be left out
-    merge(batch((1, "a", "z", "active", 2, "agent_explicit", 4)), 4)
-    out = jobs.merged(batch((1, "a", "x", "active", 1, "s", 1)), path)
-    assert {(r["user"], r["name"], r["content"]) for r in out.collect()} == {(1, "a", "z"), (None, None, "n"), (2, "b", "y")}
-    assert spark.read.parquet(f"{path}/generation=4").count() == 1
-
-
 def test_store_partitions(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     spark.createDataFrame([("d1", 1, "x"), ("d1", 2, "y"), ("d2", 3, "z")], "document_id string, doc_id int, t string").write.partitionBy("document_id").parquet(path)
@@ -170,6 +156,10 @@ def test_reads_by_week_and_month(spark, tmp_path):
         q = jobs.period_counts(stream, kind).writeStream.format("memory").queryName(f"by_{kind}").outputMode("complete").trigger(availableNow=True).start()
         q.awaitTermination()
         assert {tuple(r) for r in spark.table(f"by_{kind}").collect()} == want
+    stream = spark.readStream.schema("ts timestamp, manual int").parquet(f"file://{tmp_path}/in")
+    q = jobs.daily_counts(stream).writeStream.format("memory").queryName("by_day").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["manual"], str(r["start"])[:10], r["reads"]) for r in spark.table("by_day").collect()} == {(1, "2025-12-30", 1), (1, "2025-12-31", 1), (2, "2026-01-03", 1)}
 
 
 def test_results_with_a_summary(spark, tmp_path):

@@ -1,13 +1,12 @@
-"""Streams: idempotent consumption, reading windows and merges by micro-batch."""
+"""Streams: idempotent consumption and counts by period."""
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..operators import lifecycle, usage
+from ..operators import usage
 
 
 def consume_once(messages: DataFrame, key="message_id", ts="ts", keep="7 days") -> DataFrame:
@@ -28,60 +27,28 @@ def answer_messages(messages: DataFrame, handle: Callable[[DataFrame], DataFrame
     return consume_once(messages, key, ts).writeStream.foreachBatch(run)
 
 
-def sessions(beats: DataFrame, gap="5 minutes") -> DataFrame:
-    """Reading sessions by event time: number of beats of each user, manual and session."""
-    return beats.withWatermark("ts", gap).groupBy(F.session_window("ts", gap).alias("w"), "user", "manual").agg(F.count("*").alias("beats")).select("user", "manual", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats")
-
-
 def period_counts(reads: DataFrame, kind: str, late="1 day") -> DataFrame:
     """Reads by manual and business day, ISO week or month (UTC+8), by the keys of the popularity lists."""
     rows = reads.withWatermark("ts", late)
     return rows.groupBy(usage.period_keys(F.col("ts"))[kind].alias("period"), "manual").agg(F.count("*").alias("reads"))
 
 
-def daily_counts(reads: DataFrame, late="1 day") -> DataFrame:
-    """Reads by manual and business day (UTC+8)."""
-    day = F.window("ts", "1 day", startTime="16 hours").alias("w")
-    return reads.withWatermark("ts", late).groupBy(day, "manual").agg(F.count("*").alias("reads")).select("manual", F.col("w.start").alias("start"), "reads")
+def count_writer(counts: DataFrame, out: str) -> DataStreamWriter:
+    """A writer of the counts that each batch has changed; a batch that runs again replaces its own."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    return counts.writeStream.outputMode("update").foreachBatch(run)
 
-def merge_into(path: str, buckets=64) -> Callable[[DataFrame, int], None]:
-    """T5: a ``foreachBatch`` function that arbitrates each batch with the table at ``path``, one write per user and name (null ones
-    too). Keys are dealt into buckets and a batch writes a new generation of those it touches, no others.
 
-    A batch that runs again reads the generations before it and replaces its own."""
+def latest_counts(spark: SparkSession, out: str, counts: DataFrame) -> DataFrame:
+    """The counts as they are now; a count only grows, so the largest is the newest."""
+    keys = [c for c in counts.columns if c != "reads"]
+    return spark.read.schema(counts.schema).parquet(f"{out}/batch=*").groupBy(*keys).agg(F.max("reads").alias("reads"))
 
-    def run(batch: DataFrame, number: int) -> None:
-        bucket = F.pmod(F.xxhash64("user", "name"), F.lit(buckets)).cast("int")
-        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
-        both = batch.withColumn("bucket", bucket)
-        before = merged(batch, path, number)
-        if before is not None:
-            both = before.where(F.col("bucket").isin(touched)).unionByName(both)
-        won = lifecycle.arbitrate(both).select(*[F.col(c).alias(f"w_{c}") for c in ("user", "name", "arrival")])
-        same = F.col("user").eqNullSafe(F.col("w_user")) & F.col("name").eqNullSafe(F.col("w_name")) & F.col("arrival").eqNullSafe(F.col("w_arrival"))
-        both.join(won, same, "left_semi").dropDuplicates(["user", "name", "arrival"]).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/generation={number}")
-
-    return run
-
-
-def merged(like: DataFrame, path: str, before: int | None = None) -> DataFrame | None:
-    """The rows of the table at ``path``, of each bucket its newest generation (below ``before`` where given); None without a table."""
-    spark = like.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    rows = spark.read.schema(StructType(like.schema.fields + [StructField("generation", IntegerType()), StructField("bucket", IntegerType())])).parquet(path)
-    if before is not None:
-        rows = rows.where(F.col("generation") < before)
-    newest = rows.groupBy("bucket").agg(F.max("generation").alias("generation"))  # a row per bucket
-    return rows.join(F.broadcast(newest), ["bucket", "generation"]).drop("generation")
-
-
-def consolidation_due(messages: DataFrame, every=4, least=30) -> DataFrame:
-    """T4: rounds at which a session is consolidated: each ``every`` rounds, if the user's text since is long enough.
-
-    messages: session, round, role, text."""
-    block = F.floor((F.col("round")) / every).alias("block")
-    out = messages.groupBy("session", block).agg(F.max("round").alias("round"), F.count_distinct("round").alias("rounds"), F.sum(F.when(F.col("role") == "user", F.length("text")).otherwise(0)).alias("chars"))
-    return out.where((F.col("rounds") == every) & (F.col("chars") >= least)).select("session", "round", "chars")
+
+def daily_counts(reads: DataFrame, late="1 day") -> DataFrame:
+    """Reads by manual and business day (UTC+8)."""
+    day = F.window("ts", "1 day", startTime="16 hours").alias("w")
+    return reads.withWatermark("ts", late).groupBy(day, "manual").agg(F.count("*").alias("reads")).select("manual", F.col("w.start").alias("start"), "reads")

@@ -2,6 +2,7 @@
 
 Their sessions need ``SETTINGS``, as Spark keeps such state in RocksDB alone; ``session_of`` makes one."""
 
+import itertools
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 
@@ -110,11 +111,12 @@ class Rounds(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
         first, messages, chars = self.pending.get() if self.pending.exists() else (None, 0, 0)
-        for r in sorted(rows, key=lambda r: (r["round"], r["place"])):
-            first = r["round"] if first is None else min(first, r["round"])
-            messages, chars = messages + 1, chars + r["chars"]
-            if r["answer"] and r["round"] % self.every == 0 and chars >= self.least:
-                yield Row(session=key[0], round=r["round"], first_round=first, messages=messages, chars=chars)
+        for number, group in itertools.groupby(sorted(rows, key=lambda r: r["round"]), lambda r: r["round"]):
+            said = list(group)
+            first = number if first is None else min(first, number)
+            messages, chars = messages + len(said), chars + sum(r["chars"] for r in said)
+            if number % self.every == 0 and chars >= self.least and any(r["answer"] for r in said):
+                yield Row(session=key[0], round=number, first_round=first, messages=messages, chars=chars)
                 first, messages, chars = None, 0, 0
         if messages:
             self.pending.update((first, messages, chars))
@@ -126,8 +128,8 @@ def consolidation_triggers(messages: DataFrame, every=4, least=30) -> DataFrame:
     """T4: a row whenever the answer of an ``every``-th round comes in and the user has written ``least`` characters since the last
     such row; what is too short is kept for the next time, and so are rounds that failed before.
 
-    messages: session, round, place (order within a round), role, text; those of a session come in the order of its rounds."""
+    messages: session, round, role, text; those of a session come in the order of its rounds."""
     chars = F.when(F.col("role") == "user", F.length(F.coalesce("text", F.lit("")))).otherwise(0).cast("long")
-    rows = messages.select("session", F.col("round").cast("long").alias("round"), F.col("place").cast("long").alias("place"), (F.col("role") == "assistant").alias("answer"), chars.alias("chars"))
+    rows = messages.select("session", F.col("round").cast("long").alias("round"), (F.col("role") == "assistant").alias("answer"), chars.alias("chars"))
     out = StructType([StructField("session", rows.schema["session"].dataType), *[StructField(c, LongType()) for c in ("round", "first_round", "messages", "chars")]])
     return rows.groupBy("session").transformWithState(Rounds(every, least), out, "Append", "None")

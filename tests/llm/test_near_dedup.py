@@ -1,11 +1,9 @@
 """The rule that leaves pairs out, against all pairs."""
 
-import math
-from collections import Counter
-
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from torqueline.llm import near_dedup as nd
 
@@ -26,29 +24,69 @@ def copies(draw):
     return [bag(base)] + [bag(m) for m in made if m]
 
 
-@settings(max_examples=300, deadline=None)
-@given(copies())
-def test_no_link_is_left_out(bags):
-    """The rule of ``Graph.possible`` over the rows of ``differences``, each member in a component of its own."""
+def differing(bags, group):
+    """Rows of ``spread`` of one leader, each member in a component of its own or, if linked to it, in the leader's."""
     leader, *members = bags
-    one = nd.occurrences(leader)
-    rows = []
-    for member in members:
+    one, rows = nd.occurrences(leader), []
+    for i, member in enumerate(members):
         near = nd.overlap(leader, member) >= THRESHOLD
-        rows.append((near, *nd.differences(one, nd.occurrences(member), not near, C)))
-    df = Counter(t for row in rows for t in row[3].tolist())
-    firsts = []
-    for _, _, least, tokens in rows:
-        own = sorted((df[t], t) for t in tokens.tolist() if df[t] > 1)
-        firsts.append((len(own), {t: at for at, (_, t) in enumerate(own[: max(0, len(own) - least + 1)])}))
-    for i, (near_x, share_x, _, _) in enumerate(rows):
-        for j, (_, share_y, _, _) in enumerate(rows):
-            same = len(members[i][0]) == len(members[j][0]) and all((p == q).all() for p, q in zip(members[i], members[j]))
-            if i == j or near_x or same or nd.overlap(members[i], members[j]) < THRESHOLD:
-                continue
-            need = max(1, math.ceil((share_x + share_y) / 2 - 1e-9))
-            (n_x, x), (n_y, y) = firsts[i], firsts[j]
-            assert any(x[t] + need <= n_x and y[t] + need <= n_y for t in x.keys() & y.keys())
+        share, tokens = nd.differences(one, nd.occurrences(member), C)
+        rows.append((f"{group:05}", f"{group:05}-{i:05}", f"{group:05}" if near else f"{group:05}-{i:05}", not near, float(share), [int(t) for t in tokens]))
+    return rows
+
+
+def graph_of(spark, tmp_path):
+    graph = object.__new__(nd.Graph)
+    graph.spark, graph.folder, graph.threshold, graph.tables = spark, f"file://{tmp_path}/graph", THRESHOLD, 0
+    return graph
+
+
+SPREAD = "a string, b string, root string, apart boolean, share double, tokens array<long>"
+
+
+def test_no_link_is_left_out(spark, tmp_path):
+    """The pairs that are formed hold every link between members of two components, over many groups of copies."""
+    drawn = []
+
+    @settings(max_examples=250, deadline=None, database=None)
+    @given(copies())
+    def collect(bags):
+        drawn.append(bags)
+
+    collect()
+    rows = [r for g, bags in enumerate(drawn) for r in differing(bags, g)]
+    found = {(r["a"], r["b"]) for r in graph_of(spark, tmp_path).sharing(spark.createDataFrame(rows, SPREAD)).collect()}
+    wanted = set()
+    for g, (leader, *members) in enumerate(drawn):
+        apart = [nd.overlap(leader, m) < THRESHOLD for m in members]
+        for i, x in enumerate(members):
+            for j, y in enumerate(members[:i]):
+                same = len(x[0]) == len(y[0]) and all((p == q).all() for p, q in zip(x, y))
+                if not same and (apart[i] or apart[j]) and nd.overlap(x, y) >= THRESHOLD:
+                    wanted.add((f"{g:05}-{j:05}", f"{g:05}-{i:05}"))
+    assert wanted <= found and len(wanted) > 30
+
+
+def test_texts_that_share_a_template_form_no_pairs(spark, tmp_path):
+    """64 common words and 10 own ones: members have their leader's own words in common, which are too few to be a link."""
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**62, 56, dtype=np.uint64)
+
+    def text(near=False):
+        own = rng.integers(0, 2**62, 14, dtype=np.uint64)
+        kept = np.concatenate((own[:2], first[2:])) if near else own
+        h = np.sort(np.concatenate((common, kept)))
+        return h, np.ones(len(h), np.int64)
+
+    first = rng.integers(0, 2**62, 14, dtype=np.uint64)
+    leader = (np.sort(np.concatenate((common, first))), np.ones(70, np.int64))
+    for n in (500, 2000):
+        rows = differing([leader, *[text(near=i % 10 == 0) for i in range(n)]], 0)
+        graph = graph_of(spark, tmp_path / str(n))
+        assert graph.sharing(spark.createDataFrame(rows, SPREAD)).count() == 0
+        placed = [t for k in range(1, graph.tables + 1) if "at" in (t := spark.read.parquet(f"{graph.folder}/{k}")).columns]
+        met = placed[0].groupBy("a", "token", "low", "high").agg((F.count_if(F.expr("level = low")) * F.count_if(F.expr("level = high"))).alias("pairs"))
+        assert met.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] == 0  # some are looked at, none meets another
 
 
 def test_occurrences_have_the_similarity_of_the_multisets():

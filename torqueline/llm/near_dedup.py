@@ -17,8 +17,11 @@ x and y differ from L in no common shingle, each shingle stands in one of them a
 similarity of x and L, which is below ``threshold``. With differences Dx and Dy, sizes X and Y and
 c = (1 - threshold) / (1 + threshold), a link needs |Dx| + |Dy| - 2 |Dx and Dy| <= c (X + Y); so it has a common difference
 among the first of both, in any order kept by all. Differences that only one component has cannot be common; of the others,
-the rarest beside L come first, and with n of them only the first n - need + 1 of a member are looked at. Only pairs that meet
-there are compared, so no link between texts that share a bucket is lost and few pairs are formed, however large the group.
+the rarest beside L come first, and with n of them only the first n - need + 1 of a member are looked at. What a member needs
+beside others follows from the least share among them: members are put into levels by their share, and a member is looked at
+once for each level, and not at all where n is below need, as in a group of texts that share a template and nothing else.
+Members of one component do not meet where it has most of those on a difference. Only pairs that meet are compared, so no link
+between texts that share a bucket is lost and few pairs are formed, however large the group.
 
 Rows of a leader with many members are dealt out by salts, each with its own copy of the leader's bag.
 
@@ -39,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLD, give_back, remove, stored, workspace
+from .components import components
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 SHINGLE = 5
@@ -50,6 +54,8 @@ LEVEL, COIN, SIBLING, NEXT, REGISTER = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428
 BROADCAST_NODES = 200_000
 #: Most ids that are broadcast to find the rows that go; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Steps of shares by which members of one leader are told apart, for those linked to it and those that are not.
+LEVELS = 8
 #: Rows of one leader that go to one task.
 SALTED = 500
 #: Hashes of words kept by a worker.
@@ -241,32 +247,36 @@ def occurrences(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.sort(np.where(nth == 0, each, mix(each + nth.astype(U) * GOLDEN)))
 
 
-def differences(leader: np.ndarray, member: np.ndarray, apart: bool, c: float) -> tuple[float, int, np.ndarray]:
-    """The member's share of ``need``, the least need beside any other member, and the elements in which it differs from ``leader``.
-
-    Two members need (share + share) / 2 common differences. The other share is at least ``-c * leader`` beside any member, and
-    above ``c * leader`` beside one that is apart from the leader, which one of the two always is."""
+def differences(leader: np.ndarray, member: np.ndarray, c: float) -> tuple[float, np.ndarray]:
+    """The member's share of ``need``, and the elements in which it differs from ``leader``."""
     found = np.setxor1d(leader, member, assume_unique=True)
-    share = len(found) - c * len(member)
-    return share, max(1, math.ceil((share + (-c if apart else c) * len(leader)) / 2 - 1e-9)), found.view(np.int64)
+    return len(found) - c * len(member), found.view(np.int64)
 
 
 def spread(pairs: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, root, apart, share, least, tokens`` of the pairs (a, b, root, apart, bag_a, bag_b); see ``differences``."""
+    """``a, b, root, apart, share, tokens`` of the pairs (a, b, root, apart, bag_a, bag_b): the elements in which ``b`` differs from its
+    leader ``a``, and its share of ``need``: two members need (share + share) / 2 common differences."""
     c = (1 - threshold) / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                bags = zip(part.column("bag_a"), part.column("bag_b"), part.column("apart"), strict=True)
-                rows = [differences(occurrences(unpacked(x.as_py())), occurrences(unpacked(y.as_py())), f.as_py(), c) for x, y, f in bags]
-                share, least, tokens = zip(*rows, strict=True)
-                new = [pa.array(share, pa.float64()), pa.array(least, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in ("a", "b", "root", "apart")] + new, ["a", "b", "root", "apart", "share", "least", "tokens"])
+                share, tokens = [], []
+                for x, y in zip(part.column("bag_a"), part.column("bag_b"), strict=True):
+                    of, found = differences(occurrences(unpacked(x.as_py())), occurrences(unpacked(y.as_py())), c)
+                    share.append(of)
+                    tokens.append(found)
+                new = [pa.array(share, pa.float64()), pa.array(tokens, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in ("a", "b", "root", "apart")] + new, ["a", "b", "root", "apart", "share", "tokens"])
         give_back()
 
-    return pairs.mapInArrow(run, "a binary, b binary, root binary, apart boolean, share double, least long, tokens array<long>")
+    return pairs.mapInArrow(run, "a binary, b binary, root binary, apart boolean, share double, tokens array<long>")
+
+
+def least_common(share, other):
+    """The common differences that members of these shares need."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil((share + other) / 2 - 1e-9))
 
 
 class Graph:
@@ -318,22 +328,7 @@ class Graph:
         return self.keep(compared(self.with_bags(self.keep(pairs), bags), self.threshold))
 
     def components(self, edges: DataFrame) -> DataFrame:
-        """``node, root`` of all nodes in ``edges`` (a, b), by alternating large and small stars."""
-        edges, before = edges.where("a <> b").select("a", "b"), None
-        while True:
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = self.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-            large = self.keep(large.where("a <> b"))
-            down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            least = self.keep(down.groupBy("a").agg(F.min("b").alias("m")))
-            small = down.join(least, "a")
-            small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-            edges = self.keep(small.where("a <> b").distinct())
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-            if now == before:
-                return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            before = now
+        return components(edges, self.keep)
 
     def roots(self) -> DataFrame:
         """``node, root`` of all nodes that have a link."""
@@ -366,25 +361,58 @@ class Graph:
         rows = self.keep(rows.select("a", "b", "root", (F.col("root") != F.coalesce("ra", "a")).alias("apart")))
         open_leaders = self.keep(rows.groupBy("a").agg(F.max("apart").alias("any"), F.count("*").alias("k")).where("any and k > 1").select("a"))
         rows = self.keep(rows.join(open_leaders, "a", "left_semi"))
-        rows = self.keep(spread(self.with_bags(rows, bags), self.threshold))
+        return self.sharing(self.keep(spread(self.with_bags(rows, bags), self.threshold)))
+
+    def sharing(self, rows: DataFrame) -> DataFrame:
+        """The pairs of members, by ``spread``, that differ from their leader in enough that is common to both."""
         each = rows.select("a", "b", "root", "apart", F.explode("tokens").alias("token"))
         # Differences that members of two components have, one of them apart from the leader.
         shared = each.groupBy("a", "token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("any"))
         shared = self.keep(shared.where("any and lo < hi").select("a", "token", "df"))
         own = each.select("a", "b", "token").join(shared, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
-        own = own.withColumn("n", F.size("own").cast("long")).join(rows.drop("tokens"), ["a", "b"]).where("n >= least")
-        first = F.slice("own", 1, (F.col("n") - F.col("least") + 1).cast("int"))
-        places = self.keep(own.select("a", "b", "root", "apart", "n", "share", F.posexplode(F.transform(first, lambda t: t["token"])).alias("at", "token")))
-        x, y = places.where("apart").alias("x"), places.alias("y")
-        need = F.greatest(F.lit(1), F.ceil((F.col("x.share") + F.col("y.share")) / 2 - 1e-9))
-        met = (
-            (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
-            & (F.col("x.at") + need <= F.col("x.n")) & (F.col("y.at") + need <= F.col("y.n"))
-            & (~F.col("y.apart") | (F.col("x.b") < F.col("y.b")))
-        )
+        own = own.withColumn("n", F.size("own").cast("long")).join(self.keep(self.levelled(rows)), ["a", "b"])
+        return self.meeting(self.keep(placed(own)))
+
+    def levelled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``level``, by share and whether apart, and ``levels`` of their leader, each with its least share."""
+        ends = self.keep(rows.groupBy("a", "apart").agg(F.min("share").alias("lo"), F.max("share").alias("hi")))
+        step = F.floor(LEVELS * (F.col("share") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6))
+        level = F.when(F.col("apart"), LEVELS).otherwise(0) + F.least(step, F.lit(LEVELS - 1)).cast("int")
+        rows = self.keep(rows.drop("tokens").join(ends, ["a", "apart"]).select("a", "b", "root", "apart", "share", level.alias("level")))
+        least = rows.groupBy("a", "level").agg(F.min("share").alias("low"))
+        levels = self.keep(least.groupBy("a").agg(F.collect_list(F.struct("level", "low")).alias("levels")))  # 2 LEVELS at most
+        return rows.join(levels, "a")
+
+    def meeting(self, places: DataFrame) -> DataFrame:
+        """Pairs of ``places`` of two components with enough differences in common after the one on which they meet.
+
+        Of the members that meet on a difference most may be of one component; those do not meet each other."""
+        spot = ["a", "token", "low", "high"]
+        most = places.groupBy(*spot, "root").agg(F.count("*").alias("k")).groupBy(*spot).agg(F.max_by("root", "k").alias("main"), F.sum("k").alias("k"))
+        places = self.keep(places.join(self.keep(most.where("k > 1").drop("k")), spot).withColumn("own", F.col("root") == F.col("main")))
+        x = places.where("level = low").withColumn("with_own", F.explode(F.when(F.col("own"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).alias("x")
+        y = places.where("level = high").alias("y")
+        need = least_common(F.col("x.share"), F.col("y.share"))
+        met = F.col("x.with_own") == F.col("y.own")
+        for c in spot:
+            met = met & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+        met = met & (F.col("x.root") != F.col("y.root")) & (F.col("x.at") + need <= F.col("x.n")) & (F.col("y.at") + need <= F.col("y.n"))
+        met = met & ((F.col("x.low") < F.col("x.high")) | (F.col("x.b") < F.col("y.b")))
         return ordered(x.join(y, met).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")))
 
 
+def placed(own: DataFrame) -> DataFrame:
+    """Where each member is looked at: on the first of its differences, for each level of a partner that it has enough of them for.
+
+    own: a, b, root, apart, share, level, levels, n, own (differences, the rarest first)."""
+    apart = lambda level: level >= LEVELS
+    partners = F.filter("levels", lambda p: apart(F.col("level")) | apart(p["level"]))
+    rows = own.withColumn("p", F.explode(partners)).withColumn("least", least_common(F.col("share"), F.col("p.low"))).where("n >= least")
+    first = F.slice("own", 1, (F.col("n") - F.col("least") + 1).cast("int"))
+    low, high = F.least("level", "p.level").alias("low"), F.greatest("level", "p.level").alias("high")
+    return rows.select("a", "b", "root", "level", low, high, "n", "share", F.posexplode(F.transform(first, lambda t: t["token"])).alias("at", "token"))
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

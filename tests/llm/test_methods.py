@@ -173,3 +173,20 @@ def test_shards_follow_the_bytes(spark):
     rows = token_store.read(token_store.lookup(docs, folder, "doc_id"), folder).collect()
     assert len(rows) == 300 and len({hashlib.md5(r["ids"]).digest() for r in rows}) == 1
     assert token_store.HEADER_SIZE == 24
+
+
+def test_a_repeated_call_adds_nothing(spark, tmp_path, monkeypatch):
+    """The same call again, by its rows or its name, also after it had failed between its entries and the stream."""
+    state, schema = f"file://{tmp_path}/state", "doc_id long, text string"
+    one = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], schema)
+    two = spark.createDataFrame([(4, "a"), (5, "c")], schema)
+    got = lambda df, **how: sorted((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.deduplicate(df, state=state, **how).collect())
+    first = got(one)
+    assert first == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)] == got(one)
+    with monkeypatch.context() as broken:
+        broken.setattr(exact_dedup, "TAKEN", ("no.such.setting",))
+        with pytest.raises(Exception, match="no.such.setting"):
+            got(two, earlier=one, run="second")
+    want = [(4, 4, 3, True), (5, 5, 1, True)]
+    assert got(two, earlier=one, run="second") == want == got(two, earlier=one, run="second")
+    assert got(two.limit(0), run="none") == []

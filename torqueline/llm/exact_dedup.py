@@ -7,7 +7,9 @@ checked by full bytes: its smallest and its largest text, found by digest, are t
 whose texts differ are grouped again by their full texts, so a digest collision never merges two texts.
 
 The state lives in a folder. With a folder of the caller's own, ``deduplicate`` adds its rows to what earlier calls have put
-there, and ``earlier``, the rows of those calls, takes part in the check of full bytes.
+there. Of ``earlier``, the rows of those calls, the texts that the locators of hit digests name take part in the check of full
+bytes; all others were compared with those when they came in. A call that is repeated, by its name or with the same rows,
+changes nothing, wherever it ended before.
 
 Defined cases: null text equals the empty text; of equal texts the row with the largest identifier stays (null ids are
 smallest); of repeated rows with that identifier exactly one stays; an empty table gives an empty result; other columns are
@@ -43,14 +45,19 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def keyed_state(entries: DataFrame, folder: str) -> DataFrame:
-    """Adds ``entries`` (digest, id, n_bytes) to the state in ``folder``; gives ``digest, keep_id, group_size, n_bytes`` of all in it."""
+def keyed_state(entries: DataFrame, folder: str, run: str) -> DataFrame:
+    """Adds the ``entries`` (digest, id, n_bytes) of call ``run`` to the state in ``folder``; gives the updates of their digests over all
+    calls: ``digest, best (id, n_bytes), group_size``.
+
+    What a call has written is not written again, and the stream takes no file twice, so a call can be repeated wherever it
+    ended."""
     spark = entries.sparkSession
-    entries.write.mode("append").parquet(f"{folder}/entries")
+    if not exists(spark, f"{folder}/entries/{run}/_SUCCESS"):
+        entries.write.mode("overwrite").parquet(f"{folder}/entries/{run}")
     own = spark.newSession()  # its settings are no one else's
     for name, value in SETTINGS.items() | {(name, spark.conf.get(name)) for name in TAKEN}:
         own.conf.set(name, value)
-    stream = own.readStream.schema(entries.schema).parquet(f"{folder}/entries")
+    stream = own.readStream.schema(entries.schema).parquet(f"{folder}/entries/*")
     state = stream.groupBy("digest").agg(F.max(F.struct("id", "n_bytes")).alias("best"), F.count("*").alias("group_size"))
 
     def emit(batch: DataFrame, number: int) -> None:
@@ -62,22 +69,20 @@ def keyed_state(entries: DataFrame, folder: str) -> DataFrame:
         .option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    schema = f"digest string, best {entries.select(F.struct('id', 'n_bytes').alias('s')).schema['s'].dataType.simpleString()}, group_size long, batch int"
-    if not batches(spark, f"{folder}/state"):
-        return spark.createDataFrame([], schema).select("digest", F.col("best.id").alias("keep_id"), "group_size", F.col("best.n_bytes").alias("n_bytes"))
-    updates = spark.read.schema(schema).parquet(f"{folder}/state")
-    # Later updates of a digest count more rows.
-    last = updates.groupBy("digest").agg(F.max(F.struct("group_size", "best")).alias("s"))
-    return last.select("digest", F.col("s.best.id").alias("keep_id"), F.col("s.group_size").alias("group_size"), F.col("s.best.n_bytes").alias("n_bytes"))
+    schema = f"digest string, best {entries.select(F.struct('id', 'n_bytes').alias('s')).schema['s'].dataType.simpleString()}, group_size long"
+    if not exists(spark, f"{folder}/state"):
+        return spark.createDataFrame([], schema)
+    updates = spark.read.schema(schema + ", batch int").parquet(f"{folder}/state").drop("batch")
+    return updates.join(entries.select("digest").distinct(), "digest", "left_semi")
 
 
-def batches(spark, path: str) -> bool:
+def exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", digest: Callable[[Column], Column] = sha256,
-            state: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+            state: str | None = None, earlier: DataFrame | None = None, run: str | None = None) -> DataFrame:
     """One row per distinct (id, text): ``id, digest, keep_id, group_size, n_rows``; ``n_rows`` rows have that id and text."""
     spark = docs.sparkSession
     work = workspace(spark, "exact-dedup")
@@ -88,19 +93,30 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", digest: Callable[
 
     docs = digested(docs)
     entries = stored(docs.select("digest", "id", F.octet_length("text").alias("n_bytes")), f"{work}/entries")
-    kept = stored(keyed_state(entries, state or f"{work}/state"), f"{work}/kept")
-    rows = entries.groupBy("digest", "id").agg(F.count("*").alias("n_rows"))
-    rows = rows.join(kept.drop("n_bytes"), "digest")
+    if run is None:  # a call with the same rows is the same call
+        n, total = entries.agg(F.count("*"), F.sum(F.xxhash64("digest", "id", "n_bytes").cast("decimal(38,0)"))).first()
+        run = f"rows-{n}-{total or 0}"
+    updates = stored(keyed_state(entries, state or f"{work}/state", run), f"{work}/updates")
+    # Later updates of a digest count more rows.
+    last = updates.groupBy("digest").agg(F.max(F.struct("group_size", "best")).alias("s"))
+    kept = stored(last.select("digest", F.col("s.best.id").alias("keep_id"), F.col("s.group_size").alias("group_size")), f"{work}/kept")
+    rows = entries.groupBy("digest", "id").agg(F.count("*").alias("n_rows")).join(kept, "digest")
 
     # Copies meet within their tasks first, so no group is large. Only texts with a hit move: few digests are sent to all tasks.
-    every = docs if earlier is None else docs.unionByName(digested(earlier))
     hits = stored(kept.where("group_size > 1").select(F.xxhash64("digest").alias("hit")).distinct(), f"{work}/hits")
     few = hits.count() <= BROADCAST_HITS
-    shared = every.join(F.broadcast(hits) if few else hits, F.xxhash64("digest") == F.col("hit"), "left_semi")
+    hit = lambda rows: rows.join(F.broadcast(hits) if few else hits, F.xxhash64("digest") == F.col("hit"), "left_semi")
+    every = docs
+    if earlier is not None:  # of the texts before, those that the state has located: they were compared with their copies then
+        located = hit(updates).select(F.col("best.id").alias("at"), F.col("best.n_bytes").alias("bytes")).distinct()
+        texts = earlier.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        every = docs.unionByName(digested(texts.join(located, F.col("id").eqNullSafe(F.col("at")) & (F.octet_length("text") == F.col("bytes")), "left_semi").withColumnsRenamed({"id": id_col, "text": text_col})))
+    shared = hit(every)
     ends = shared.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
     differs = stored(ends.where("low <> high").select("digest"), f"{work}/collisions")
     rows = rows.select("id", "digest", "keep_id", "group_size", "n_rows")
     if not differs.isEmpty():
+        every = docs if earlier is None else docs.unionByName(digested(earlier))
         exact = every.join(differs, "digest", "left_semi").groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         each = docs.join(differs, "digest", "left_semi").groupBy("digest", "text", "id").agg(F.count("*").alias("n_rows"))
         apart = each.join(exact, ["digest", "text"]).select(rows.columns)
@@ -111,9 +127,11 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", digest: Callable[
 
 
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", digest: Callable[[Column], Column] = sha256,
-                state: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
-    """One row per input row: ``id, keep_id, group_size, kept, digest``, over these rows and those that ``state`` has already."""
-    rows = classes(docs, id_col, text_col, digest, state, earlier)
+                state: str | None = None, earlier: DataFrame | None = None, run: str | None = None) -> DataFrame:
+    """One row per input row: ``id, keep_id, group_size, kept, digest``, over these rows and those that ``state`` has already.
+
+    ``run`` names the call, so that repeating it adds nothing; without a name its rows stand for it."""
+    rows = classes(docs, id_col, text_col, digest, state, earlier, run)
     numbered = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return numbered.select("id", "keep_id", "group_size", kept.alias("kept"), "digest")

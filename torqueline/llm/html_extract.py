@@ -1,11 +1,13 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped to lines, one per text block, each with the share of its characters that stand in links and with whether
-it lies in a part that is never article text (head, navigation, header, footer, aside, form, script, style, advert, notice,
-comments). Text lengths are summed over sliding windows of lines; a surge opens and a dive closes a stretch, and the
-stretches between them are kept. ``article`` and ``main`` only move these points: no window crosses their tags, and a stretch
-inside one reaches from its opening to its end tag, so short first and last paragraphs stay with it. The text outside them is
-judged by its own windows. An ``article`` that is a comment by its names is dropped.
+Markup is stripped to lines, one per text block, each with the characters of it that stand in links. Parts that are never article
+text leave no line (head, navigation, header, footer, aside, form, script, style, and by names adverts, notices, comments and the like;
+inside an article only whole names of containers decide, such as ``comments`` or ``ad-slot``, never those of paragraphs, headings,
+figures or phrases, and never one word of a longer name). Text lengths outside links are summed over sliding windows of lines. A window with
+enough text is a surge and opens a stretch, which reaches to both sides until a window without any text, the dive, so short
+paragraphs at its ends stay. Windows do not cross the tags of ``article`` and ``main``; inside those, links count as text, and a
+single article, or one with the text of a surge, surges with its first character. An ``article`` that is a comment by its names
+is dropped.
 
 Defined cases: null or empty html, or html without text outside the dropped parts, gives the empty text; a page cut off
 inside a tag loses that tag only, one cut off inside an element keeps its text (but for script, style, textarea, title and
@@ -16,6 +18,7 @@ empty table gives an empty result; other columns are ignored. Pages are never cu
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -45,6 +48,14 @@ NOT_TEXT = re.compile(
     r"sidebar|side|nav\w*|menu|breadcrumb\w*|header|footer|masthead|comment\w*|respon[sd]\w*|disqus|share|social|related|"
     r"recommend\w*|pagination|pager|widget|toolbar|login|signup|search|complementary|contentinfo|banner|navigation)(?:$|[\s_-])", re.I)
 
+#: Elements that hold text; inside an article their names do not drop them.
+TEXT = "p h1 h2 h3 h4 h5 h6 span a figure figcaption blockquote pre table caption dl dt dd li label".split()
+#: Whole names of containers inside an article that are none of its text; one word of a longer name does not decide there.
+_BOX = r"(?:[_-](?:box|bar|slot|unit|area|banner|list|links?|buttons?|posts?|articles?|form|signup|notice|section|thread|item|body|content|container|wrapper|block|inline|top|bottom|\d+))*"
+INSERTED = re.compile(
+    rf"(?:(?:reader|user|post|article)[_-])?comments?{_BOX}|(?:ads?|advert\w*|sponsor(?:ed)?|promo\w*){_BOX}|"
+    rf"(?:cookies?|consent|newsletter|subscribe|popup|modal|notice|sidebar|share|social|related|breadcrumbs?|menu|nav|navbar|navigation|pagination|pager|login|signup|toolbar|widget){_BOX}", re.I)
+
 #: Single names of an ``article`` that is a comment; its other names say nothing, as pages call articles many things.
 COMMENT = re.compile(r"(?:^|\s)(?:div-)?(?:comment|reply|replie|response)s?(?:[_-](?:\d+|item|body|content|card))?(?:$|\s)", re.I)
 
@@ -125,7 +136,10 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 names = " ".join(a or b or c for a, b, c in NAMED.findall(m[3]))
                 gone, art, link = top()
                 is_article = name in ("article", "main")
-                gone = gone or (name in ASIDE and not (art and name == "header")) or bool(names and NOT_TEXT.search(names)) and not is_article and name not in ("body", "html", *PHRASE) or name in CONTROL or bool(HIDDEN.search(m[3]))
+                gone = gone or (name in ASIDE and not (art and name == "header")) or name in CONTROL or bool(HIDDEN.search(m[3]))
+                if names and not is_article and name not in ("body", "html", *PHRASE):
+                    inserted = name not in TEXT and any(map(INSERTED.fullmatch, names.split()))
+                    gone = gone or bool(inserted if art else NOT_TEXT.search(names))
                 gone = gone or name == "article" and bool(COMMENT.search(names))
                 if is_article and not art and not gone:
                     articles += 1
@@ -142,32 +156,45 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None, width: int = 3, surge: int = 80) -> str:
     """Blocks between surge and dive points, joined by two line feeds.
 
-    ``width``: lines of a window. ``surge``: characters outside links that a window needs to open a stretch."""
+    ``width``: lines of a window. ``surge``: characters outside links that a window needs to open a stretch. A stretch goes on to both
+    sides until a window has no character outside links."""
     lines = lines_of(page or "")
-    weights = [max(0, len(line) - 2 * linked) for line, linked, _ in lines]
-    own: dict[int, int] = {}  # weight of each article
-    for w, (_, _, article) in zip(weights, lines, strict=True):
-        if article:
-            own[article] = own.get(article, 0) + w
-    keep = [False] * len(lines)
-    begin = total = 0
-    for i, w in enumerate(weights):
-        if i and lines[i][2] != lines[i - 1][2]:  # a tag of an article: windows begin anew
-            begin, total = i, 0
-        total += w - (weights[i - width] if i - width >= begin else 0)
-        if total >= surge:  # of the window that ends here
-            for j in range(max(begin, i - width + 1), i + 1):
-                keep[j] = keep[j] or weights[j] > 0
-    surged = {article for k, (_, _, article) in zip(keep, lines, strict=True) if k}
-    for i, (_, _, article) in enumerate(lines):
-        # The tags of an article are its surge and dive: of one with a surge, with the weight of one, or of the page's only one.
-        if article and (article in surged or own[article] >= surge or len(own) == 1):
-            keep[i] = True
+    own: dict[int, int] = {}  # characters of each article
+    for line, _, article in lines:
+        own[article] = own.get(article, 0) + len(line)
+    articles = len(own.keys() - {0})
+    keep: list[bool] = []
+    while len(keep) < len(lines):
+        article = lines[len(keep)][2]
+        part = list(itertools.takewhile(lambda x: x[2] == article, lines[len(keep) :]))
+        # Links inside an article are part of its text, and the page's only article needs no more than a character to surge.
+        weights = [len(line) if article else max(0, len(line) - 2 * linked) for line, linked, _ in part]
+        keep += between(weights, width, 1 if article and (articles == 1 or own[article] >= surge) else surge)
     if not any(keep):  # a page without any surge is one short stretch
-        keep = [w > 0 for w in weights]
+        keep = [len(line) > 2 * linked for line, linked, _ in lines]
     return "\n\n".join(line for (line, _, _), k in zip(lines, keep, strict=True) if k)
 
 
+def between(weights: list[int], width: int, surge: int) -> list[bool]:
+    """Which of the lines lie in a stretch, from its first to its last line with weight."""
+    sums = [sum(weights[i : i + width]) for i in range(max(1, len(weights) - width + 1))]  # of the window that begins at a line
+    keep = [False] * len(weights)
+    i = 0
+    while i < len(sums):
+        if sums[i] < surge:
+            i += 1
+            continue
+        first = last = i
+        while first and sums[first - 1] > 0:
+            first -= 1
+        while last + 1 < len(sums) and sums[last + 1] > 0:
+            last += 1
+        inside = [j for j in range(first, min(last + width, len(weights))) if weights[j] > 0]
+        keep[inside[0] : inside[-1] + 1] = [True] * (inside[-1] + 1 - inside[0])
+        i = last + 1
+    return keep
+
+
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """One row per input row: ``id, url, text``."""
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

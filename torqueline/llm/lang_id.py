@@ -27,7 +27,7 @@ from .common import remove, stored, workspace
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
-#: Code points that a piece of text holds at most while it is scored, so that long texts need little memory.
+#: Places of a text whose n-grams are scored together, so that long texts need little memory.
 PIECE = 1 << 18
 
 
@@ -57,34 +57,41 @@ def letters_table() -> np.ndarray:
 _LETTERS: list[np.ndarray] = []
 
 
-def ngram_buckets(points: np.ndarray) -> np.ndarray:
-    """Bucket of each n-gram; anything but letters counts as one border sign, and runs of it as one."""
+def signs_of(points: np.ndarray) -> np.ndarray:
+    """The letters of a text and, as one border sign each, what stands between, before and after them."""
     if not _LETTERS:
         _LETTERS.append(letters_table())
     letter = np.where(points < 0x10000, _LETTERS[0][np.minimum(points, 0xFFFF)], True)
     signs = np.where(letter, points, 0)
     signs = signs[(signs != 0) | np.concatenate(([True], signs[:-1] != 0))] if len(signs) else signs
-    signs = np.concatenate(([0], signs, [0])).astype(np.uint32)
+    return np.concatenate(([0], signs, [0])).astype(np.uint32)
+
+
+def ngram_buckets(signs: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """Bucket of each n-gram that begins at one of the first ``starts`` signs."""
     out, h = [], np.zeros(len(signs), np.uint32)
     for k in range(max(ORDERS)):
         if len(signs) <= k:
             break
         h = h[: len(signs) - k] * np.uint32(0x01000193) + (signs[k:] + np.uint32(k)) * np.uint32(0x9E3779B1)
         if k + 1 in ORDERS:
-            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            own = h[:starts]
+            mixed = (own ^ (own >> np.uint32(15))) * np.uint32(0x85EBCA6B)
             out.append((mixed >> np.uint32(17)).astype(np.int32))
     return np.concatenate(out)
 
 
 def pieces(points: np.ndarray) -> Iterator[np.ndarray]:
-    for at in range(0, len(points), PIECE):
-        yield points[at : at + PIECE]
+    """The n-grams of a text, so many places at a time; those across two pieces are in the first."""
+    signs = signs_of(points)
+    for at in range(0, len(signs), PIECE):
+        yield ngram_buckets(signs[at : at + PIECE + max(ORDERS) - 1], PIECE)
 
 
 def histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(BUCKETS, np.int64)
     for part in pieces(points_of(text)):
-        total += np.bincount(ngram_buckets(part), minlength=BUCKETS)
+        total += np.bincount(part, minlength=BUCKETS)
     index = np.flatnonzero(total)
     return index.astype(np.int32), (total[index] / total.sum()).astype(np.float32)
 
@@ -185,8 +192,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def score_text(model: Model, text: str) -> tuple[str, float]:
     total, n = np.zeros(model.scores.shape[1]), 0
-    for part in pieces(points_of(text)):
-        buckets = ngram_buckets(part)
+    for buckets in pieces(points_of(text)):
         n += len(buckets)
         if len(buckets) > 4 * BUCKETS:
             total += np.bincount(buckets, minlength=BUCKETS).astype(np.float32) @ model.scores

@@ -111,13 +111,26 @@ def c26_ledger(spark, d):
     return answers.ledger(rows)
 
 
-@query(ANSWER_SQL + """, e AS (SELECT part - 1 AS part, answer FROM t UNION ALL SELECT part, answer FROM t WHERE part % 3 = 0), c AS (SELECT part, CASE k WHEN 2 THEN [p_size || 'n·m'] WHEN 5 THEN [(p_size + 1) || 'mm'] ELSE [] END AS lits, lower(regexp_replace(answer, '\\s+', '', 'g')) AS a FROM t WHERE k IN (1, 2, 3))
-SELECT c.part, len(lits) AS n_literals, coalesce(bool_or(CASE WHEN len(lits) > 0 THEN contains(lower(regexp_replace(e.answer, '\\s+', '', 'g')), lits[1]) ELSE contains(lower(regexp_replace(e.answer, '\\s+', '', 'g')), a) END), false) AS verified FROM c LEFT JOIN e USING (part) GROUP BY c.part, lits""")
+@query(ANSWER_SQL + """, v AS (SELECT *, [length(answer) - 20.0, p_size - 25.0, 1.0 + part % 7] AS vec, lower(regexp_replace(answer, '\\s+', '', 'g')) AS body FROM t),
+e AS (SELECT part - 1 AS part, vec, body FROM v UNION ALL SELECT part, vec, body FROM v WHERE part % 3 = 0),
+c AS (SELECT part, CASE k WHEN 2 THEN [p_size || 'n·m'] WHEN 5 THEN [(p_size + 1) || 'mm'] ELSE [] END AS lits, vec FROM v WHERE k IN (1, 2, 3)),
+f AS (SELECT c.part, len(lits) AS n_literals, max(CASE WHEN len(lits) > 0 THEN contains(body, lits[1])::INT ELSE list_cosine_similarity(c.vec, e.vec) END) AS best FROM c LEFT JOIN e USING (part) GROUP BY ALL)
+SELECT part, n_literals, CASE WHEN n_literals = 0 THEN round(coalesce(best, 0), 4) END AS similarity, coalesce(best >= CASE WHEN n_literals > 0 THEN 1 ELSE 0.35 END, false) AS verified FROM f""")
 def c19_grounded(spark, d):
-    rows = given(spark, d)
-    claims = rows.where("k IN (1, 2, 3)").select(F.col("part").alias("query"), F.lit(0).alias("claim"), F.col("answer").alias("text"))
-    evidence = rows.select((F.col("part") - 1).alias("query"), F.col("answer").alias("text")).unionByName(rows.where("part % 3 = 0").select(F.col("part").alias("query"), F.col("answer").alias("text")))
-    return answers.grounded(claims, evidence).select(F.col("query").alias("part"), "n_literals", "verified")
+    vec = F.array((F.length("answer") - 20).cast("double"), (F.col("p_size") - 25).cast("double"), (F.col("part") % 7 + 1).cast("double"))
+    rows = given(spark, d).withColumn("vec", vec)
+    claims = rows.where("k IN (1, 2, 3)").select(F.col("part").alias("query"), F.lit(0).alias("claim"), F.col("answer").alias("text"), "vec")
+    evidence = rows.select((F.col("part") - 1).alias("query"), F.col("answer").alias("text"), "vec").unionByName(rows.where("part % 3 = 0").select(F.col("part").alias("query"), F.col("answer").alias("text"), "vec"))
+    return answers.grounded(claims, evidence).select(F.col("query").alias("part"), "n_literals", "similarity", "verified")
+
+
+@query("""WITH x AS (SELECT vec_id // 10 AS query, vec_id % 10 AS i, embedding::DOUBLE[] AS v FROM embeddings),
+f AS (SELECT a.query, a.i AS claim, max(list_cosine_similarity(a.v, b.v)) AS best FROM x a LEFT JOIN x b ON a.query = b.query AND b.i >= 5 WHERE a.i < 5 GROUP BY ALL)
+SELECT query, claim, round(coalesce(best, 0), 4) AS similarity, coalesce(best, 0) >= 0.1 AS verified FROM f""")
+def c19_semantic(spark, d):
+    """C19's vectors: half of each ten are claims of a query, the others its evidence; its vectors are random, hence the lower threshold."""
+    x = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("query"), (F.col("vec_id") % 10).alias("claim"), F.lit("无数").alias("text"), F.col("embedding").alias("vec"))
+    return answers.grounded(x.where("claim < 5"), x.where("claim >= 5"), least=0.1).select("query", "claim", "similarity", "verified")
 
 
 @query("""WITH a AS (SELECT p_partkey AS part, ['怎么拆卸皮带', '皮带是什么', '电池更换步骤'][1 + p_partkey % 3] AS q, ['皮带和齿轮', '检查电池，断开负极，防止短路，注意绝缘', '加注机油', '停机断电后装防护罩，检查皮带', '高压电缆'][1 + p_size % 5] AS a FROM part)

@@ -1,5 +1,7 @@
 """Answers and their evidence: facts, phrases, order, pictures, keys, claims, warnings and frozen cases."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,16 +243,40 @@ def literals(claim: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(all_of(claim, MEASUREMENT), all_of(claim, MODEL), words), squeezed))
 
 
-def grounded(claims: DataFrame, evidence: DataFrame, similarity: Column | None = None, least=0.35) -> DataFrame:
-    """Whether some evidence of a claim's query holds all its literals, or, for a claim without any, stands near enough.
+def grounded(claims: DataFrame, evidence: DataFrame, least=0.35) -> DataFrame:
+    """``query, claim, n_literals, unmatched, similarity, verified``: a claim with literals is verified if evidence of its query
+    holds each of them, one without if its vector is as near as ``least`` to one of the evidence, by cosine.
 
-    claims: query, claim, text; evidence: query, text; ``similarity`` compares ``c_text`` with ``text`` where given."""
-    rows = claims.select("query", "claim", literals(F.col("text")).alias("literals"), F.col("text").alias("c_text"))
+    ``similarity`` is the largest cosine of a claim without literals, 0 without evidence, with four decimals; vectors that are null
+    or zero have none. claims: query, claim, text, vec; evidence: query, text, vec; of one query there are few of both."""
     squeezed = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
-    near = (similarity >= least) if similarity is not None else F.contains(squeezed, F.lower(F.regexp_replace("c_text", r"\s+", "")))
-    held = F.when(F.size("literals") > 0, F.forall("literals", lambda x: F.contains(squeezed, x))).otherwise(near)
-    found = rows.join(evidence, "query").where(held).select("query", "claim").distinct().withColumn("verified", F.lit(True))
-    return rows.join(found, ["query", "claim"], "left").select("query", "claim", F.size("literals").cast("long").alias("n_literals"), F.coalesce("verified", F.lit(False)).alias("verified"))
+    rows = claims.select("query", "claim", literals(F.col("text")).alias("literals"), "vec")
+    wanted = rows.select("query", "claim", F.explode("literals").alias("literal"))
+    texts = evidence.select("query", squeezed.alias("body"))
+    held = wanted.select("query", "literal").distinct().join(texts, "query").where(F.contains("body", F.col("literal"))).select("query", "literal").distinct()
+    missing = wanted.join(held, ["query", "literal"], "left_anti").groupBy("query", "claim").agg(F.array_sort(F.collect_list("literal")).alias("unmatched"))
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    vectors = lambda df, *keys: df.where(F.col("vec").isNotNull()).select(*keys, F.col("vec").cast("array<double>").alias("vec"))
+    near = vectors(rows.where(F.size("literals") == 0), "query", "claim").groupBy("query").cogroup(vectors(evidence, "query").groupBy("query")).applyInArrow(
+        nearest_evidence, f"query {kind('query')}, claim {kind('claim')}, similarity double")
+    out = rows.drop("vec").join(missing, ["query", "claim"], "left").join(near, ["query", "claim"], "left")
+    n = F.size("literals")
+    similarity = F.when(n == 0, F.coalesce("similarity", F.lit(0.0)))
+    verified = F.when(n > 0, F.col("unmatched").isNull()).otherwise(F.coalesce(F.col("similarity") >= least, F.lit(False)))
+    return out.select("query", "claim", n.cast("long").alias("n_literals"), F.coalesce("unmatched", F.array().cast("array<string>")).alias("unmatched"), F.round(similarity, 4).alias("similarity"), verified.alias("verified"))
+
+
+def nearest_evidence(claims: pa.Table, evidence: pa.Table) -> pa.Table:
+    """The largest cosine of each claim of a query with its evidence, by one matrix product for each length of vectors."""
+    best = np.full(len(claims), np.nan)
+    sides = [{n: [i for i, v in enumerate(t["vec"].to_pylist()) if len(v) == n] for n in {len(v) for v in t["vec"].to_pylist()}} for t in (claims, evidence)]
+    for n in sides[0].keys() & sides[1].keys() - {0}:
+        a, b = (np.array(t["vec"].take(side[n]).to_pylist(), float) for t, side in zip((claims, evidence), sides, strict=True))
+        with np.errstate(invalid="ignore"):  # a claim of zeros has no cosine
+            a, b = (m / np.sqrt((m * m).sum(1, keepdims=True)) for m in (a, b[(b != 0).any(1)]))
+        if len(b):
+            best[sides[0][n]] = (a @ b.T).max(1)
+    return pa.table([claims["query"], claims["claim"], pa.array(best, from_pandas=True)], ["query", "claim", "similarity"])
 
 
 def danger_audit(query: Column, answer: Column, most=2) -> Column:

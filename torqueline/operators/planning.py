@@ -22,6 +22,8 @@ INTENTS = (
     ("diagnosis", ("故障", "原因", "过热", "异响", "漏油", "启动不了", "报警", "异常", "怎么回事", "排除"), {"semantic": 0.04, "keyword": 0.07}),
     ("general", (), {"semantic": 0.03, "keyword": 0.06}),
 )
+#: Requests for an answer without images.
+NO_IMAGES = ("不需要图片", "不要图片", "无需图片", "不用图片", "别返回图片", "不要返回图片", "不要返回任何图片", "不需要图", "不要图", "无需图", "不用图", "不需要配图", "不要配图", "无需配图", "不用配图", "别配图")
 #: The plans of an explicit chunk type.
 BY_TYPE = {
     "table": ("parameter", {"table": 0.18, "table_keyword": 0.12, "keyword": 0.08}), "image": ("image_identification", {"image_vector": 0.18}),
@@ -40,7 +42,7 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 def plan(query: Column, chunk_type: Column | None = None, images: Column | None = None) -> Column:
     """C17: (intent, routes as (route, weight) in order, strict) of a question: by an explicit chunk type, else by the first intent
-    with a hint, uploaded images first."""
+    with a hint, uploaded images first. A question that asks for no images has no hint at one."""
     def made(intent: str, routes: dict[str, float]) -> Column:
         pairs = F.array(*[F.struct(F.lit(r).alias("route"), F.lit(w).alias("weight")) for r, w in routes.items()])
         return F.struct(F.lit(intent).alias("intent"), pairs.alias("routes"), F.lit(intent != "general").alias("strict"))
@@ -54,6 +56,8 @@ def plan(query: Column, chunk_type: Column | None = None, images: Column | None
     out = F.when(kind != "", out)
     for n, (intent, hints, routes) in enumerate(INTENTS[:-1]):
         found = has_any(text, hints)
+        if n == 0:
+            found = found & ~has_any(F.regexp_replace(text, r"\s+", ""), NO_IMAGES)
         out = out.when(found | F.coalesce(images, F.lit(False)) if n == 0 and images is not None else found, made(intent, routes))
     return out.otherwise(made("general", INTENTS[-1][2]))
 

@@ -79,6 +79,44 @@ def merge_routes(lists: DataFrame) -> DataFrame:
     return merged.select("query", "doc", F.array_join("routes", ",").alias("routes"), F.col("b.relevance").alias("relevance"), F.col("b.route").alias("best_route"))
 
 
+def canonical_id(doc: Column, metadata: Column) -> Column:
+    """What a hit stands for: its source chunk, its source image, the image that it sums up, or itself."""
+    named = lambda key: F.nullif(F.coalesce(metadata[key], F.lit("")), F.lit(""))
+    summed = F.when(metadata["chunk_type"] == "image_summary", F.replace(doc, F.lit(":ims:"), F.lit(":img:")))
+    return F.coalesce(named("source_chunk_id"), named("source_image_id"), summed, doc)
+
+
+def merge_candidates(candidates: DataFrame) -> DataFrame:
+    """One row per query and canonical id, in the order in which ids first come up: ``query, doc, place, routes, relevance, metadata,
+    variants``.
+
+    A query's candidates of one id are folded in their order: routes and variants are united; metadata take on each later value that is
+    not empty, and those of a candidate with a higher score than all before it stand in the place of what was there.
+    candidates: query, seq, doc, routes (array), relevance, metadata (map of strings), variants (array)."""
+    none = F.array().cast("array<string>")
+    empty = F.create_map().cast("map<string,string>")
+    rows = candidates.select(
+        "query", canonical_id(F.col("doc"), F.coalesce("metadata", empty)).alias("doc"), "seq", F.coalesce("routes", none).alias("routes"), F.coalesce("relevance", F.lit(0.0)).alias("relevance"),
+        F.coalesce("metadata", empty).alias("metadata"), F.coalesce("variants", none).alias("variants"))
+    fields = ("routes", "relevance", "metadata", "variants")
+    each = rows.groupBy("query", "doc").agg(F.sort_array(F.collect_list(F.struct("seq", F.struct("routes", "relevance", "variants").alias("s"), F.map_entries("metadata").alias("m")))).alias("c"))
+    item = lambda c: F.struct(c["s"]["routes"].alias("routes"), c["s"]["relevance"].alias("relevance"), F.map_from_entries(c["m"]).alias("metadata"), c["s"]["variants"].alias("variants"))
+
+    def overlay(acc: Column, c: Column) -> Column:
+        new = item(c)
+        better = new["relevance"] > acc["relevance"]
+        laid = F.map_filter(F.map_zip_with(acc["metadata"], new["metadata"], lambda k, a, b: F.coalesce(F.nullif(b, F.lit("")), a)), lambda k, v: v.isNotNull())
+        return F.struct(
+            F.array_sort(F.array_union(acc["routes"], new["routes"])).alias("routes"), F.greatest(acc["relevance"], new["relevance"]).alias("relevance"),
+            F.when(better, new["metadata"]).otherwise(laid).alias("metadata"), F.array_union(acc["variants"], new["variants"]).alias("variants"))
+
+    first = F.element_at("c", 1)
+    folded = F.aggregate(F.slice("c", 2, F.size("c")), item(first), overlay)
+    out = each.select("query", "doc", first["seq"].alias("seq"), folded.alias("f"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("seq"))
+    return out.select("query", "doc", place.alias("place"), *[F.col("f")[x].alias(x) for x in fields])
+
+
 def diversify(ranked: DataFrame, k=5, floor=0.45, slack=0.25) -> DataFrame:
     """The first of each type above max(floor, best - slack), then the rest by score. ranked: query, doc, type, relevance."""
     by_score = Window.partitionBy("query").orderBy(F.desc("relevance"), "doc")

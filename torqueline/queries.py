@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import corpus, evaluation, graph, knowledge, lifecycle, retrieval, usage
+from .sources import cache, scratch
 from .sources.tables import table
 
 QUERIES: dict = {}
@@ -71,6 +72,28 @@ def u1_merge_routes(spark, d):
     return retrieval.merge_routes(routes(spark, d)).withColumn("relevance", F.round("relevance", 6))
 
 
+@query("""WITH c AS (SELECT l_orderkey AS query, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey % 100 AS seq, 'd' || l_linenumber % 2 || ':ims:' || l_linenumber % 2 AS doc, l_returnflag AS route, l_quantity AS relevance,
+  CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 's' || l_suppkey END AS note, CASE WHEN l_partkey % 2 = 0 THEN 'p' || l_partkey END AS part, 'v' || l_partkey % 3 AS variant FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey % 100) AS same FROM lineitem) WHERE same = 1),
+r AS (SELECT *, relevance > max(relevance) OVER (PARTITION BY query, doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS better FROM c),
+g AS (SELECT *, sum(CASE WHEN better THEN 1 ELSE 0 END) OVER (PARTITION BY query, doc ORDER BY seq) AS run FROM r),
+l AS (SELECT *, run = max(run) OVER (PARTITION BY query, doc) AS last FROM g),
+m AS (SELECT query, doc, min(seq) AS seq, string_agg(DISTINCT route, ',' ORDER BY route) AS routes, max(relevance) AS relevance,
+  coalesce(arg_max(note, seq) FILTER (last AND note <> ''), arg_min(note, seq) FILTER (last)) AS note, arg_max(part, seq) FILTER (last AND part IS NOT NULL) AS part, string_agg(variant, ',' ORDER BY seq) AS vs FROM l GROUP BY query, doc)
+SELECT query, replace(doc, ':ims:', ':img:') AS doc, row_number() OVER (PARTITION BY query ORDER BY seq)::INTEGER AS place, routes, relevance, note, part, array_to_string(list_filter(string_split(vs, ','), lambda x, i: list_position(string_split(vs, ','), x) = i), ',') AS variants FROM m""")
+def u1_merge_candidates(spark, d):
+    """U1 with metadata: an order's items as hits, with an image's summary standing for the image."""
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    text = lambda c: c.cast("string")
+    seq = line * 1000000 + part * 100 + F.col("l_suppkey") % 100
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("query"), seq.alias("seq"), F.concat(F.lit("d"), text(line % 2), F.lit(":ims:"), text(line % 2)).alias("doc"), F.array("l_returnflag").alias("routes"), F.col("l_quantity").alias("relevance"),
+        F.map_filter(F.create_map(F.lit("note"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit("s"), text(F.col("l_suppkey")))), F.lit("part"), F.when(part % 2 == 0, F.concat(F.lit("p"), text(part))), F.lit("chunk_type"), F.lit("image_summary")), lambda k, v: v.isNotNull()).alias("metadata"),
+        F.array(F.concat(F.lit("v"), text(part % 3))).alias("variants"))
+    once = rows.groupBy("query", "seq").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    out = retrieval.merge_candidates(rows.join(once, ["query", "seq"]))
+    return out.select("query", "doc", "place", F.array_join("routes", ",").alias("routes"), "relevance", F.col("metadata")["note"].alias("note"), F.col("metadata")["part"].alias("part"), F.array_join("variants", ",").alias("variants"))
+
+
 @query(KNN_SQL + """, t AS (SELECT p.query, p.doc, p.relevance, e.label AS type FROM placed p JOIN embeddings e ON e.vec_id = p.doc),
 f AS (SELECT *, row_number() OVER (PARTITION BY query, type ORDER BY relevance DESC, doc) = 1 AND relevance >= greatest(0.45, max(relevance) OVER (PARTITION BY query) - 0.25) AS first_of_type FROM t),
 g AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY first_of_type DESC, relevance DESC, doc) AS place FROM f)
@@ -836,6 +859,16 @@ def l8_distinct_for_model(spark, d):
     return corpus.distinct_for_model(table(spark, d, "documents"))
 
 
+@query("""SELECT doc_id, CASE WHEN text IS NOT NULL THEN length(text) END AS size, CASE WHEN text IS NOT NULL THEN length(text) - length(replace(text, ' ', '')) END AS blanks FROM documents""")
+def l8_embedding_cache(spark, d):
+    """Vectors of all documents after those of every second one are in the table; the model counts characters and blanks."""
+    path, rows = scratch.folder(spark, "vectors"), table(spark, d, "documents").select("doc_id", "text")
+    counts = lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+    cache.with_vectors(rows.where("doc_id % 2 = 0"), "text", path, counts, 2)
+    out = cache.with_vectors(rows, "text", path, counts, 2)
+    return out.select("doc_id", F.col("vec")[0].cast("long").alias("size"), F.col("vec")[1].cast("long").alias("blanks"))
+
+
 # Manuals, procedures, rules -----------------------------------------------------------------------------------------
 
 

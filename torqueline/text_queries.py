@@ -194,6 +194,15 @@ def c17_plan(spark, d):
     return out.select("part", "p.intent", routes.alias("routes"), "p.strict")
 
 
+@query("""WITH q AS (SELECT p_partkey AS part, ['图片', '不要 图片', '无需配图，目录', '示意图，不用图', '别返回图片，怎么拆', '结构图在哪里'][1 + p_partkey % 6] AS text, p_size % 11 = 3 AS uploaded FROM part)
+SELECT part, CASE WHEN uploaded OR text IN ('图片', '结构图在哪里') THEN 'image_identification' WHEN contains(text, '目录') THEN 'outline' WHEN contains(text, '怎么拆') THEN 'procedure' ELSE 'general' END AS intent FROM q""")
+def c17_plan_without_images(spark, d):
+    """C17 for questions that name images and ask for none."""
+    words = ["图片", "不要 图片", "无需配图，目录", "示意图，不用图", "别返回图片，怎么拆", "结构图在哪里"]
+    text = F.get(F.array(*map(F.lit, words)), (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("part"), planning.plan(text, images=F.col("p_size") % 11 == 3)["intent"].alias("intent"))
+
+
 @query("""WITH p AS (SELECT p_partkey AS part, p_name || ' ' || p_brand || ' ' || p_type AS q, split(p_name, ' ')[1] AS c, CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) ELSE 'absent' END AS f, CASE WHEN p_partkey % 4 = 0 THEN p_type END AS a, split(p_name, ' ')[2] AS g FROM part),
 v AS (SELECT part, 1 AS n, q AS text, 'original' AS source FROM p UNION ALL SELECT part, 2, c || ' ' || f, 'component_fault' FROM p WHERE contains(lower(q), lower(f)) UNION ALL
   SELECT part, 3, array_to_string(list_filter([c, a, CASE WHEN g <> c THEN g END], lambda x: x IS NOT NULL), ' '), 'component_action' FROM p UNION ALL SELECT part, 4, g, 'aspect' FROM p UNION ALL SELECT part, 5, c, 'aspect' FROM p),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .candidate_queries import pick
-from .operators import answers
+from .operators import answers, claims
 from .queries import query
 from .sources.tables import table
 from .text_queries import HAN, LETTERS
@@ -222,3 +222,51 @@ def j22_refresh_gold(spark, d):
 def c32_claims(spark, d):
     rows = given(spark, d).select(F.col("part").alias("claim"), F.array("z").alias("terms"), F.array(F.col("p_size").cast("string")).alias("numbers"), "answer")
     return answers.claim_state(rows).withColumnRenamed("claim", "part")
+
+
+@query("""WITH k AS (SELECT o_orderkey AS "case", o_custkey % 50 AS x, o_orderkey % 4 > 0 AS has_source, 'd' || o_orderkey % 3 AS document, o_orderkey % 3 AS said FROM orders),
+e AS (SELECT l_orderkey AS "case", l_quantity::INT AS x, 'd' || l_suppkey % 3 AS document, l_linenumber AS page FROM lineitem WHERE l_returnflag <> 'A'),
+m AS (SELECT k."case", count(e.x) > 0 AS text_met, coalesce(bool_or(has_source AND e.document = k.document AND page <= 2), false) AS supported FROM k LEFT JOIN e ON e."case" = k."case" AND e.x = k.x GROUP BY k."case")
+SELECT "case", supported, said = 0 AS asserted, said = 2 AS disclosed,
+  concat_ws(',', CASE WHEN NOT text_met THEN 'evidence_pattern_missing' WHEN NOT has_source THEN 'allowed_sources_missing' WHEN NOT supported THEN 'allowed_source_missing' END,
+    CASE WHEN supported AND said > 0 THEN 'answer_pattern_missing' WHEN NOT supported AND said = 0 THEN 'unsupported_completion' END) AS issues FROM k JOIN m USING ("case")""")
+def c32_observed(spark, d):
+    """C32 over orders: a claim about a quantity, the items as evidence, answers that say, deny or disclose."""
+    key, x = F.col("o_orderkey"), F.concat(F.lit("Qty "), (F.col("o_custkey") % 50).cast("string"))
+    none = F.array().cast("array<string>")
+    blank = lambda kind="string": F.lit(None).cast(kind)
+    document = lambda c: F.concat(F.lit("d"), (c % 3).cast("string"))
+    source = F.struct(
+        F.lit("manual").alias("source"), document(key).alias("document"), blank().alias("version"), F.array(F.lit(1), F.lit(2)).alias("pages"), none.alias("chunks"), none.alias("nodes"), none.alias("relations"), none.alias("paths"),
+        blank().alias("rule"), blank().alias("status"))
+    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
+    made = orders.select(key.alias("case"), F.lit("k").alias("claim"), F.array(x).alias("answer_patterns"), F.array(x).alias("evidence_patterns"), F.array(F.lit("no data")).alias("disclosures"), none.alias("forbidden"),
+                         F.filter(F.array(source), lambda s: key % 4 > 0).alias("sources"))
+    said = orders.select(key.alias("case"), F.when(key % 3 == 0, F.concat(x, F.lit("."))).when(key % 3 == 1, F.concat(F.lit("not found "), x)).otherwise("no data").alias("answer"))
+    given = items.select(
+        F.col("l_orderkey").alias("case"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("evidence"), F.when(F.col("l_returnflag") == "A", "reference_only").otherwise("qualified").alias("qualification"), F.lit(True).alias("eligible"),
+        F.lit(False).alias("bound"), F.concat(F.lit("total qty "), F.col("l_quantity").cast("int").cast("string")).alias("text"), F.lit("manual").alias("source"), document(F.col("l_suppkey")).alias("document"), blank().alias("version"),
+        F.array(F.col("l_linenumber").cast("int")).alias("pages"), none.alias("chunks"), none.alias("nodes"), none.alias("relations"), none.alias("paths"), blank().alias("rule"), blank().alias("status"))
+    out = claims.observe_claims(made, said, given)
+    return out.select("case", "supported", "asserted", "disclosed", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS "case", l_linenumber || '-' || l_partkey AS evidence, l_quantity::INT AS x, l_returnflag FROM lineitem),
+a AS (SELECT o_orderkey AS "case", o_custkey % 50 AS x, o_orderkey % 2 = 0 AS disclosed FROM orders),
+f AS (SELECT a."case", i, disclosed, min(evidence) AS low, max(evidence) AS high FROM a CROSS JOIN (VALUES (0), (1)) v(i) LEFT JOIN e ON e."case" = a."case" AND e.x BETWEEN 1 AND 50 AND (i = 0 AND l_returnflag = 'A' OR i = 1 AND l_returnflag <> 'A') GROUP BY ALL),
+c AS (SELECT "case", count(low) AS n_found, coalesce(count(low) = 2 AND min(low) <> max(high), false) AS distinct_, any_value(disclosed) AS disclosed FROM f GROUP BY "case")
+SELECT "case", n_found, distinct_ AS "distinct", distinct_ AND disclosed AS passed FROM c""")
+def c32_conflicts(spark, d):
+    """Two alternatives by return flag; every second answer discloses them and gives both."""
+    key = F.col("o_orderkey")
+    none, blank = F.array().cast("array<string>"), F.lit(None).cast("string")
+    source = F.struct(
+        F.lit("domain_rule").alias("source"), blank.alias("document"), blank.alias("version"), F.array().cast("array<int>").alias("pages"), none.alias("chunks"), none.alias("nodes"), none.alias("relations"), none.alias("paths"), blank.alias("rule"), blank.alias("status"))
+    side = lambda word: F.struct(F.array(F.lit(word)).alias("values"), F.array(F.lit("qty")).alias("units"), F.array(source).alias("sources"))
+    made = table(spark, d, "orders").select(key.alias("case"), F.lit("k").alias("conflict"), F.array(F.lit("conflict")).alias("disclosures"), F.array(side("flag a"), side("other")).alias("alternatives"))
+    said = table(spark, d, "orders").select(key.alias("case"), F.when(key % 2 == 0, "Conflict: flag A qty, other qty").otherwise("flag a qty").alias("answer"))
+    given = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("case"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("evidence"), F.lit("reference_only").alias("qualification"), F.lit(True).alias("eligible"), F.lit(False).alias("bound"),
+        F.concat(F.when(F.col("l_returnflag") == "A", "flag A").otherwise("other"), F.lit(" qty")).alias("text"), F.lit("domain_rule").alias("source"), blank.alias("document"), blank.alias("version"), F.array().cast("array<int>").alias("pages"),
+        none.alias("chunks"), none.alias("nodes"), none.alias("relations"), none.alias("paths"), blank.alias("rule"), blank.alias("status"))
+    return claims.observe_conflicts(made, said, given).drop("conflict")

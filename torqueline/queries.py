@@ -7,7 +7,7 @@ writes, embeddings = vector records, documents = manuals, labels = judged runs,
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import corpus, evaluation, graph, knowledge, lifecycle, retrieval, usage
+from .operators import corpus, evaluation, gold, graph, knowledge, lifecycle, retrieval, usage
 from .sources import cache, scratch
 from .sources.tables import table
 
@@ -810,6 +810,38 @@ def a28_dataset_issues(spark, d):
     return evaluation.dataset_issues(rows)
 
 
+_PLAIN = r"""regexp_replace(translate(lower({}), '～—–×', '---x'), '[\s，。；：、,.;:()\[\]（）【】“”"''`|=]+', '', 'g')"""
+GOLD_SQL = """WITH l AS (SELECT doc_id AS document, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents WHERE text IS NOT NULL),
+n AS (SELECT document, max(page) AS n_pages FROM l GROUP BY document),
+c AS (SELECT d.doc_id AS seq, 'c' || d.doc_id % 900 AS "case", d.doc_id AS document, d.doc_id % 4 AS target, left(b.body, 12) AS text, 1 + d.doc_id % 2 AS ep, left(b.body, 5) AS nugget, d.doc_id % 7 = 0 AS bare, coalesce(n_pages, 0) AS n_pages
+  FROM documents d LEFT JOIN n ON n.document = d.doc_id LEFT JOIN l b ON b.document = d.doc_id AND b.page = 1),
+f AS (SELECT c.*, trim(coalesce(c.text, '')) AS said, {plain} AS key, {plain_body} AS page_key, {plain_nugget} AS nugget_key FROM c LEFT JOIN l b ON b.document = c.document AND b.page = c.ep),
+i AS (SELECT "case", 'duplicate_case_id' AS code, NULL AS page FROM (SELECT "case", row_number() OVER (PARTITION BY "case" ORDER BY seq) AS k FROM c) WHERE k > 1
+  UNION ALL SELECT "case", 'target_pages_out_of_range', target FROM c WHERE target < 1 OR target > n_pages
+  UNION ALL SELECT "case", 'missing_required_nuggets', NULL FROM c WHERE trim(coalesce(nugget, '')) = ''
+  UNION ALL SELECT "case", 'missing_gold_evidence', NULL FROM c WHERE bare
+  UNION ALL SELECT "case", 'gold_evidence_page_out_of_range', ep FROM f WHERE NOT bare AND ep > n_pages
+  UNION ALL SELECT "case", 'empty_gold_evidence_text', ep FROM f WHERE NOT bare AND ep <= n_pages AND said = ''
+  UNION ALL SELECT "case", 'evidence_text_not_found', ep FROM f WHERE NOT bare AND ep <= n_pages AND said <> '' AND NOT (key <> '' AND contains(page_key, key))
+  UNION ALL SELECT "case", 'required_nugget_not_supported', NULL FROM f WHERE NOT bare AND trim(coalesce(nugget, '')) <> '' AND NOT (ep <= n_pages AND said <> '' AND contains(key, nugget_key)))
+SELECT "case", code, page::INTEGER AS page, count(*) AS n FROM i GROUP BY ALL""".replace("{plain}", _PLAIN.format("trim(coalesce(c.text, ''))")).replace("{plain_body}", _PLAIN.format("coalesce(b.body, '')")).replace("{plain_nugget}", _PLAIN.format("trim(coalesce(nugget, ''))"))
+
+
+@query(GOLD_SQL)
+def a28_gold_issues(spark, d):
+    """Cases about documents whose lines are pages; half of them cite the second line for a text of the first."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lines = docs.select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("p", "text")).select("document", (F.col("p") + 1).alias("page"), "text")
+    n, first = F.col("doc_id"), F.get(F.split("text", "\n"), F.lit(0))
+    none = lambda kind="int": F.array().cast(f"array<{kind}>")
+    cited = F.struct((n % 2 + 1).cast("int").alias("page"), F.left(first, F.lit(12)).alias("text"), none("string").alias("supports"))
+    cases = docs.select(
+        n.alias("seq"), F.concat(F.lit("c"), (n % 900).cast("string")).alias("case"), n.alias("document"), F.array((n % 4).cast("int")).alias("target_pages"), F.lit("").alias("target_section"), F.lit(None).cast("boolean").alias("answerable"),
+        F.array_compact(F.array(F.left(first, F.lit(5)))).alias("nuggets"), F.filter(F.array(cited), lambda e: n % 7 != 0).alias("evidence"), none().alias("expected_images"), none().alias("forbidden_images"), none().alias("step_image_mapping"),
+        none().alias("expected_image_order"), none("string").alias("forbidden_claims"), F.lit(0).alias("n_forbidden_evidence"))
+    return gold.gold_issues(cases, lines).groupBy("case", "code", "page").agg(F.count("*").alias("n"))
+
+
 # Corpus -------------------------------------------------------------------------------------------------------------
 
 LINES_SQL = r"""

@@ -192,6 +192,18 @@ def a30_rank_pages(spark, d):
     return candidates.rank_pages(asked, rows)
 
 
+@query("""WITH q AS (SELECT p_partkey AS query, p_partkey // 10 AS document FROM part WHERE p_partkey % 20 = 0), pg AS (SELECT p_partkey // 10 AS document, p_partkey AS page FROM part WHERE p_partkey % 4 <> 3),
+b AS (SELECT query, page, CASE WHEN page % 5 = 0 THEN NULL ELSE page % 3 END::DOUBLE AS score FROM q JOIN pg USING (document) WHERE page % 2 = 0)
+SELECT query, page, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS place FROM b WHERE score > 0""")
+def a30_base_scores(spark, d):
+    """A30's base scores alone: questions without a term of two characters."""
+    key = F.col("p_partkey")
+    rows = table(spark, d, "part").select(key.alias("page"), F.floor(key / 10).alias("document"), F.col("p_name").alias("text"), F.lit("").alias("image_text"), (key % 4 != 3).cast("int").alias("n_images"))
+    asked = rows.where("page % 20 = 0").select(F.col("page").alias("query"), "document", F.lit("和 x").alias("text"))
+    base = asked.select("query", "document").join(rows.select("document", "page"), "document").where("page % 2 = 0")
+    return candidates.rank_pages(asked, rows, base.select("query", "page", F.when(F.col("page") % 5 != 0, F.col("page") % 3).alias("score")))
+
+
 @query("""WITH c AS (SELECT l_orderkey AS query, l_returnflag AS a, (l_partkey % 3)::VARCHAR AS b, CASE WHEN l_quantity > 40 THEN '' ELSE l_linestatus END AS c FROM lineitem),
 u AS (SELECT query, 0 AS tie, 'feature' AS dimension, a AS v FROM c UNION ALL SELECT query, 1, 'part', b FROM c UNION ALL SELECT query, 2, 'check', c FROM c),
 g AS (SELECT query, tie, dimension, v, count(*) AS n FROM u GROUP BY ALL),
@@ -203,6 +215,25 @@ def a31_discriminator(spark, d):
     return candidates.best_discriminator(rows, ["feature", "part", "check"])
 
 
+@query("""WITH c AS (SELECT l_orderkey AS query, ['high', 'medium', 'low'][1 + l_orderkey % 3] AS risk, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE round(l_discount * 10, 2) END AS score, l_returnflag AS a, (l_partkey % 7)::VARCHAR AS b, CASE WHEN l_quantity > 40 THEN ' ' ELSE l_linestatus END AS c FROM lineitem),
+w0 AS (SELECT *, greatest(coalesce(score, 0), 0.001) AS x FROM c), w AS (SELECT *, x / sum(x) OVER (PARTITION BY query) AS w FROM w0),
+e AS (SELECT query, -sum(w * log2(w)) AS entropy FROM w GROUP BY query),
+u AS (SELECT query, risk, w, 0 AS tie, 'component' AS dimension, a AS v FROM w UNION ALL SELECT query, risk, w, 1, 'symptom', b FROM w UNION ALL SELECT query, risk, w, 2, 'other', trim(c) FROM w),
+g AS (SELECT query, risk, tie, dimension, v, sum(w) AS p, count(*) AS n, sum(w * log2(w)) AS wl FROM u WHERE v <> '' GROUP BY ALL),
+d AS (SELECT query, risk, tie, dimension, count(*) AS n_values, sum(p * log2(p) - wl) AS rest, 1 - sum(p * p) AS evidence, coalesce(sum(p) FILTER (n = 1), 0) AS one_turn FROM g GROUP BY ALL HAVING count(*) >= 2),
+f AS (SELECT d.*, CASE WHEN abs(entropy) < 1e-12 THEN 1 ELSE (entropy - rest) / entropy END AS gain, CASE WHEN dimension = 'component' AND risk <> 'low' OR dimension = 'symptom' AND risk = 'medium' THEN 1 ELSE 0.5 END AS reduction, CASE WHEN n_values <= 4 THEN 1 ELSE 0.6 END AS answerability, 0.03 * greatest(0, n_values - 2) AS cost FROM d JOIN e USING (query)),
+s AS (SELECT *, round(0.45 * gain + 0.3 * reduction + 0.15 * answerability + 0.1 * evidence + 0.25 * one_turn * one_turn - cost, 6) AS score FROM f)
+SELECT query, dimension, score, round(gain, 6) AS gain, reduction::DOUBLE AS reduction, answerability::DOUBLE AS answerability, round(evidence, 6) AS evidence, round(one_turn, 6) AS one_turn, cost::DOUBLE AS cost, n_values FROM s
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, tie) = 1""")
+def a31_question(spark, d):
+    """A31 with weights: an order's items as candidates of a diagnosis."""
+    risk = F.get(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("l_orderkey") % 3).cast("int"))
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("query"), risk.alias("risk"), F.when(F.col("l_partkey") % 5 != 0, F.round(F.col("l_discount") * 10, 2)).alias("score"), F.col("l_returnflag").alias("component"), (F.col("l_partkey") % 7).alias("symptom"),
+        F.when(F.col("l_quantity") > 40, " ").otherwise(F.col("l_linestatus")).alias("other"))
+    return candidates.best_question(rows, ["component", "symptom", "other"])
+
+
 @query("""WITH m AS (SELECT p_partkey AS evidence, p_partkey % 200 AS document, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'v' || p_size % 3 END AS version, p_partkey AS chunk, p_size % 4 AS section, p_size % 10 AS page FROM part),
 g AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS path, l_partkey % 200 AS document, 'v' || l_linenumber % 3 AS version, l_partkey AS chunk, l_suppkey % 4 AS section, l_linenumber AS page FROM lineitem WHERE l_returnflag = 'R')
 SELECT evidence, path, CASE WHEN m.chunk = g.chunk THEN 'chunk' WHEN m.section = g.section THEN 'section' ELSE 'page' END AS by FROM m JOIN g USING (document) WHERE (m.version = '' OR m.version = g.version) AND (m.chunk = g.chunk OR m.section = g.section OR m.page = g.page)""")

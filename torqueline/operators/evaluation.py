@@ -64,6 +64,33 @@ def run_summary(rows: DataFrame, by: str = "variant") -> DataFrame:
     )
 
 
+#: Passes over all rows, and over those with steps in an order or with images, and the names of their rates.
+ALL_PASSES = {"final_pass": "final_pass_rate", "answer_correct_pass": "answer_correct_pass_rate", "evidence_pass": "evidence_pass_rate", "delivery_pass": "delivery_pass_rate",
+              "mechanism_pass": "mechanism_pass_rate", "grounding_pass": "grounding_pass_rate", "forbidden_claim_pass": "unsupported_claim_free_rate"}
+IMAGE_PASSES = {"image_pass": "image_pass_rate", "image_order_pass": "image_order_pass_rate", "step_image_binding_pass": "step_image_binding_pass_rate"}
+
+
+def full_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """All figures of a run by ``by``: numbers of cases of each kind, pass rates over all, procedures, images and questions without an
+    answer, mean recalls, latencies of the rows that have one. What is null counts as not passed or 0; an empty kind has 0.
+
+    rows: the passes of ``ALL_PASSES`` and ``IMAGE_PASSES``, answerable, refusal_pass, procedure_order_pass, expected_step_order,
+    image_eval_required, required_nugget_recall, image_recall, image_precision, latency_ms."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    answerable, image, steps = yes("answerable"), yes("image_eval_required"), F.trim(F.coalesce("expected_step_order", F.lit(""))) != ""
+    mean = lambda value, on: F.round(F.coalesce(F.avg(F.when(on, value)), F.lit(0.0)), 6)
+    rate = lambda c, on: mean(yes(c).cast("double"), on)
+    number = lambda c, on: mean(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), on)
+    every, latency = F.lit(True), F.col("latency_ms").cast("double")
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("case_count"), F.count_if(answerable).alias("answerable_case_count"), *[rate(c, every).alias(name) for c, name in ALL_PASSES.items()],
+        number("required_nugget_recall", answerable).alias("avg_required_nugget_recall"), F.count_if(steps).alias("procedure_case_count"), rate("procedure_order_pass", steps).alias("procedure_order_pass_rate"),
+        F.count_if(image).alias("image_case_count"), *[rate(c, image).alias(name) for c, name in IMAGE_PASSES.items()], number("image_recall", image).alias("avg_image_recall"), number("image_precision", image).alias("avg_image_precision"),
+        F.count_if(~answerable).alias("no_answer_case_count"), rate("refusal_pass", ~answerable).alias("no_answer_correct_rate"),
+        F.round(F.coalesce(F.avg(F.floor(latency)), F.lit(0.0)), 2).alias("avg_latency_ms"), F.round(F.coalesce(F.percentile(latency, 0.5), F.lit(0.0)), 2).alias("p50_latency_ms"),
+        F.round(F.coalesce(F.percentile(latency, 0.95), F.lit(0.0)), 2).alias("p95_latency_ms"))
+
+
 def metric_counts(rows: DataFrame, metrics: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Numerator, denominator and rate of each metric (passes, applies); null passes are left out, no denominator gives a null rate."""
     pairs = []
@@ -116,21 +143,27 @@ def ablation(rows: DataFrame, dims: list[str]) -> DataFrame:
 def bootstrap(deltas: DataFrame, samples=10_000, seed=20, values=4096) -> DataFrame:
     """Percentile interval of the mean of paired differences, resampled ``samples`` times.
 
-    Equal differences are counted first and the distinct ones dealt into parts of about ``values``. A resample of all pairs is drawn
-    part by part: how many of its pairs fall into each part, the same in every task by its seed, and then which values of the
-    part; so the draw is exact whatever the number of values, and no task holds more than a part."""
+    Equal differences are counted first and the distinct ones dealt into parts of about ``values``. How many pairs of a resample fall
+    into a part is drawn down a tree that halves the parts: at each of its nodes how many of those above go to the left, the same
+    in every task by the node's seed. Then a task draws which values of its part. So the draw is exact whatever the number of
+    values; a task holds a part and draws as many numbers as the tree is deep."""
     counted = deltas.where("delta is not null").groupBy("delta").agg(F.count("*").alias("n"))
     parts = -(-counted.count() // values) or 1
     counted = counted.withColumn("part", F.pmod(F.xxhash64("delta"), F.lit(parts)).cast("int"))
     sums = {r["part"]: r for r in counted.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.col("delta").cast("double") * F.col("n")).alias("s")).collect()}  # a row for each part
     sizes = np.array([sums[p]["n"] if p in sums else 0 for p in range(parts)], np.int64)
-    total = int(sizes.sum())
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    total = int(upto[-1])
     mean = sum(r["s"] for r in sums.values()) / total if total else None
 
     def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("delta")
         value, n, part = rows["delta"].to_numpy(np.float64), rows["n"].to_numpy(np.int64), int(key[0])
-        shares = np.random.default_rng([seed, 0]).multinomial(total, sizes / total, samples)[:, part]
+        shares, low, high = np.full(samples, total), 0, parts
+        while high - low > 1:
+            middle = (low + high) // 2
+            left = np.random.default_rng([seed, 0, low, high]).binomial(shares, (upto[middle] - upto[low]) / max(1, upto[high] - upto[low]))
+            shares, low, high = (left, low, middle) if part < middle else (shares - left, middle, high)
         rng = np.random.default_rng([seed, 1, part])
         return pd.DataFrame({"replicate": np.arange(samples), "sum": [float(rng.multinomial(s, n / n.sum()) @ value) for s in shares]})
 

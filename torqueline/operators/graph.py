@@ -63,6 +63,52 @@ def readiness(counts: DataFrame, policy: DataFrame) -> DataFrame:
     return out.withColumn("violation", code)
 
 
+def graph_metrics(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``metric, actual``: nodes by label, edges by type, complete paths, nodes with a vector, orphans, and the shares of components and faults
+    with a vector, of paths with all ids, of paths with document, version, section and chunks, and of named chunks that the store knows.
+    A share of nothing is 0.
+
+    nodes: id, label, document, version, section, chunks (array), n_vector; edges: src, dst, type; chunks: chunk, the known ones."""
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    of = lambda label: nodes.where(F.col("label") == label)
+    link = lambda kind: edges.where(F.col("type") == kind)
+    labels = {"device_count": "Device", "component_count": "Component", "fault_count": "Fault", "solution_count": "Solution"}
+    kinds = {"owns_count": "OWNS", "causes_count": "CAUSES", "has_solution_count": "HAS_SOLUTION"}
+    vectors = {"component_embedding_count": "Component", "fault_embedding_count": "Fault"}
+    counted = nodes.agg(*[F.count_if(F.col("label") == v).cast("double").alias(k) for k, v in labels.items()], *[F.count_if((F.col("label") == v) & (F.col("n_vector") > 0)).cast("double").alias(k) for k, v in vectors.items()])
+    linked = edges.agg(*[F.count_if(F.col("type") == v).cast("double").alias(k) for k, v in kinds.items()])
+
+    def without(label: str, source: str, kind: str) -> DataFrame:
+        used = link(kind).join(of(source).select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
+        return of(label).join(used, "id", "left_anti")
+
+    lone_faults = without("Fault", "Component", "CAUSES").agg(F.count("*").cast("double").alias("orphan_fault_count"))
+    lone_solutions = without("Solution", "Fault", "HAS_SOLUTION").agg(F.count("*").cast("double").alias("orphan_solution_count"))
+    # A fault has as many paths as its components have devices: paths are counted, not listed.
+    owners = link("OWNS").join(of("Device").select(F.col("id").alias("src")), "src").join(of("Component").select(F.col("id").alias("dst")), "dst")
+    owners = owners.groupBy("dst").agg(F.count("*").alias("paths"), F.count_if(text("src") != "").alias("named"))
+    causes = link("CAUSES").join(owners.withColumnRenamed("dst", "src"), "src").groupBy("src", "dst").agg(F.count("*").alias("k"), F.first("paths").alias("paths"), F.first("named").alias("named"))
+    sources = F.filter(F.transform(F.coalesce("chunks", F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: F.coalesce(c, F.lit("")) != "")
+    faults = of("Fault").select(F.col("id").alias("dst"), sources.alias("sources"), ((text("document") != "") & (text("version") != "") & (text("section") != "") & (F.size(sources) > 0)).alias("sourced"))
+    paths = causes.join(faults, "dst")
+    n = F.col("k") * F.col("paths")
+    totals = paths.agg(
+        F.coalesce(F.sum(n), F.lit(0)).cast("double").alias("complete_path_count"), F.coalesce(F.sum(F.when((text("src") != "") & (text("dst") != ""), F.col("k") * F.col("named"))), F.lit(0)).cast("double").alias("identity"),
+        F.coalesce(F.sum(F.when(F.col("sourced"), n)), F.lit(0)).cast("double").alias("provenance"))
+    named = paths.select(F.explode("sources").alias("chunk")).distinct()
+    known = named.join(chunks.select("chunk").distinct().withColumn("known", F.lit(1)), "chunk", "left")
+    trip = known.agg(F.count("*").cast("double").alias("graph_source_chunk_count"), F.count("known").cast("double").alias("resolved_source_chunk_count"))
+    one = counted
+    for other in (linked, lone_faults, lone_solutions, totals, trip):
+        one = one.crossJoin(other)  # a row each
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    one = one.withColumns({
+        "component_embedding_coverage": share("component_embedding_count", "component_count"), "fault_embedding_coverage": share("fault_embedding_count", "fault_count"),
+        "path_identity_coverage": share("identity", "complete_path_count"), "path_provenance_coverage": share("provenance", "complete_path_count"),
+        "chunk_round_trip_coverage": share("resolved_source_chunk_count", "graph_source_chunk_count")}).drop("identity", "provenance")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.round(c, 6).alias("actual")) for c in one.columns])).alias("m")).select("m.*")
+
+
 def orphans(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Nodes without an edge."""
     return nodes.join(edges.select(key), key, "left_anti")

@@ -594,6 +594,34 @@ def a26_readiness(spark, d):
     return graph.readiness(found, policy).select("metric", "actual", "violation")
 
 
+@query("""WITH nodes AS (SELECT 'd' || s_suppkey AS id, 'Device' AS label, NULL AS document, NULL AS section, NULL AS chunk, 0 AS nv FROM supplier UNION ALL SELECT 'c' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Component' ELSE 'Fault' END, CASE WHEN p_partkey % 3 > 0 THEN 'x' END, CASE WHEN p_size > 5 THEN 's' ELSE ' ' END, 'k' || p_partkey % 90, p_size % 2 FROM part),
+edges AS (SELECT 'd' || l_suppkey AS src, 'c' || l_partkey AS dst, 'OWNS' AS type FROM lineitem WHERE l_partkey % 2 = 0 AND l_linenumber = 1 UNION ALL SELECT 'c' || l_partkey - l_partkey % 2, 'c' || (l_partkey - l_partkey % 2 + 1), 'CAUSES' FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'A'),
+p AS (SELECT c.id AS component, f.* FROM edges o JOIN nodes dv ON dv.id = o.src AND dv.label = 'Device' JOIN nodes c ON c.id = o.dst AND c.label = 'Component' JOIN edges e ON e.src = c.id AND e.type = 'CAUSES' JOIN nodes f ON f.id = e.dst AND f.label = 'Fault' WHERE o.type = 'OWNS'),
+n AS (SELECT count(*) FILTER (label = 'Device') AS d, count(*) FILTER (label = 'Component') AS c, count(*) FILTER (label = 'Fault') AS f, count(*) FILTER (label = 'Component' AND nv > 0) AS cv, count(*) FILTER (label = 'Fault' AND nv > 0) AS fv FROM nodes),
+k AS (SELECT count(DISTINCT chunk) AS a, count(DISTINCT chunk) FILTER (substr(chunk, 2)::INT < 60) AS b FROM p),
+x AS (SELECT count(*) AS n, count(*) FILTER (document = 'x' AND section = 's') AS s FROM p)
+SELECT metric, round(actual::DOUBLE, 6) AS actual FROM (
+SELECT 'device_count' AS metric, d AS actual FROM n UNION ALL SELECT 'component_count', c FROM n UNION ALL SELECT 'fault_count', f FROM n UNION ALL SELECT 'solution_count', 0 UNION ALL SELECT 'component_embedding_count', cv FROM n UNION ALL SELECT 'fault_embedding_count', fv FROM n
+UNION ALL SELECT 'owns_count', count(*) FROM edges WHERE type = 'OWNS' UNION ALL SELECT 'causes_count', count(*) FROM edges WHERE type = 'CAUSES' UNION ALL SELECT 'has_solution_count', 0
+UNION ALL SELECT 'orphan_fault_count', count(*) FROM nodes WHERE label = 'Fault' AND id NOT IN (SELECT dst FROM edges WHERE type = 'CAUSES' AND src IN (SELECT id FROM nodes WHERE label = 'Component')) UNION ALL SELECT 'orphan_solution_count', 0
+UNION ALL SELECT 'complete_path_count', n FROM x UNION ALL SELECT 'graph_source_chunk_count', a FROM k UNION ALL SELECT 'resolved_source_chunk_count', b FROM k
+UNION ALL SELECT 'component_embedding_coverage', cv / c FROM n UNION ALL SELECT 'fault_embedding_coverage', fv / f FROM n UNION ALL SELECT 'path_identity_coverage', CASE WHEN n > 0 THEN 1 ELSE 0 END FROM x
+UNION ALL SELECT 'path_provenance_coverage', CASE WHEN n > 0 THEN s / n ELSE 0 END FROM x UNION ALL SELECT 'chunk_round_trip_coverage', CASE WHEN a > 0 THEN b / a ELSE 0 END FROM k)""")
+def a26_graph_metrics(spark, d):
+    """A26's counts and coverages over suppliers as devices and parts as components and faults."""
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    null, part = F.lit(None).cast("string"), F.col("p_partkey")
+    devices = table(spark, d, "supplier").select(text("d", F.col("s_suppkey")).alias("id"), F.lit("Device").alias("label"), null.alias("document"), null.alias("version"), null.alias("section"), F.array().cast("array<string>").alias("chunks"), F.lit(0).alias("n_vector"))
+    parts = table(spark, d, "part").select(
+        text("c", part).alias("id"), F.when(part % 2 == 0, "Component").otherwise("Fault").alias("label"), F.when(part % 3 > 0, "x").alias("document"), F.lit("1").alias("version"), F.when(F.col("p_size") > 5, "s").otherwise(" ").alias("section"),
+        F.array(text("k", part % 90), F.lit(" ")).alias("chunks"), (F.col("p_size") % 2).alias("n_vector"))
+    items, key = table(spark, d, "lineitem"), F.col("l_partkey")
+    owns = items.where("l_partkey % 2 = 0 AND l_linenumber = 1").select(text("d", F.col("l_suppkey")).alias("src"), text("c", key).alias("dst"), F.lit("OWNS").alias("type"))
+    causes = items.where("l_linenumber = 2 AND l_returnflag = 'A'").select(text("c", key - key % 2).alias("src"), text("c", key - key % 2 + 1).alias("dst"), F.lit("CAUSES").alias("type"))
+    known = spark.range(60).select(text("k", F.col("id")).alias("chunk"))
+    return graph.graph_metrics(devices.unionByName(parts), owns.unionByName(causes), known)
+
+
 @query("""WITH t AS (SELECT l_partkey AS key, CASE WHEN l_linenumber > 1 THEN l_returnflag END AS name, l_suppkey AS manual, l_linenumber AS page, l_orderkey * 10 + l_linenumber AS arrival FROM lineitem)
 SELECT key, arg_min(name, arrival) FILTER (name IS NOT NULL) AS name, string_agg(DISTINCT manual::VARCHAR, ',' ORDER BY manual::VARCHAR) AS manuals, min(page) AS min_page, max(page) AS max_page, count(*) AS n FROM t GROUP BY key""")
 def l4_merge_nodes(spark, d):
@@ -691,6 +719,24 @@ def a16_run_summary(spark, d):
     return evaluation.run_summary(rows)
 
 
+@query("""WITH r AS (SELECT 'v' || doc_id % 3 AS variant, CASE WHEN doc_id % 11 > 0 THEN quality = 1 END AS p, toxic = 0 AS q, doc_id % 4 > 0 AS answerable, CASE WHEN doc_id % 5 = 0 THEN 'a；b' ELSE ' ' END AS steps, doc_id % 6 = 0 AS image, CASE WHEN doc_id % 7 > 0 THEN doc_id % 10 / 10.0 END AS share, CASE WHEN doc_id % 9 > 0 THEN doc_id % 1000 END AS latency FROM labels)
+SELECT variant, count(*) AS case_count, count_if(answerable) AS answerable_case_count, round(avg(coalesce(p, false)::INT), 6) AS final_pass_rate, round(avg(q::INT), 6) AS grounding_pass_rate, round(coalesce(avg(coalesce(share, 0)) FILTER (answerable), 0), 6) AS avg_required_nugget_recall,
+  count_if(trim(steps) <> '') AS procedure_case_count, round(coalesce(avg(q::INT) FILTER (trim(steps) <> ''), 0), 6) AS procedure_order_pass_rate, count_if(image) AS image_case_count, round(coalesce(avg(coalesce(p, false)::INT) FILTER (image), 0), 6) AS image_pass_rate,
+  round(coalesce(avg(coalesce(share, 0)) FILTER (image), 0), 6) AS avg_image_recall, count_if(NOT answerable) AS no_answer_case_count, round(coalesce(avg(q::INT) FILTER (NOT answerable), 0), 6) AS no_answer_correct_rate,
+  round(coalesce(avg(latency), 0), 2) AS avg_latency_ms, round(coalesce(quantile_cont(latency::DOUBLE, 0.5), 0), 2) AS p50_latency_ms, round(coalesce(quantile_cont(latency::DOUBLE, 0.95), 0), 2) AS p95_latency_ms FROM r GROUP BY variant""")
+def a16_full_summary(spark, d):
+    """A16 over all subsets; some of its columns."""
+    n, p, q = F.col("doc_id"), F.when(F.col("doc_id") % 11 > 0, F.col("quality") == 1), F.col("toxic") == 0
+    share = F.when(n % 7 > 0, n % 10 / 10.0)
+    passes = {**dict.fromkeys(evaluation.ALL_PASSES, q), **dict.fromkeys(evaluation.IMAGE_PASSES, p), "final_pass": p, "refusal_pass": q, "procedure_order_pass": q}
+    rows = table(spark, d, "labels").select(
+        F.concat(F.lit("v"), (n % 3).cast("string")).alias("variant"), *[v.alias(c) for c, v in passes.items()], (n % 4 > 0).alias("answerable"), F.when(n % 5 == 0, "a；b").otherwise(" ").alias("expected_step_order"), (n % 6 == 0).alias("image_eval_required"),
+        *[share.alias(c) for c in ("required_nugget_recall", "image_recall", "image_precision")], F.when(n % 9 > 0, n % 1000).alias("latency_ms"))
+    return evaluation.full_summary(rows, ["variant"]).select(
+        "variant", "case_count", "answerable_case_count", "final_pass_rate", "grounding_pass_rate", "avg_required_nugget_recall", "procedure_case_count", "procedure_order_pass_rate", "image_case_count", "image_pass_rate", "avg_image_recall",
+        "no_answer_case_count", "no_answer_correct_rate", "avg_latency_ms", "p50_latency_ms", "p95_latency_ms")
+
+
 @query("""SELECT 'quality' AS metric, count(*) FILTER (quality = 1) AS numerator, count(*) FILTER (quality IS NOT NULL) AS denominator, round(count(*) FILTER (quality = 1) / nullif(count(*) FILTER (quality IS NOT NULL), 0)::DOUBLE, 6) AS rate FROM labels
 UNION ALL SELECT 'clean', count(*) FILTER (toxic = 0 AND quality = 1), count(*) FILTER (quality = 1), round(count(*) FILTER (toxic = 0 AND quality = 1) / nullif(count(*) FILTER (quality = 1), 0)::DOUBLE, 6) FROM labels""")
 def a17_metric_counts(spark, d):

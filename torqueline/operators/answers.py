@@ -191,6 +191,31 @@ def picture_check(expected: Column, order: Column, forbidden: Column, found: Col
     return F.struct(required.alias("required"), F.round(recall, 6).alias("recall"), F.round(precision, 6).alias("precision"), clean.alias("forbidden_pass"), ordered.alias("order_pass"), passed.alias("passed"))
 
 
+def picture_counts(expected_ids: Column, expected_pages: Column, forbidden: Column, ids: Column, pages: Column, low: Column, high: Column) -> Column:
+    """(recall, precision, count_pass, forbidden_pass) of found pictures by their ids where some are expected, else by pages; both are 1 where
+    nothing is. The number found lies between ``low`` and ``high``, where they are given."""
+    none = F.array().cast("array<string>")
+    want_ids, want_pages, banned, got_ids, got_pages = (F.array_distinct(F.coalesce(c.cast("array<string>"), none)) for c in (expected_ids, expected_pages, forbidden, ids, pages))
+    by_id = F.size(want_ids) > 0
+    wanted, got = F.when(by_id, want_ids).otherwise(want_pages), F.when(by_id, got_ids).otherwise(got_pages)
+    both = F.size(F.array_intersect(wanted, got))
+    recall = F.when(F.size(wanted) > 0, both / F.size(wanted)).otherwise(1.0)
+    precision = F.when(F.size(wanted) == 0, 1.0).when(F.size(got) > 0, both / F.size(got)).otherwise(0.0)
+    counted = F.coalesce(F.size(got) >= low, F.lit(True)) & F.coalesce(F.size(got) <= high, F.lit(True))
+    return F.struct(F.round(recall, 6).alias("recall"), F.round(precision, 6).alias("precision"), counted.alias("count_pass"), (~F.arrays_overlap(got_pages, banned)).alias("forbidden_pass"))
+
+
+def step_pictures(steps: Column, answer: Column, pages: Column) -> Column:
+    """The steps that fail: whose text the answer does not have, or whose picture was not found; (step, page, reason) of each, in order.
+
+    steps: array of (step, page); a step without text or page only needs the other."""
+    seen = F.coalesce(pages.cast("array<long>"), F.array().cast("array<long>"))
+    failure = lambda s, why: F.named_struct(F.lit("step"), F.trim(F.coalesce(s["step"], F.lit(""))), F.lit("page"), s["page"].cast("long"), F.lit("reason"), F.lit(why))
+    missing = lambda s: F.when((F.trim(F.coalesce(s["step"], F.lit(""))) != "") & ~phrase_matched(s["step"], answer), failure(s, "step"))
+    unseen = lambda s: F.when(s["page"].isNotNull() & ~F.array_contains(seen, s["page"].cast("long")), failure(s, "page"))
+    return F.array_compact(F.flatten(F.transform(steps, lambda s: F.array(missing(s), unseen(s)))))
+
+
 def evidence_keys(items: DataFrame) -> DataFrame:
     """The keys that an item answers to, in order: itself, id, id tail, anchor, parent, and section with type or label and page.
 
@@ -313,6 +338,23 @@ def freeze_issues(cases: DataFrame) -> DataFrame:
     return rows.select("case", F.explode(codes).alias("code"))
 
 
+#: Fields of a case that hold its answer or the review, and those that describe it; a question alone has none of them.
+GOLD = ("gold_answer", "golden_answer", "gold_evidence", "qrels", "required_nuggets", "optional_nuggets", "forbidden_claims", "expected_step_order", "expected_images", "expected_image_order",
+        "step_image_mapping", "forbidden_images", "claim_constraints", "conflict_constraints", "answerable", "author_id", "reviewer_a_id", "reviewer_b_id", "review_status", "review_notes")
+ABOUT = ("schema_version", "split", "question_type", "graph_dependency", "difficulty", "question_origin", "target_section", "target_pages", "expected_scope", "expected_coverage_status", "source_request_mode",
+         "source_document", "document_id", "document_version", "group", "task_type", "trap_type", "claim_constraint_count", "has_forbidden_without_evidence")
+
+
+def frozen_parts(cases: DataFrame) -> dict[str, DataFrame]:
+    """What a frozen set consists of: questions without any field that gives an answer away, answers, relevant evidence, sign-offs and the
+    whole cases to score by. cases: case_id, and of the fields in ``GOLD`` and ``ABOUT`` those that there are."""
+    given = lambda *names: cases.select("case_id", *[F.col(c) if c in cases.columns else F.lit(None).cast("string").alias(c) for c in names])
+    return {
+        "questions": cases.drop(*GOLD, *ABOUT), "gold": given("gold_answer"), "qrels": given("gold_evidence"),
+        "review_signoff": given("author_id", "reviewer_a_id", "reviewer_b_id", "review_status"), "scoring_cases": cases,
+    }
+
+
 def golden_cases(owns: DataFrame, procedures: DataFrame, solutions: DataFrame) -> DataFrame:
     """Two recall cases of each device's component, with and without the device's name, that expect the component and its
     first three solutions, procedures first. owns: device, component; procedures, solutions: component, solution."""

@@ -109,6 +109,13 @@ def case_rollup(turns: DataFrame) -> DataFrame:
     return turns.groupBy("case").agg(F.count("*").alias("turns"), F.sum("latency").alias("latency"), asked.alias("queries"), F.bool_and("passed").alias("passed"))
 
 
+def case_totals(turns: DataFrame, sums: list[str], passes: list[str]) -> DataFrame:
+    """Cases from their turns: numbers (latency, tokens) summed over the turns that have them, null without any; queries in order; each pass true if
+    all turns to which it applies pass, null if it applies to none. turns: case, turn, query, ``sums`` and ``passes``."""
+    asked = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("turn", "query"))), lambda t: t["query"]), lambda q: F.coalesce(q, F.lit("")) != "")
+    return turns.groupBy("case").agg(F.count("*").alias("turns"), F.array_join(asked, " | ").alias("queries"), *[F.sum(c).alias(c) for c in sums], *[F.bool_and(c).alias(c) for c in passes])
+
+
 def majority(rows: DataFrame) -> DataFrame:
     """A case of a variant passes if at least half of its repetitions do. rows: variant, case, passed, score."""
     return rows.groupBy("variant", "case").agg((2 * F.count_if("passed") >= F.count("*")).alias("passed"), F.round(F.avg("score"), 6).alias("score"), F.count("*").alias("repetitions"))

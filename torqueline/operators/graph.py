@@ -40,6 +40,25 @@ def scored_paths(paths: DataFrame, component_scores: DataFrame, fault_scores: Da
     return out.withColumn("score", F.greatest("cs", "fs")).where("score is not null").drop("cs", "fs")
 
 
+def in_scope(paths: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
+    """The paths inside all lists that are given: documents (the component's, else the device's, else the fault's), sections, chunks (any of the
+    component's or the fault's), devices, components, faults, paths, and nodes (all three of a path, a missing fault aside).
+
+    paths: device, component, fault, path, sections and documents as component_document, device_document, fault_document, component_section,
+    fault_section, component_chunks, fault_chunks (arrays). A list that is absent lets all pass; an empty one none."""
+    none = F.array().cast("array<string>")
+    of = lambda name, c: F.coalesce(c.cast("string").isin(allowed[name]) if allowed[name] else F.lit(False), F.lit(False))
+    rules = {
+        "documents": lambda: of("documents", F.coalesce("component_document", "device_document", "fault_document")), "sections": lambda: of("sections", F.coalesce("component_section", "fault_section")),
+        "chunks": lambda: F.arrays_overlap(F.array_union(F.coalesce("component_chunks", none), F.coalesce("fault_chunks", none)), F.array(*map(F.lit, allowed["chunks"])).cast("array<string>")),
+        "devices": lambda: of("devices", F.col("device")), "components": lambda: of("components", F.col("component")), "faults": lambda: of("faults", F.col("fault")), "paths": lambda: of("paths", F.col("path")),
+        "nodes": lambda: of("nodes", F.col("device")) & of("nodes", F.col("component")) & (F.col("fault").isNull() | of("nodes", F.col("fault"))),
+    }
+    for name in allowed:
+        paths = paths.where(F.coalesce(rules[name](), F.lit(False)))
+    return paths
+
+
 def rerank_paths(paths: DataFrame, top=10) -> DataFrame:
     """K6: name matches first (fault 4, component 2: one name contains the other), then score, then id; ``top`` is 50 at most.
 
@@ -121,6 +140,14 @@ def merge_nodes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(name.alias("name"), manuals.alias("manuals"), F.min("page").alias("min_page"), F.max("page").alias("max_page"), F.count("*").alias("n"))
 
 
+def merge_triples(rows: DataFrame, properties: list[str]) -> DataFrame:
+    """L4: one node per key from extracted triples: of each property the first value by arrival that is not null, the union of manuals and chunk ids, and
+    the smallest and largest page. rows: key, arrival, manual, chunks (array), page and the properties."""
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(c) for c in properties]
+    chunks = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("chunks", F.array().cast("array<string>"))))))
+    return rows.groupBy("key").agg(*firsts, F.array_sort(F.collect_set("manual")).alias("manuals"), chunks.alias("chunks"), F.min("page").alias("min_page"), F.max("page").alias("max_page"))
+
+
 def removable(nodes: DataFrame, edges: DataFrame, manual: int, hops=3) -> DataFrame:
     """Nodes that a manual's removal deletes: in no other manual, not verified, without task, and without a verified or
     task node within ``hops`` steps along edges. nodes: id, manuals (array), verified, task; edges: src, dst."""

@@ -54,6 +54,14 @@ def recent_rounds(messages: DataFrame, rows=8) -> DataFrame:
     return messages.withColumn("back", F.row_number().over(order)).where(F.col("back") <= rows).withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("round", "id"))).drop("back")
 
 
+def unconsolidated(messages: DataFrame) -> DataFrame:
+    """The messages that no consolidation has taken, of each session and user in the order of rounds, with their place.
+
+    messages: session, user, round, id, consolidated (null: not yet)."""
+    open_ = messages.where(~F.coalesce(F.col("consolidated"), F.lit(False)))
+    return open_.withColumn("place", F.row_number().over(Window.partitionBy("session", "user").orderBy("round", "id"))).drop("consolidated")
+
+
 def memory_index(facts: DataFrame, tier: Column, most=200, others=30) -> DataFrame:
     """The top facts of a user by importance and newness, then by relevance tier with few of tier 0. facts: user, id, importance, created."""
     order = Window.partitionBy("user").orderBy(F.desc("importance"), F.desc("created"), "id")
@@ -107,6 +115,11 @@ def purge(facts: DataFrame, now: Column, days=180) -> DataFrame:
     return facts.where(~F.coalesce(old, F.lit(False)))
 
 
+def purge_handled(messages: DataFrame, now: Column, days=7) -> DataFrame:
+    """L3: ids of handled messages go after ``days``. messages: message_id, handled_at."""
+    return messages.where(F.col("handled_at").isNull() | (F.col("handled_at") >= now - F.make_interval(days=F.lit(days))))
+
+
 def due_for_dedup(facts: DataFrame, state: DataFrame, more_than=20) -> DataFrame:
     """Users with more new active facts since their last deduplication than allowed. state: user, deduped_at."""
     new = facts.where((F.col("status") == "active") & ~F.col("type").isin("user", "unresolved")).join(state, "user", "left")

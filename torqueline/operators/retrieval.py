@@ -228,6 +228,16 @@ def chapter_groups(hits: DataFrame) -> DataFrame:
     return out.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("first_rank", "document", "section")))
 
 
+def chapters(hits: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
+    """A4: hits by (query, document, section): their number, the list of hits in order, the ``attributes`` of the first, and the group's place by its
+    first hit. Nulls of document and section are empty. hits: query, document, section, rank, hit and the attributes."""
+    keys = ["query", *[F.coalesce(c, F.lit("")).alias(c) for c in ("document", "section")]]
+    first = F.min(F.struct("rank", "hit", *attributes)).alias("first")
+    out = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "hit"))), lambda h: h["hit"]).alias("hits"), first)  # a query's own hits
+    place = F.row_number().over(Window.partitionBy("query").orderBy("first.rank", "document", "section"))
+    return out.withColumn("place", place).select("query", "document", "section", "n", "hits", *[F.col(f"first.{a}").alias(a) for a in attributes], "place")
+
+
 #: Words that say torque, and how units are written.
 TORQUE = ("拧紧力矩", "紧固力矩", "拧紧扭矩", "紧固扭矩", "扭力")
 UNITS = {"nm": "n·m"}

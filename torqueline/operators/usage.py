@@ -164,3 +164,17 @@ def grade(answers: DataFrame) -> DataFrame:
 def latest_reads(reads: DataFrame, live: DataFrame) -> DataFrame:
     """The last read of each user and manual, of live manuals. reads: user, manual, ts."""
     return reads.groupBy("user", "manual").agg(F.max("ts").alias("last_read")).join(live.select("manual"), "manual", "left_semi")
+
+
+def session_scores(questions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``session, score, total``: right answers and questions of each session that is ready to be handed in; one without questions
+    has 0 of 0. questions: session, kind, expected, given; sessions: session, status."""
+    graded = grade(questions).groupBy("session").agg(F.count_if("correct").alias("score"), F.count("*").alias("total"))
+    ready = sessions.where("status = 'READY'").select("session").distinct()
+    return ready.join(graded, "session", "left").select("session", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def recent_activities(logs: DataFrame, limit: int, name="system") -> DataFrame:
+    """The newest 1 to 50 entries of the log; ones without a user are the system's. logs: id, user, action, status, at."""
+    newest = logs.orderBy(F.desc("at"), F.desc("id")).limit(max(1, min(limit, 50)))
+    return newest.select("id", F.coalesce("user", F.lit(name)).alias("user"), "action", "status", "at")

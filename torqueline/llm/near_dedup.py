@@ -18,7 +18,7 @@ similarity of x and L, which is below ``threshold``. With differences Dx and Dy,
 c = (1 - threshold) / (1 + threshold), a link needs |Dx| + |Dy| - 2 |Dx and Dy| <= c (X + Y); so it has a common difference
 among the first of both, in any order kept by all. Differences that only one component has cannot be common; of the others,
 the rarest beside L come first, and with n of them only the first n - need + 1 of a member are looked at. What a member needs
-beside others follows from the least share among them: members are put into levels by their share, and a member is looked at
+beside others follows from the least share among them: members are put into levels by the size of their share, and one is looked at
 once for each level, and not at all where n is below need, as in a group of texts that share a template and nothing else.
 Members of one component do not meet where it has most of those on a difference. Only pairs that meet are compared, so no link
 between texts that share a bucket is lost and few pairs are formed, however large the group.
@@ -54,8 +54,8 @@ LEVEL, COIN, SIBLING, NEXT, REGISTER = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428
 BROADCAST_NODES = 200_000
 #: Most ids that are broadcast to find the rows that go; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Steps of shares by which members of one leader are told apart, for those linked to it and those that are not.
-LEVELS = 8
+#: What tells the levels of members that are apart from their leader from those of members linked to it.
+APART = 1000
 #: Rows of one leader that go to one task.
 SALTED = 500
 #: Hashes of words kept by a worker.
@@ -342,7 +342,9 @@ class Graph:
         second = self.compare(ordered(again.select("a", F.col("node").alias("b"))), bags)
         links = first.unionByName(second).where("near").select("a", "b")
         components = self.components(links)
-        pairs = self.keep(self.possible(first.select("a", "b"), components, bags))
+        pairs = self.possible(first.select("a", "b"), components, bags)
+        if pairs is None:
+            return components
         found = self.compare(pairs, bags).where("near").select("a", "b")
         if found.isEmpty():
             return components
@@ -353,13 +355,17 @@ class Graph:
         leaders = self.keep(members.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("s")).select("bucket", F.col("s.node").alias("a")))
         return members.join(leaders, "bucket").where("node <> a").select("bucket", "a", "node", "meets")
 
-    def possible(self, led: DataFrame, components: DataFrame, bags: DataFrame) -> DataFrame:
-        """Pairs of nodes in two components that one node leads and that can be links by their differences from it."""
+    def possible(self, led: DataFrame, components: DataFrame, bags: DataFrame) -> DataFrame | None:
+        """Pairs of nodes in two components that one node leads and that can be links by their differences from it; None where no node
+        leads members of two components."""
         root_a = components.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         root_b = components.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         rows = led.join(root_b, "b", "left").join(root_a, "a", "left").withColumn("root", F.coalesce("rb", "b"))
         rows = self.keep(rows.select("a", "b", "root", (F.col("root") != F.coalesce("ra", "a")).alias("apart")))
-        open_leaders = self.keep(rows.groupBy("a").agg(F.max("apart").alias("any"), F.count("*").alias("k")).where("any and k > 1").select("a"))
+        open_leaders = rows.groupBy("a").agg(F.max("apart").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        open_leaders = self.keep(open_leaders.where("any and lo < hi").select("a"))
+        if open_leaders.isEmpty():
+            return None
         rows = self.keep(rows.join(open_leaders, "a", "left_semi"))
         return self.sharing(self.keep(spread(self.with_bags(rows, bags), self.threshold)))
 
@@ -370,17 +376,15 @@ class Graph:
         shared = each.groupBy("a", "token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("any"))
         shared = self.keep(shared.where("any and lo < hi").select("a", "token", "df"))
         own = each.select("a", "b", "token").join(shared, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
-        own = own.withColumn("n", F.size("own").cast("long")).join(self.keep(self.levelled(rows)), ["a", "b"])
+        own = own.withColumn("n", F.size("own").cast("long")).join(self.levelled(rows), ["a", "b"])
         return self.meeting(self.keep(placed(own)))
 
     def levelled(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``level``, by share and whether apart, and ``levels`` of their leader, each with its least share."""
-        ends = self.keep(rows.groupBy("a", "apart").agg(F.min("share").alias("lo"), F.max("share").alias("hi")))
-        step = F.floor(LEVELS * (F.col("share") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6))
-        level = F.when(F.col("apart"), LEVELS).otherwise(0) + F.least(step, F.lit(LEVELS - 1)).cast("int")
-        rows = self.keep(rows.drop("tokens").join(ends, ["a", "apart"]).select("a", "b", "root", "apart", "share", level.alias("level")))
+        """``rows`` without tokens but with ``level``, by share and whether apart, and ``levels`` of their leader, each with its least share."""
+        step = F.signum("share") * F.floor(2 * F.log2(1 + F.abs("share")))
+        rows = rows.drop("tokens").withColumn("level", (F.when(F.col("apart"), APART).otherwise(0) + step).cast("int"))
         least = rows.groupBy("a", "level").agg(F.min("share").alias("low"))
-        levels = self.keep(least.groupBy("a").agg(F.collect_list(F.struct("level", "low")).alias("levels")))  # 2 LEVELS at most
+        levels = self.keep(least.groupBy("a").agg(F.collect_list(F.struct("level", "low")).alias("levels")))  # the logarithm of a text's length
         return rows.join(levels, "a")
 
     def meeting(self, places: DataFrame) -> DataFrame:
@@ -388,8 +392,10 @@ class Graph:
 
         Of the members that meet on a difference most may be of one component; those do not meet each other."""
         spot = ["a", "token", "low", "high"]
-        most = places.groupBy(*spot, "root").agg(F.count("*").alias("k")).groupBy(*spot).agg(F.max_by("root", "k").alias("main"), F.sum("k").alias("k"))
-        places = self.keep(places.join(self.keep(most.where("k > 1").drop("k")), spot).withColumn("own", F.col("root") == F.col("main")))
+        most = places.groupBy(*spot, "root").agg(F.count("*").alias("k"), F.count_if(F.col("level") == F.col("low")).alias("lows"), F.count_if(F.col("level") == F.col("high")).alias("highs"))
+        most = most.groupBy(*spot).agg(F.max_by("root", "k").alias("main"), F.count("*").alias("roots"), F.sum("lows").alias("lows"), F.sum("highs").alias("highs"))
+        most = self.keep(most.where("roots > 1 AND lows > 0 AND highs > 0").select(*spot, "main"))
+        places = places.join(most, spot).withColumn("own", F.col("root") == F.col("main"))
         x = places.where("level = low").withColumn("with_own", F.explode(F.when(F.col("own"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).alias("x")
         y = places.where("level = high").alias("y")
         need = least_common(F.col("x.share"), F.col("y.share"))
@@ -405,7 +411,7 @@ def placed(own: DataFrame) -> DataFrame:
     """Where each member is looked at: on the first of its differences, for each level of a partner that it has enough of them for.
 
     own: a, b, root, apart, share, level, levels, n, own (differences, the rarest first)."""
-    apart = lambda level: level >= LEVELS
+    apart = lambda level: level >= APART // 2
     partners = F.filter("levels", lambda p: apart(F.col("level")) | apart(p["level"]))
     rows = own.withColumn("p", F.explode(partners)).withColumn("least", least_common(F.col("share"), F.col("p.low"))).where("n >= least")
     first = F.slice("own", 1, (F.col("n") - F.col("least") + 1).cast("int"))

@@ -7,7 +7,7 @@ writes, embeddings = vector records, documents = manuals, labels = judged runs,
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import corpus, evaluation, gold, graph, knowledge, lifecycle, retrieval, usage
+from .operators import corpus, evaluation, gold, graph, knowledge, lifecycle, nearest, retrieval, usage
 from .sources import cache, scratch
 from .sources.tables import table
 
@@ -62,6 +62,12 @@ def k1_knn(spark, d):
     return retrieval.knn(*vectors(spark, d))
 
 
+@query(KNN_SQL + "SELECT query, doc, relevance, rank FROM knn")
+def k1_knn_by_cells(spark, d):
+    """K1 by its index; on these vectors, which point in all directions, few cells can be left out."""
+    return nearest.knn_by_cells(*vectors(spark, d))[0]
+
+
 @query(KNN_SQL + "SELECT query, doc, rrf, relevance, min_rank, routes, place FROM placed WHERE place <= 10")
 def k3_rrf(spark, d):
     return retrieval.fuse(routes(spark, d)).where("place <= 10").drop("best")

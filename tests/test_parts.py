@@ -75,3 +75,17 @@ def test_targets_and_fact_ids(spark):
     assert all(r["want"] == r["got"] for r in df.collect())
     ids = spark.createDataFrame([("d", "漏油 更换。"), ("d", "|漏油更换；"), ("e", "漏油更换")], "d string, f string").select(chunking.fact_id(F.col("d"), F.col("f")).alias("i")).collect()
     assert ids[0] == ids[1] != ids[2]
+
+
+def test_anchor_bonus_and_identity_heads(spark):
+    pairs = [
+        ("螺栓插入哪里", "将螺栓插入孔中", 0.60), ("垫片在哪", "垫片朝上", 0.22), ("油封朝外吗", "朝外", 0.10), ("飞轮上t标记对准", "飞轮上的t标记", 0.18), ("b孔位置", "b与孔", 0.12), ("无关", "螺栓", 0.0), ("插到底", "插在孔", 0.12)]
+    df = spark.createDataFrame(pairs, "q string, c string, want double").select("q", "want", candidates.anchor_bonus(F.col("q"), F.col("c")).alias("got"))
+    assert [(r["q"], r["got"]) for r in df.collect()] == [(q, w) for q, _, w in pairs]
+    rows = [("雅马哈摩托车发动机", ["发动机"], "摩托车", "雅马哈", "", "发动机"), ("X1 Pump", None, "", "", "x1", "pump"), ("Pump", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "n string, a array<string>, carrier string, maker string, model string, category string")
+    out = df.select(candidates.identity_heads(F.col("n"), F.col("a"), [F.col("carrier"), F.col("maker"), F.col("model")], F.col("category")).alias("h"))
+    assert [r["h"] for r in out.collect()] == [["发动机"], ["pump"], []]
+    asked = spark.createDataFrame([("怎么拆发动机", "", False, None), ("怎么拆发动机", "", False, True), ("拆卸发动机", "发动机", True, None), ("发动机怎么拆", "发动机", True, None), ("怎么拆泵", "泵", True, None), (None, "发动机", True, None)], "q string, s string, e boolean, x boolean")
+    out = asked.select(candidates.unresolved_identity(F.col("q"), F.col("s"), F.col("e"), F.col("x"), F.array(F.lit("发动机"))).alias("u"))
+    assert [r["u"] for r in out.collect()] == [True, False, True, False, False, False]

@@ -146,6 +146,14 @@ def test_store_partitions(spark, tmp_path):
     assert sorted((r["doc_id"], r["t"], r["record_type"], r["status"]) for r in last.collect()) == [(1, "new", "manual", "ready"), (3, "z", "manual", "ready"), (9, "nine", "rule", "draft")]
 
 
+def test_a_key_that_moves_leaves_its_partition(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/s", "doc_id int, t string, record_type string, status string, written int, document_id string"
+    spark.createDataFrame([(1, "x", "manual", "ready", 1, "a"), (2, "y", "manual", "ready", 1, "a"), (3, "z", "manual", "ready", 1, "b"), (4, "w", "manual", "ready", 1, "c")], schema).write.partitionBy("document_id").parquet(path)
+    tables.upsert_into(spark, path, spark.createDataFrame([(1, "new", None, None, 2, "b"), (3, "moved", None, None, 2, "d")], schema), "document_id")
+    assert sorted((r["document_id"], r["doc_id"], r["t"]) for r in spark.read.parquet(path).collect()) == [("a", 2, "y"), ("b", 1, "new"), ("c", 4, "w"), ("d", 3, "moved")]
+    assert [p.name for p in tmp_path.iterdir()] == ["s"]
+
+
 def test_reads_by_week_and_month(spark, tmp_path):
     from torqueline.streaming import jobs
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .scratch import gone, written
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of the data folder."""
@@ -55,7 +57,7 @@ def rewrite_partitions(spark: SparkSession, path: str, touched: DataFrame, by: s
     """Applies ``change`` to those partitions of the store at ``path`` that ``touched`` names, and writes no others.
 
     The new partitions are written beside the store first, as a table that is read cannot be overwritten; a run that ends in
-    between leaves the store as it was and can be repeated. Partitions without rows are removed."""
+    between leaves the store as it was and can be repeated. Partitions without rows are removed, and so is what was written beside."""
     store = spark.read.parquet(path)
     touched = touched.select(by).distinct()
     part = store.join(touched, by, "left_semi")
@@ -66,5 +68,14 @@ def rewrite_partitions(spark: SparkSession, path: str, touched: DataFrame, by: s
     jvm = spark._jvm
     for row in touched.where(F.col(by).isNotNull()).join(new.select(by).distinct(), by, "left_anti").collect():  # names of emptied partitions
         name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(by, str(row[0]))
-        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        gone(spark, f"{path}/{name}")
+    gone(spark, staged)
+
+
+def upsert_into(spark: SparkSession, path: str, rows: DataFrame, by: str, key="doc_id", order="written") -> None:
+    """``upsert`` into the store at ``path``, whose partitions are named by ``by``. A key that moves to another partition leaves its old one: besides the
+    partitions of ``rows`` those are rewritten that hold one of their keys."""
+    store = spark.read.parquet(path)
+    old = store.join(rows.select(key).distinct(), key, "left_semi").select(by)
+    touched = written(rows.select(by).unionByName(old).distinct(), "touched")  # the store changes meanwhile
+    rewrite_partitions(spark, path, touched, by, lambda part: upsert(part, rows, key, order).select(store.columns))

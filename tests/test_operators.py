@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from torqueline import answer_queries, candidate_queries, page_queries, queries, section_queries, stream_queries, text_queries  # noqa: F401  each adds its queries
+from torqueline import answer_queries, candidate_queries, page_queries, queries, section_queries, source_queries, stream_queries, text_queries  # noqa: F401  each adds its queries
 from torqueline.operators import evaluation, graph, knowledge, lifecycle, retrieval, usage
 from torqueline.streaming import jobs
 

@@ -27,5 +27,5 @@ def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> Data
     if not lengths:
         return given.crossJoin(wanted.select("term")).limit(0)
     cut = given.select("text", F.explode(pieces(F.col("text"), lengths)).alias("piece"))
-    met = cut.join(wanted, "piece")
+    met = cut.join(wanted.hint("merge"), "piece")  # terms grow too, and are larger than their size on disk says
     return met.where((F.length("term") <= KEY) | F.contains("text", F.col("term"))).select("text", "term")

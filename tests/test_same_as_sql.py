@@ -51,7 +51,7 @@ def test_filters_meet_kinds_of_chunks(spark):
     from torqueline.operators import planning
 
     columns = ("chunk_type", "version", "device_type", "document")
-    filters = [(q, r, x, k, v, d, o) for q, (r, x, k, v, d, o) in enumerate([("t", False, "table", "v1", "1", None), ("t", True, "table", None, "1", None), ("s", False, None, "v1", "1", "7"), ("s", False, None, "v2", "2", "7"), ("s", True, None, None, "1", "7"), ("s", True, None, None, "1", "7")])]
+    filters = [(q, r, x, k, v, d, o) for q, (r, x, k, v, d, o) in enumerate([("t", False, "table", "v1", "1", None), ("t", True, "table", None, "1", None), ("s", False, None, "v1", "1", "5"), ("s", False, None, "v2", "2", "7"), ("s", True, None, None, "1", "5"), ("s", True, None, None, "1", "5")])]
     chunks = [(i, ["table", "image", None][i % 3], f"v{i % 2}", str(i % 4), str(i % 8), "manual", "draft" if i % 5 == 0 else "ready") for i in range(200)]
     f = spark.createDataFrame(filters, "query long, route string, relaxed boolean, chunk_type string, version string, device_type string, document string")
     c = spark.createDataFrame(chunks, "chunk long, chunk_type string, version string, device_type string, document string, record_type string, status string")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .operators import candidates
 from .queries import query
-from .sources.tables import table
+from .sources.tables import in_parts, table
 from .text_queries import HAN, LETTERS, PARTS_SQL, han, parts
 
 
@@ -228,7 +228,7 @@ QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, tie) = 1""")
 def a31_question(spark, d):
     """A31 with weights: an order's items as candidates of a diagnosis."""
     risk = F.get(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("l_orderkey") % 3).cast("int"))
-    rows = table(spark, d, "lineitem").select(
+    rows = in_parts(table(spark, d, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("query"), risk.alias("risk"), F.when(F.col("l_partkey") % 5 != 0, F.round(F.col("l_discount") * 10, 2)).alias("score"), F.col("l_returnflag").alias("component"), (F.col("l_partkey") % 7).alias("symptom"),
         F.when(F.col("l_quantity") > 40, " ").otherwise(F.col("l_linestatus")).alias("other"))
     return candidates.best_question(rows, ["component", "symptom", "other"])

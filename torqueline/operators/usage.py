@@ -65,10 +65,13 @@ def totals(**tables: DataFrame) -> DataFrame:
 
 
 def own_device_scores(tasks: DataFrame, links: DataFrame, live: DataFrame, since, points=3.0) -> DataFrame:
-    """Manuals of the devices in a user's tasks since a time, once each. tasks: user, device, created; links: device, manual."""
+    """Manuals of the devices in a user's tasks since a time, once each; those of a device move as one array.
+
+    tasks: user, device, created; links: device, manual."""
     recent = tasks.where((F.col("created") >= since) & F.col("device").isNotNull()).select("user", "device").distinct()
-    found = recent.join(links.select("device", "manual").distinct(), "device").select("user", "manual").distinct()
-    return found.join(live.select("manual"), "manual", "left_semi").withColumn("score", F.lit(points))
+    of_device = links.select("device", "manual").distinct().join(live.select("manual"), "manual", "left_semi").groupBy("device").agg(F.collect_list("manual").alias("m"))
+    found = recent.join(of_device, "device").groupBy("user").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("m"))
+    return found.select("user", F.explode("m").alias("manual")).withColumn("score", F.lit(points))
 
 
 def same_site_scores(owned: DataFrame, sites: DataFrame, links: DataFrame, live: DataFrame, scored: DataFrame, points=1.5, top: int | None = None) -> DataFrame:

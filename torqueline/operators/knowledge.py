@@ -27,14 +27,21 @@ def match_procedure(devices: DataFrame, procedures: DataFrame) -> DataFrame:
 
     devices: device, name, level; procedures: procedure, type, level, version, status."""
     usable = procedures.where((F.col("status") == "PUBLISHED") & (F.trim("type") != ""))
-    usable = usable.select("procedure", "type", F.col("level").alias("own_level"), "version")
+    # Of one type and level only the first can be chosen, and devices of one name and level get the same.
+    ranked = Window.partitionBy("type", "own_level").orderBy(F.desc("version"), "procedure")
+    usable = usable.select("procedure", "type", F.col("level").alias("own_level"), "version").withColumn("n", F.row_number().over(ranked)).where("n = 1").drop("n")
     named = devices.where(F.trim("name") != "")
-    names = containing(named, "name", usable, "type").withColumnsRenamed({"text": "name", "term": "type"})
+    kinds = named.select("name", "level").distinct()
+    names = containing(kinds, "name", usable, "type").withColumnsRenamed({"text": "name", "term": "type"})
     exact = F.col("level") == F.col("own_level")
     free = F.coalesce(F.trim("own_level"), F.lit("")) == ""
-    found = named.join(names.join(usable, "type"), "name").withColumn("exact", F.coalesce(exact, F.lit(False))).where(F.col("exact") | free)
-    first = Window.partitionBy("device").orderBy(F.desc("exact"), F.desc("version"), "procedure")
-    return found.withColumn("n", F.row_number().over(first)).where("n = 1").select("device", "procedure", "exact")
+    found = kinds.join(names.join(usable, "type"), "name").withColumn("exact", F.coalesce(exact, F.lit(False))).where(F.col("exact") | free)
+    order = (F.desc("exact"), F.desc("version"), "procedure")
+    of_kind = found.withColumn("n", F.row_number().over(Window.partitionBy("name", "level").orderBy(*order))).where("n = 1")
+    of_kind = of_kind.select(F.col("name").alias("of_name"), F.col("level").alias("of_level"), "procedure", "version", "exact")
+    met = named.join(of_kind, (F.col("name") == F.col("of_name")) & F.equal_null("level", "of_level"))
+    first = Window.partitionBy("device").orderBy(*order)
+    return met.withColumn("n", F.row_number().over(first)).where("n = 1").select("device", "procedure", "exact")
 
 
 def round_trip(references: DataFrame, chunks: DataFrame) -> DataFrame:

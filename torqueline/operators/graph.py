@@ -181,11 +181,16 @@ def route_verdicts(verdicts: DataFrame, sure=0.7) -> DataFrame:
 def lexical_hits(nodes: DataFrame, terms: DataFrame, top=10) -> DataFrame:
     """K5: nodes by the share of query terms in any property. nodes: id, text (short properties); terms: query, term.
 
-    Terms meet equal substrings of the texts, each text and term once, so neither queries nor nodes pass the driver."""
+    Terms meet equal substrings of the texts, each text and term once, so neither queries nor nodes pass the driver. Nodes of the same
+    texts have the same hits, so of these only the first ``top`` meet the queries."""
     asked = terms.where(F.length("term") > 0).distinct()
     n = asked.groupBy("query").agg(F.count("*").alias("n_terms"))
     held = containing(nodes, "text", asked, "term")
-    hits = nodes.select("id", "text").join(held, "text").join(asked, "term").groupBy("query", "id").agg(F.count_distinct("term").alias("hits"))
+    alike = nodes.select("id", "text").groupBy("id").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    alike = alike.withColumn("k", F.row_number().over(Window.partitionBy("texts").orderBy("id"))).where(F.col("k") <= top)
+    first = alike.groupBy("texts").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("least", F.col("ids")[0])
+    hits = first.select("least", F.explode("texts").alias("text")).join(held, "text").join(asked, "term").groupBy("query", "least").agg(F.count_distinct("term").alias("hits"))
+    best = hits.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hits"), "least"))).where(F.col("place") <= top).drop("place")
     order = Window.partitionBy("query").orderBy(F.desc("hits"), "id")
-    ranked = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    ranked = best.join(first.select("least", "ids"), "least").select("query", "hits", F.explode("ids").alias("id")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     return ranked.join(n, "query").select("query", "id", "hits", F.round(F.col("hits") / F.col("n_terms"), 6).alias("score"), "place")

@@ -68,7 +68,7 @@ def page_lines(blocks: DataFrame, tables: DataFrame, margin=70, share=0.35) -> D
     repeated = rows.where("outer").groupBy("document", "norm").agg(F.count("*").alias("k")).where("k >= 2").select("document", "norm")
     number = F.col("outer") & F.trim("text").rlike(r"^\d+$") & ((F.trim("text") == F.col("page").cast("string")) | (F.length(F.trim("text")) <= 4))
     kept = rows.join(repeated, ["document", "norm"], "left_anti").where(~number)
-    on_page = tables.where(boxed("box")).groupBy("document", "page").agg(F.collect_list("box").alias("tables"))  # a page's own tables
+    on_page = tables.where(boxed("box")).groupBy("document", "page").agg(F.collect_set("box").alias("tables"))  # a page's own tables, those of one place once
     area = (edge("box", 2) - edge("box", 0)) * (edge("box", 3) - edge("box", 1))
 
     def covers(t: Column) -> Column:
@@ -76,8 +76,10 @@ def page_lines(blocks: DataFrame, tables: DataFrame, margin=70, share=0.35) -> D
         y = F.greatest(F.lit(0.0), F.least(edge("box", 3), F.get(t, F.lit(3))) - F.greatest(edge("box", 1), F.get(t, F.lit(1))))
         return x * y / area >= share
 
-    none = F.array().cast("array<array<double>>")
-    free = kept.join(on_page, ["document", "page"], "left").where(~boxed("box") | ~F.exists(F.coalesce("tables", none), covers))
+    # Each place of a page is tried once, whatever number of blocks stands there.
+    places = rows.where(boxed("box")).select("document", "page", "box").distinct()
+    covered = places.join(on_page, ["document", "page"]).where(F.exists("tables", covers)).select("document", "page", "box")
+    free = kept.join(covered, ["document", "page", "box"], "left_anti")
     order = Window.partitionBy("document", "page").orderBy(F.coalesce(edge("box", 1), F.lit(0.0)), F.coalesce(edge("box", 0), F.lit(0.0)), "norm")
     return free.select("document", "page", F.row_number().over(order).alias("place"), F.trim("text").alias("text"))
 

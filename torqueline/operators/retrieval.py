@@ -5,6 +5,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from ..sources.tables import in_parts
+
 
 def knn(queries: DataFrame, corpus: DataFrame, k=10, block=2048, id_col="id", vec_col="vec", where: Column | None = None, least: float | None = None) -> DataFrame:
     """K1: exact cosine top ``k`` of each query: ``query, doc, relevance, rank`` with relevance clamped to 0..1 and six decimals.
@@ -209,14 +212,15 @@ def keyword_all(queries: DataFrame, words: DataFrame, k=10) -> DataFrame:
     """K2: documents with every term of a query, by total term frequency, scored 1/rank.
 
     Only words that are asked for are counted. A query's candidates are the documents of its rarest term; the other terms are
-    looked up for these alone, so common terms are never listed in full. queries: query, term (distinct); words: doc, term, a row per word."""
+    looked up for these alone, so common terms are never listed in full. What words are counted in and looked up in are parts of
+    bounded size, if ``words`` come in such parts by ``doc``. queries: query, term (distinct); words: doc, term, a row per word."""
     asked = queries.select("term").distinct()
-    postings = words.join(asked, "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    postings = written(words.join(asked, "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf")), "postings")
     df = asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
     of_query = queries.join(df, "term").groupBy("query").agg(F.min(F.struct("df", "term")).alias("s"), F.count("*").alias("n_terms")).where("s.df > 0")
-    candidates = of_query.select("query", "n_terms", F.col("s.term").alias("term")).join(postings.select("doc", "term"), "term").select("query", "doc", "n_terms")
+    candidates = of_query.select("query", "n_terms", F.col("s.term").alias("term")).hint("shuffle_hash").join(postings.select("doc", "term"), "term").select("query", "doc", "n_terms")
     wanted = candidates.join(queries, "query")
-    found = wanted.join(postings, ["doc", "term"]).groupBy("query", "doc", "n_terms").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).where("n = n_terms")
+    found = wanted.join(in_parts(postings, "doc", "term"), ["doc", "term"]).groupBy("query", "doc", "n_terms").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).where("n = n_terms")
     order = Window.partitionBy("query").orderBy(F.desc("tf"), "doc")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "doc", "rank", (F.lit(1.0) / F.col("rank")).alias("relevance"))
 

@@ -120,15 +120,18 @@ def observe_conflicts(conflicts: DataFrame, answers: DataFrame, evidence: DataFr
 
     Two alternatives have different evidence unless both have one and the same. conflicts: case, conflict, disclosures, alternatives (array of
     values, units, sources)."""
-    rows = conflicts.select("case", "conflict", patterns(F.col("disclosures")).alias("disclosures"), F.posexplode_outer("alternatives").alias("i", "a"))
-    rows = rows.select("case", "conflict", "disclosures", "i", patterns(F.col("a.values")).alias("values"), patterns(F.col("a.units")).alias("units"), F.col("a.sources").alias("sources"))
-    given = read_evidence(evidence).where("eligible AND qualification IN ('qualified', 'reference_only')")
-    fits = any_matches(F.col("values"), F.col("text")) & any_matches(F.col("units"), F.col("text")) & F.exists("sources", lambda s: source_allowed(F.col("e"), s))
-    found = rows.where("i IS NOT NULL").join(given, "case").where(fits).groupBy("case", "conflict", "i").agg(F.min("evidence").alias("low"), F.max("evidence").alias("high"))
-    each = rows.join(found, ["case", "conflict", "i"], "left").join(read_answers(answers), "case", "left")
-    told = F.coalesce(any_matches(F.col("values"), F.col("text")) & any_matches(F.col("units"), F.col("text")), F.lit(False))
+    # All meet by case: what the answer tells first, then the evidence that fits an alternative.
+    said = conflicts.join(read_answers(answers).select("case", F.col("text").alias("said")), "case", "left")
+    rows = said.select("case", "conflict", "said", patterns(F.col("disclosures")).alias("disclosures"), F.posexplode_outer("alternatives").alias("i", "a"))
+    rows = rows.select("case", "conflict", "said", "disclosures", "i", patterns(F.col("a.values")).alias("values"), patterns(F.col("a.units")).alias("units"), F.col("a.sources").alias("sources"))
+    says = lambda text: any_matches(F.col("values"), F.col(text)) & any_matches(F.col("units"), F.col(text))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    rows = rows.select("case", "conflict", "i", "values", "units", "sources", no(says("said")).alias("told"), no(any_matches(F.col("disclosures"), F.col("said"))).alias("disclosed"))
+    given = read_evidence(evidence).where("eligible AND qualification IN ('qualified', 'reference_only')").select(F.col("case").alias("of"), "evidence", "e", "text")
+    fits = F.col("i").isNotNull() & says("text") & F.exists("sources", lambda s: source_allowed(F.col("e"), s))
+    met = rows.join(given, (F.col("case") == F.col("of")) & fits, "left")
+    each = met.groupBy("case", "conflict", "i", "told", "disclosed").agg(F.min("evidence").alias("low"), F.max("evidence").alias("high"))
     out = each.groupBy("case", "conflict").agg(
-        F.count("low").alias("n_found"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.col("low").isNull() | told).alias("all_told"),
-        F.max(F.coalesce(any_matches(F.col("disclosures"), F.col("text")), F.lit(False))).alias("disclosed"))
+        F.count("low").alias("n_found"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.col("low").isNull() | F.col("told")).alias("all_told"), F.max("disclosed").alias("disclosed"))
     distinct = F.coalesce((F.col("n_found") >= 2) & (F.col("low") != F.col("high")), F.lit(False))
     return out.select("case", "conflict", "n_found", distinct.alias("distinct"), (distinct & F.col("disclosed") & F.col("all_told")).alias("passed"))

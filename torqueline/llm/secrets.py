@@ -5,16 +5,19 @@ that hold a letter and a digit, or small and capital letters as only keys mix th
 and in a candidate as classes, through one convolution, a maximum over positions and two dense layers. Candidates that reach
 its threshold and that no base span overlaps are added as kind ``model``.
 
-It is trained in numpy on labelled findings, a bounded number of them:
+It is trained on the labelled findings of all texts, equal ones once:
 
-- candidates of ``sample`` distinct excerpts of the table, secrets where a rule hits; those without a rule that look like keys
-  have no label, as they can be the secrets to add;
+- every candidate, a secret where a rule hits; those without a rule that look like keys have no label, as they can be the
+  secrets to add; and as many ordinary places of the texts that hold candidates;
 - each of those secrets once more with the keyword or prefix that the rule knows it by taken away;
-- ``made`` secrets of public token shapes and as many look-alikes (identifiers, paths, dates, numbers, words joined by signs),
-  put between words of ``contexts`` excerpts of the table; and ordinary places of the same texts.
+- secrets of public token shapes and look-alikes (identifiers, paths, dates, numbers, words joined by signs), put between words
+  of each text: one in every distinct text, more if the table has too few texts for ``made`` of both.
 
-A quarter of each class and all findings of some shapes are held back. They calibrate the network by temperature, and the
-threshold is the largest that keeps ``recall`` of the held-back secrets; ``precision`` and ``found`` tell what it does there.
+The findings are dealt by hash to groups of about ``GROUP``. In every epoch each group goes on from the same weights by steps of
+stochastic gradient descent in numpy, and the weights of all groups are averaged, as whole numbers, so that the order of tasks does
+not matter. A quarter of each class and all findings of some shapes are held back. They calibrate the network by temperature, and the
+threshold is the largest logit, in steps of 1/``STEPS``, that keeps ``recall`` of the held-back secrets; all of them are counted.
+``precision`` and ``found`` tell what it does there, ``learned`` and ``held`` how many findings there were.
 
 A long candidate is read in windows that cover it whole; its score is the largest of them.
 
@@ -22,16 +25,22 @@ Defined cases: null text is empty; repeated rows each get the same row; without
 gives an empty result; other columns are ignored. Texts are read whole.
 """
 
+import copy
 import re
+import zlib
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remove, stored, workspace
+
 KINDS = ("assign", "access", "hex", "model")
 
 
@@ -63,6 +72,12 @@ FILTERS, REACH, HIDDEN = 24, 5, 16
 KEY_BITS, KEY_CHANGES = 3.0, 0.25
 #: Fewest labelled secrets that the network is trained on.
 LEAST = 10
+#: Findings of a group, which one task learns from at a time; most partitions that groups are written by.
+GROUP, FILES = 8192, 2000
+#: Steps of a logit that held-back findings are counted by.
+STEPS = 1024
+#: Weights are averaged as whole numbers of 1/FINE.
+FINE = 1 << 32
 
 SMALL, CAPITAL, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALNUM = SMALL + CAPITAL + DIGITS
@@ -160,6 +175,8 @@ class Network:
     threshold: float = 2.0  # none
     precision: float = float("nan")  # of the held-back labels at the threshold
     found: float = float("nan")  # share of the held-back secrets at the threshold
+    learned: int = 0
+    held: int = 0
 
     @staticmethod
     def fresh(rng: np.random.Generator) -> "Network":
@@ -197,36 +214,57 @@ class Network:
             np.subtract.at(self.conv[k], (np.take_along_axis(x, best + k, 1), filters), rate * da)
 
 
-def labelled(texts: list[str], rng: np.random.Generator) -> list[tuple[np.ndarray, float, bool]]:
+    def whole(self) -> np.ndarray:
+        """All weights as whole numbers."""
+        return np.rint(np.concatenate([np.ravel(getattr(self, k)) for k in WEIGHTS]) * FINE).astype(np.int64)
+
+    def take(self, weights: np.ndarray) -> None:
+        for k in WEIGHTS:
+            own = np.asarray(getattr(self, k))
+            part, weights = weights[: own.size].reshape(own.shape), weights[own.size :]
+            setattr(self, k, part.copy() if own.ndim else float(part))
+
+
+WEIGHTS = ("conv", "conv_bias", "dense", "dense_bias", "out", "out_bias")
+
+
+def overlapping(spans: list[tuple], start: int, end: int) -> tuple | None:
+    """The first of ``spans``, which are in order and do not overlap each other, that has a place in common with start to end."""
+    at = bisect_right(spans, start, key=lambda s: s[1])
+    return spans[at] if at < len(spans) and spans[at][0] < end else None
+
+
+def labelled(texts: list[str], rng: np.random.Generator) -> Iterator[tuple[np.ndarray, float, bool]]:
     """(window, label, held back) of candidates, 1 where a rule finds a secret, and of as many ordinary places.
 
     Nothing at a candidate that looks like a key without a rule is labelled."""
-    rows = []
     for text in texts:
         base = base_spans(text)
         own = candidates(text)
-        unknown = [(s, e) for s, e in own if looks_like_key(text[s:e]) and not any(b < e and s < f for b, f, _ in base)]
+        by_kind = [[b for b in base if b[2] == k] for k in KINDS[:3]]
+        unknown = []
         for start, end in own:
-            if (start, end) in unknown:
+            rule = next(filter(None, (overlapping(spans, start, end) for spans in by_kind)), None)
+            if rule is None and looks_like_key(text[start:end]):
+                unknown.append((start, end))
                 continue
-            rule = next((b for b in base if b[0] < end and start < b[1]), None)
-            rows.append((window(text, start, end), float(rule is not None), False))
+            yield window(text, start, end), float(rule is not None), False
             value = rule and rule[2] == "assign" and ASSIGN.match(text, rule[0])
             if value and value.end(2) - value.start(2) >= 16:  # the value once more, without its keyword
-                before = text[: rule[0]] + words_drawn(rng, 1) + " "
-                rows.append((window(before + text[value.start(2) :], len(before), len(before) + len(value[2])), 1.0, False))
+                before = text[max(0, rule[0] - BEFORE) : rule[0]] + words_drawn(rng, 1) + " "
+                yield window(before + text[value.start(2) : value.end(2) + AFTER], len(before), len(before) + len(value[2])), 1.0, False
         for _ in range(max(1, len(own))):
             start = int(rng.integers(0, max(1, len(text))))
             end = start + int(rng.integers(16, 48))
-            if text and not any(s < end and start < e for s, e, *_ in [*base, *unknown]):
-                rows.append((window(text, start, min(end, len(text))), 0.0, False))
-    return rows
+            if text and not any(overlapping(spans, start, end) for spans in (*by_kind, unknown)):
+                yield window(text, start, min(end, len(text))), 0.0, False
 
 
-def planted(contexts: list[str], made: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, bool]]:
-    """(window, label, held back) of ``made`` secrets of public shapes and as many look-alikes, put between words of ``contexts``."""
+def planted(contexts: list[str], numbers: Iterable[int], rng: np.random.Generator) -> list[tuple[np.ndarray, float, bool]]:
+    """(window, label, held back) of a secret of a public shape for each odd number and a look-alike for each even one, put between
+    words of ``contexts``."""
     rows = []
-    for i in range(2 * made):
+    for i in numbers:
         text, kind = contexts[int(rng.integers(len(contexts)))], i // 2
         at = text.find(" ", int(rng.integers(0, len(text) + 1))) + 1
         if i % 2:
@@ -235,8 +273,8 @@ def planted(contexts: list[str], made: int, rng: np.random.Generator) -> list[tu
         else:
             run, apart = look_alike(rng, kind), kind % ALIKE >= ALIKE - APART
         lead = LEADS[int(rng.integers(len(LEADS)))] if i % 2 else ("", "", "https://www.", "see ", "file ")[int(rng.integers(5))]
-        start = at + len(lead)
-        rows.append((window(text[:at] + lead + run + " " + text[at:], start, start + len(run)), float(i % 2), apart))
+        before = text[max(0, at - BEFORE) : at] + lead
+        rows.append((window(before + run + " " + text[at : at + AFTER], len(before), len(before) + len(run)), float(i % 2), apart))
     return rows
 
 
@@ -249,36 +287,142 @@ def chosen(rows: DataFrame, n: int) -> list[str]:
     return [r[0] for r in hashed.where(F.col("h") <= below).select("text", "h").distinct().orderBy("h", "text").limit(n).select("text").collect()]
 
 
-def train(docs: DataFrame, text_col="text", sample=1500, contexts=400, made=2600, epochs=12, rate=0.5, recall=0.99, seed=11) -> Network:
-    """Fits the network on labelled findings of at most ``sample`` candidate-bearing and ``contexts`` other excerpts of ``docs``
-    and on ``made`` planted secrets and look-alikes (documented bounds); without any text it adds nothing."""
+FINDING = "seen binary, label int, apart boolean"
+
+
+def batch_of(found: Iterable[tuple[np.ndarray, float, bool]]) -> pa.RecordBatch:
+    seen, label, apart = zip(*((x.astype(np.uint8).tobytes(), int(y), bool(a)) for x, y, a in found), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), pa.array(label, pa.int32()), pa.array(apart, pa.bool_())], ["seen", "label", "apart"])
+
+
+def findings(rows: DataFrame, made: int, seed: int) -> DataFrame:
+    """The labelled findings of every text of ``rows``, each once: the classes of its window as bytes, label, held back."""
+    each = -(-2 * made // max(1, rows.select(F.xxhash64("text")).distinct().count()))  # to plant in a text, so that there are ``made`` of both
+
+    def of_texts(texts: pa.Array) -> Iterator[tuple[np.ndarray, float, bool]]:
+        for x in texts:
+            text = x.as_py()
+            rng = np.random.default_rng([seed, zlib.crc32(text.encode("utf-8", "replace"))])  # copies have the same findings
+            if candidates(text):
+                yield from labelled([text], rng)
+            first = int(rng.integers(2 * len(SHAPES) * ALIKE))
+            yield from planted([text], range(first, first + each), rng)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(batch_of, batched(of_texts(batch.column("text")), 10_000))
+
+    return rows.mapInArrow(run, FINDING).distinct()
+
+
+def grouped(found: DataFrame, groups: int, seed: int) -> DataFrame:
+    """One row per group: its findings in one order, whatever the order of ``found``, and which of them are held back."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("seen", "label", "apart")), strict=True))
+        y, held = np.array([r[1] for r in rows], np.uint8), np.array([r[2] for r in rows])
+        order = np.random.default_rng([seed, part]).permutation(np.flatnonzero(~held))
+        for label in (0, 1):
+            own = order[y[order] == label]
+            held[own[: (len(own) + part % 4) // 4]] = True  # a quarter of each, over the groups even of rare ones
+        return pa.table({
+            "part": pa.array([part], pa.int32()), "seen": pa.array([b"".join(r[0] for r in rows)], pa.binary()),
+            "labels": pa.array([y.tobytes()], pa.binary()), "held": pa.array([held.tobytes()], pa.binary()),
+        })
+
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("seen", "label"), F.lit(groups)).cast("int")).repartition(min(groups, FILES), "part")
+    return dealt.groupBy("part").applyInArrow(pack, "part int, seen binary, labels binary, held binary")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for part, seen, labels, held in zip(*batch.columns, strict=True):
+            x = np.frombuffer(seen.as_py(), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+            yield part.as_py(), x, np.frombuffer(labels.as_py(), np.uint8).astype(float), np.frombuffer(held.as_py(), bool)
+
+
+def averaged(groups: DataFrame, net: Network, rates: list[tuple[int, float]], seed: int) -> np.ndarray:
+    """Mean weights after each group has gone through ``rates`` (epoch, rate) from ``net`` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part, x, y, held in groups_of(batches):
+            own = copy.deepcopy(net)
+            for epoch, rate in rates:
+                order = np.random.default_rng([seed, part, epoch]).permutation(np.flatnonzero(~held))
+                for at in range(0, len(order), 32):
+                    batch = order[at : at + 32]
+                    own.learn(x[batch], y[batch], rate)
+            weights = np.append(own.whole(), 1)
+            total = weights if total is None else total + weights
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["weights"])
+
+    total = groups.mapInArrow(run, "weights binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64)).treeReduce(np.add)
+    return total[:-1] / (total[-1] * float(FINE))
+
+
+def held_back(groups: DataFrame, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all held-back findings: logits in whole steps, rising, and how many findings of label 0 and 1 have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, y, held in groups_of(batches):
+            x, y = x[held], y[held]
+            z = np.concatenate([np.zeros(0), *(net.forward(x[i : i + 64])[0] for i in range(0, len(x), 64))])
+            step, at = np.unique(np.floor(z * STEPS).astype(np.int64), return_inverse=True)
+            n = [pa.array(np.bincount(at[y == label], minlength=len(step)).astype(np.int64)) for label in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(step), *n], ["step", "plain", "secret"])
+
+    counted = groups.mapInArrow(run, "step long, plain long, secret long").groupBy("step").agg(F.sum("plain"), F.sum("secret"))
+    rows = sorted(map(tuple, counted.collect()))  # as many as the logits have steps
+    return tuple(np.array(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
+
+
+def train(docs: DataFrame, text_col="text", sample: int | None = None, contexts=400, made=2600, epochs=12, rate=0.5, recall=0.99, seed=11) -> Network:
+    """Fits the network on the labelled findings of all texts of ``docs``, with ``made`` planted secrets and look-alikes at least;
+    without any text it adds nothing.
+
+    A caller who asks for a ``sample`` gets one: findings of so many candidate-bearing and ``contexts`` other excerpts."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(text_col).alias("text")).where(F.length("text") > 0)
+    folder = workspace(spark, "secrets")
+    net = Network.fresh(np.random.default_rng(seed))
+    found = stored(findings(rows, made, seed) if sample is None else sampled(rows, sample, contexts, made, seed), f"{folder}/found")
+    n, n_secrets = found.agg(F.count("*"), F.sum("label")).first()
+    if (n_secrets or 0) >= LEAST:
+        groups = stored(grouped(found, -(-n // GROUP), seed), f"{folder}/groups")
+        rates = [(epoch, rate * (1 - epoch / epochs)) for epoch in range(epochs)]
+        for part in [rates] if n <= GROUP else [[r] for r in rates]:  # one group alone has nothing to be averaged with
+            net.take(averaged(groups, net, part, seed))
+        calibrate(net, *held_back(groups, net), recall)
+        net.learned = n - net.held
+    remove(spark, folder)
+    return net
+
+
+def calibrate(net: Network, step: np.ndarray, plain: np.ndarray, secret: np.ndarray, recall: float) -> None:
+    """Sets temperature, threshold and what it does from the counts of :func:`held_back`."""
+    net.held = int(plain.sum() + secret.sum())
+    if not secret.any():
+        return
+    z = (step + 0.5) / STEPS
+    loss = {t: (plain * np.logaddexp(0, z / t) + secret * np.logaddexp(0, -z / t)).sum() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0)}
+    net.temperature = min(loss, key=lambda t: (loss[t], t))
+    at = int(np.searchsorted(np.cumsum(secret), int((1 - recall) * secret.sum()), "right"))  # the step of the last secret that must be found
+    net.threshold = float(1 / (1 + np.exp(-step[at] / STEPS / net.temperature)))
+    net.precision, net.found = float(secret[at:].sum() / (plain[at:].sum() + secret[at:].sum())), float(secret[at:].sum() / secret.sum())
+
+
+def sampled(rows: DataFrame, sample: int, contexts: int, made: int, seed: int) -> DataFrame:
+    """Findings of ``sample`` distinct excerpts around candidates and of ``made`` secrets and look-alikes put into ``contexts`` excerpts."""
     texts = chosen(rows.mapInArrow(around_candidates, "text string"), sample)
     place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - 300, F.lit(1)))
     around = chosen(rows.select(F.substr("text", (place + 1).cast("int"), F.lit(300)).alias("text")), contexts)
     rng = np.random.default_rng(seed)
-    net = Network.fresh(rng)
-    if not around:
-        return net
-    x, y, apart = (np.array(c) for c in zip(*labelled(texts, rng), *planted(around, made, rng), strict=True))
-    if y.sum() < LEAST:
-        return net
-    order = rng.permutation(np.flatnonzero(~apart))
-    parts = [order[y[order] == label] for label in (0, 1)]  # a quarter of each, so that held-back secrets are never missing
-    held, own = np.concatenate([p[: len(p) // 4] for p in parts] + [np.flatnonzero(apart)]), np.concatenate([p[len(p) // 4 :] for p in parts])
-    for epoch in range(epochs):
-        own = rng.permutation(own)
-        for at in range(0, len(own), 32):
-            batch = own[at : at + 32]
-            net.learn(x[batch], y[batch], rate * (1 - epoch / epochs))
-    z, truth = net.forward(x[held])[0], y[held]
-    loss = {t: np.logaddexp(0, np.where(truth > 0, -z, z) / t).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0)}
-    net.temperature = min(loss, key=lambda t: (loss[t], t))
-    scores = 1 / (1 + np.exp(-z / net.temperature))
-    found = np.sort(scores[truth > 0])
-    net.threshold = float(found[int((1 - recall) * len(found))])
-    net.precision, net.found = float(truth[scores >= net.threshold].mean()), float((found >= net.threshold).mean())
-    return net
+    found = [*labelled(texts, rng), *(planted(around, range(2 * made), rng) if around else [])]
+    own = [(x.astype(np.uint8).tobytes(), int(y), bool(apart)) for x, y, apart in found]
+    return rows.sparkSession.createDataFrame(own, FINDING).distinct()
 
 
 def around_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
